@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from grovespark.llm import packing, warc
+import corpus_pipeline
+
+from grovespark.llm import blocks, decontam, fm, linerules, packing, pii, simhash, urllists, warc, wordpiece
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.query,
         "op2_best_fit_packing": packing.query,
+        "op3_factorisation_machine": fm.query,
+        "op4_line_rules": linerules.query,
+        "op5_recurrent_blocks": blocks.query,
+        "op6_simhash": simhash.query,
+        "op7_pii": pii.query,
+        "op8_decontamination": decontam.query,
+        "op9_wordpiece_counts": wordpiece.query,
+        "op10_url_lists": urllists.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": warc.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op4_line_rules": linerules.ORACLE_SQL, "op10_url_lists": urllists.ORACLE_SQL}
