@@ -20,7 +20,7 @@ MAX_DOCS_PER_LINE = 100
 #: A document is depleted if fewer percent of its words than this survive the removal.
 MIN_SURVIVING_PERCENT = 40
 
-_SPACE = r"[\x20\x09-\x0D]+"
+_BASE = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed")
 
 
 def _words(text: Column) -> Column:
@@ -56,7 +56,7 @@ def base(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(
         F.transform("_found", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_found", i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    return (
+    steps = (
         with_words.withColumn("_word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("_n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("_with_word", lines)
@@ -68,8 +68,9 @@ def base(docs: DataFrame) -> DataFrame:
         .withColumn("_found", F.when(F.col("_sorted").isNotNull(), found))
         .withColumn("_n_repeat_words", F.when(F.col("_found").isNull(), F.lit(0).cast("long")).otherwise(covered))
         .withColumn("_base_failed", (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words")))
-        .drop("_words", "_hashes", "_windows", "_sorted", "_found")
     )
+    # a generator of one row: filters on its columns stay above it, instead of computing each step anew for each use
+    return steps.select(*docs.columns, F.inline(F.array(F.struct(*_BASE))))
 
 
 def frequent_lines(docs: DataFrame, limit: int = MAX_DOCS_PER_LINE) -> DataFrame:
