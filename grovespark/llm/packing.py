@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
@@ -63,7 +65,7 @@ class WordIds:
             data = ids.tobytes()
             self.known.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, at, at[1:]))
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
         split = []
         for text in texts:
@@ -71,11 +73,12 @@ class WordIds:
                 text = text.replace(c, " ")
             split.append(text.split(" "))
         missing = set().union(*split).difference(known)
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = set().union(*split)
         self.learn(list(missing))
-        return (b"".join(map(known.__getitem__, words)) for words in split)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > CACHE_WORDS:  # words met early are the frequent ones and stay
+            for w in missing:
+                del known[w]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
