@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ NODE_BUDGET = 20_000
 FILL_STEPS = 400
 FILL_WIDTH = 6
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: Rows that a block of the ranking holds on average, at most, and least blocks.
 BLOCK_ROWS = 2_000_000
 LEAST_BLOCKS = 64
@@ -40,6 +41,10 @@ MARK = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: How the vocabulary's own pre-tokenizer splits lower-case ASCII.
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes, equal to encoding each text whole.
 
@@ -52,18 +57,36 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.mark = self.tokenizer.token_to_id(MARK)
+        self.plain, self.runs = Tokenizer.from_file(path), {}
+        self.plain.normalizer = None
+
+    def _encode(self, tokenizer, words: list[str], into: dict[str, bytes]) -> None:
+        """The ids of words without marks, many in one call with a mark between them."""
+        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, e in zip(parts, tokenizer.encode_batch_fast([MARK.join(x) for x in parts], add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype="<u4")
+            at = [0, *(np.flatnonzero(ids == self.mark) + 1).tolist(), len(ids) + 1]
+            data = ids.tobytes()
+            into.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, at, at[1:]))
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
+        """Encode words. Normalising leaves ASCII words as they are in lower case, and each run of their
+        letters or signs is encoded by itself, so these parts are what is remembered of them."""
+        ascii_words, others = [], []
         for w in words:
             if "<|" in w:
                 self.known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([MARK.join(x) for x in parts], add_special_tokens=False)):
-            ids = np.asarray(e.ids, dtype="<u4")  # of many words, with a mark between them
-            at = [0, *(np.flatnonzero(ids == self.mark) + 1).tolist(), len(ids) + 1]
-            data = ids.tobytes()
-            self.known.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, at, at[1:]))
+            else:
+                (ascii_words if w.isascii() else others).append(w)
+        self._encode(self.tokenizer, others, self.known)
+        split = [_RUN.findall(w.lower()) for w in ascii_words]
+        runs = self.runs
+        missing = list({x for y in split for x in y}.difference(runs))
+        self._encode(self.plain, missing, runs)
+        self.known.update((w, b"".join(map(runs.__getitem__, y))) for w, y in zip(ascii_words, split))
+        if len(runs) > CACHE_WORDS:
+            for x in missing:
+                del runs[x]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known

@@ -117,12 +117,12 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = (text or "").encode("utf-8", "replace").split()
                 new = set(words).difference(known)
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = set(words)
                 for w in new:
                     known[w] = count(b" " + w)
                 counts = list(map(known.__getitem__, words))
+                if len(known) > CACHE_WORDS:  # words met early are the frequent ones and stay
+                    for w in new:
+                        del known[w]
                 rows.append((len(words), sum(counts), max(counts, default=0)))
             cols = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n_words", "n_tokens", "longest_word_tokens"])
