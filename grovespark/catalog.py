@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from grovespark.plans import queries as plans
+
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(plans.ORACLES)
