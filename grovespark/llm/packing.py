@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import gc
 import os
 import re
 import zlib
@@ -29,8 +30,9 @@ END_ID = 1
 NODE_BUDGET = 20_000
 FILL_STEPS = 400
 FILL_WIDTH = 6
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
+#: Words, and runs of letters or signs in words, whose ids a Python worker remembers.
+CACHE_WORDS = 900_000
+CACHE_RUNS = 900_000
 #: Rows that a block of the ranking holds on average, at most, and least blocks.
 BLOCK_ROWS = 2_000_000
 LEAST_BLOCKS = 64
@@ -41,8 +43,9 @@ MARK = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: How the vocabulary's own pre-tokenizer splits lower-case ASCII.
-_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words that normalising only puts in lower case, and how the vocabulary's pre-tokenizer splits these.
+_SIMPLE = re.compile(r"[\x21-\x7e\u00c0-\u00ff]+")
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
 class WordIds:
@@ -70,21 +73,21 @@ class WordIds:
             into.update((w, data[4 * a : 4 * b - 4]) for w, a, b in zip(part, at, at[1:]))
 
     def learn(self, words: list[str]) -> None:
-        """Encode words. Normalising leaves ASCII words as they are in lower case, and each run of their
-        letters or signs is encoded by itself, so these parts are what is remembered of them."""
-        ascii_words, others = [], []
+        """Encode words. Each run of letters or signs is encoded by itself, so of words whose normal form is
+        plain, these parts are remembered too."""
+        simple, others = [], []
         for w in words:
             if "<|" in w:
                 self.known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
-                (ascii_words if w.isascii() else others).append(w)
+                (simple if w.isascii() or _SIMPLE.fullmatch(w) else others).append(w)
         self._encode(self.tokenizer, others, self.known)
-        split = [_RUN.findall(w.lower()) for w in ascii_words]
+        split = [_RUN.findall(w.lower()) for w in simple]
         runs = self.runs
         missing = list({x for y in split for x in y}.difference(runs))
         self._encode(self.plain, missing, runs)
-        self.known.update((w, b"".join(map(runs.__getitem__, y))) for w, y in zip(ascii_words, split))
-        if len(runs) > CACHE_WORDS:
+        self.known.update((w, b"".join(map(runs.__getitem__, y))) for w, y in zip(simple, split))
+        if len(runs) > CACHE_RUNS:
             for x in missing:
                 del runs[x]
 
@@ -119,6 +122,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer)
+        gc.disable()  # this worker makes strings and numbers only, which need no cycle collector
         for batch in batches:
             rows = []
             texts = [x or "" for x in batch.column("text").to_pylist()]
