@@ -45,7 +45,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Words that normalising only puts in lower case, and how the vocabulary's pre-tokenizer splits these.
 _SIMPLE = re.compile(r"[\x21-\x7e\u00c0-\u00ff]+")
-_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
 class WordIds:
