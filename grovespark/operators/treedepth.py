@@ -20,8 +20,8 @@ def closed_forms(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.shapes(vertices, edges).select("graph_id", "n", "shape", td.cast("int").alias("td"))
 
 
-def small_table(spark: SparkSession, most: int = SMALL) -> DataFrame:
-    """(n, edge_mask, td, root) of every connected graph of 1 to most vertices; bit k is the k-th pair in lexicographic order.
+def small_table(spark: SparkSession, most: int = SMALL, connected: bool = True) -> DataFrame:
+    """(n, edge_mask, td, root) of every connected (or else every) graph of 1 to most vertices; bit k is the k-th pair in lexicographic order.
 
     Masks come from a range and are solved by definition where they lie, so the table scales with tasks.
     """
@@ -38,10 +38,12 @@ def small_table(spark: SparkSession, most: int = SMALL) -> DataFrame:
             for n, mask in zip(*(batch.column(c).to_pylist() for c in ("n", "edge_mask"))):
                 pairs = [(u, v) for u in range(n) for v in range(u + 1, n)]
                 nb, whole = bg.build(n, [p for k, p in enumerate(pairs) if mask >> k & 1]), (1 << n) - 1
-                if len(bg.components(nb, whole)) == 1:
+                parts = bg.components(nb, whole)
+                if len(parts) == 1 or not connected:
                     memo: dict[int, int] = {}
                     td = bg.brute_force(nb, whole, memo)
-                    root = next(v for v in range(n) if 1 + bg.brute_force(nb, whole & ~(1 << v), memo) == td)
+                    deep = next(c for c in parts if bg.brute_force(nb, c, memo) == td)
+                    root = next(v for v in bg.bits(deep) if 1 + bg.brute_force(nb, deep & ~(1 << v), memo) == td)
                     out.append((n, mask, td, root))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["n", "edge_mask", "td", "root"])
@@ -58,9 +60,9 @@ def edge_masks(vertices: DataFrame, edges: DataFrame, most: int = SMALL) -> Data
 
 
 def small_treedepth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, n, td) of connected graphs of at most SMALL vertices by the table, which has 772 rows and is broadcast."""
+    """(graph_id, n, td) of graphs of at most SMALL vertices by the table of all of them, which has 1099 rows and is broadcast."""
     found = edge_masks(vertices, edges)
-    return found.join(F.broadcast(small_table(vertices.sparkSession)), ["n", "edge_mask"]).select("graph_id", "n", "td")
+    return found.join(F.broadcast(small_table(vertices.sparkSession, connected=False)), ["n", "edge_mask"]).select("graph_id", "n", "td")
 
 
 def trivial_bounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ x{i + 1} AS MATERIALIZED (SELECT graph_id, v, y / sqrt(sum(y * y) OVER (PARTITIO
     return G + out + " SELECT graph_id, v, round(x, 6) AS score FROM x8"
 
 
-def _mask_dp(prefix: str, vertices: str, edges: str, connected_only: bool) -> str:
+def _mask_dp(prefix: str, vertices: str, edges: str) -> str:
     """Treedepth of graphs of at most five vertices by definition, over masks of vertices by size."""
     parts = f"""{prefix},
 vi AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS i FROM {vertices}),
@@ -160,8 +160,7 @@ t{k} AS MATERIALIZED (
   SELECT * FROM t{k - 1}
   UNION ALL SELECT s.graph_id, s.mask, 1 + min(t.t) FROM s{k} s JOIN vi ON vi.graph_id = s.graph_id AND (s.mask >> vi.i) & 1 = 1 JOIN t{k - 1} t ON t.graph_id = s.graph_id AND t.mask = xor(s.mask, (1 << vi.i)::BIGINT) WHERE s.c = s.mask GROUP BY 1, 2
   UNION ALL SELECT s.graph_id, s.mask, greatest(a.t, b.t) FROM s{k} s JOIN t{k - 1} a ON a.graph_id = s.graph_id AND a.mask = s.c JOIN t{k - 1} b ON b.graph_id = s.graph_id AND b.mask = xor(s.mask, s.c) WHERE s.c <> s.mask)"""
-    where = " AND f4.c = f4.mask" if connected_only else ""
-    return parts + f" SELECT nn.graph_id, nn.n::INT AS n, t.t::INT AS td FROM nn JOIN t5 t ON t.graph_id = nn.graph_id AND t.mask = (1 << nn.n) - 1 JOIN f4 ON f4.graph_id = nn.graph_id AND f4.mask = t.mask{where}"
+    return parts + " SELECT nn.graph_id, nn.n::INT AS n, t.t::INT AS td FROM nn JOIN t5 t ON t.graph_id = nn.graph_id AND t.mask = (1 << nn.n) - 1"
 
 
 REGIONS = G + ", rv AS (SELECT * FROM gv WHERE graph_id <> 'trade'), re AS (SELECT * FROM adj WHERE graph_id <> 'trade')"
@@ -196,10 +195,10 @@ bc AS (
   WHERE a.s <> a.t AND b.s <> b.t AND a.s <> b.t AND a.d + b.d = c.d GROUP BY 1, 2)"""
 
 ORACLES = {
-    "td_region": _mask_dp(REGIONS, "rv", "re", True),
-    "td_small_batch": _mask_dp(ORDERS, "ov", "oe", True),
-    "td_brute_force": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS, "rv", "re", False) + ")",
-    "td_fixpoint": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS, "rv", "re", False) + ")",
+    "td_region": _mask_dp(REGIONS, "rv", "re"),
+    "td_small_batch": _mask_dp(ORDERS, "ov", "oe"),
+    "td_brute_force": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS, "rv", "re") + ")",
+    "td_fixpoint": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS, "rv", "re") + ")",
     "canonical_edges": G + " SELECT * FROM ge",
     "adjacency": G + " SELECT * FROM adj",
     "degree": G + " SELECT graph_id, v, d AS degree FROM deg",
