@@ -5,6 +5,7 @@ These are the per-graph kernels that Arrow functions call; a graph is a batch ro
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Iterator
 
@@ -166,8 +167,91 @@ class OutOfTime(Exception):
     pass
 
 
+class TooLarge(Exception):
+    pass
+
+
+#: Elimination orders tried for an upper bound, and steps of growing before separators take over.
+ORDERS = 60
+GROW_STEPS = 50_000_000
+
+
+def elimination_parents(nb: list[int], mask: int, weight: float, rng: random.Random) -> tuple[int, dict[int, int]]:
+    """(depth, parents) of the forest of an elimination order that prefers low and loosely tied vertices."""
+    left = {v: nb[v] & mask for v in bits(mask)}
+    height = dict.fromkeys(left, 1)
+    noise = {v: rng.random() * 0.5 for v in left}
+    gone: list[tuple[int, int]] = []
+    while left:
+        v = min(left, key=lambda x: height[x] + weight * left[x].bit_count() + noise[x])
+        beside = left.pop(v)
+        gone.append((v, beside))
+        for u in bits(beside):
+            left[u] = (left[u] | beside) & ~(1 << u | 1 << v)
+            height[u] = max(height[u], height[v] + 1)
+    when = {v: k for k, (v, _) in enumerate(gone)}
+    return max(height.values()), {v: min(bits(beside), key=when.__getitem__) if beside else -1 for v, beside in gone}
+
+
+def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
+    """Parents of an elimination tree of depth at most limit for a connected set, or None if there is none.
+
+    Round i holds all connected sets of treedepth at most i with few enough neighbours, limit - i at
+    most, to hang below these. A set of the next round is a vertex and sets beside it that do not touch
+    each other; one of them must be new. Neighbours of the parts other than the vertex stay outside for
+    good, which cuts a combination off as soon as they are too many (after Trimble, 2020).
+    """
+    root: dict[int, int] = {}
+    old: dict[int, list[tuple[int, int]]] = {w: [] for w in bits(mask)}  # sets next to w, with their neighbours
+    new: dict[int, list[tuple[int, int]]] = {w: [] for w in old}
+    for i in range(1, limit + 1):
+        room, made = limit - i, {}
+        for w in old:
+            own, bit = nb[w] & mask, 1 << w
+            if i == 1 and own.bit_count() <= room:
+                made[bit] = w
+            for f, (part, edge) in enumerate(new[w]):
+                if (edge & ~bit).bit_count() > room:
+                    continue
+                more = [x for x in (*old[w], *new[w][f + 1 :]) if not x[0] & (part | edge)]
+                todo = [(part, edge, 0)]
+                while todo:
+                    union, beside, at = todo.pop()
+                    check()
+                    whole = union | bit
+                    if ((beside | own) & ~whole).bit_count() <= room and whole not in root and whole not in made:
+                        made[whole] = w
+                    for k in range(at, len(more)):
+                        part2, edge2 = more[k]
+                        if not part2 & (union | beside) and ((beside | edge2) & ~bit).bit_count() <= room:
+                            todo.append((union | part2, beside | edge2, k + 1))
+        for w in old:
+            old[w] += new[w]
+            new[w] = []
+        root |= made
+        if mask in root:
+            break
+        for found in made:
+            edge = around(nb, found) & mask
+            for w in bits(edge):
+                new[w].append((found, edge))
+    else:
+        return None
+    parents: dict[int, int] = {}
+    todo = [(mask, -1)]
+    while todo:
+        part, up = todo.pop()
+        v = root[part]
+        parents[v] = up
+        todo += [(c, v) for c in components(nb, part & ~(1 << v))]
+    return parents
+
+
 class Solver:
-    """Exact treedepth of connected sets by branching on separators, with proved bounds for each set met.
+    """Exact treedepth of connected sets, with proved bounds for each set met.
+
+    A whole set is bounded from above by elimination orders and from below by growing sets from the
+    leaves up for rising depths, until both meet; where growing takes too long, by branching on separators.
 
     A set of treedepth t that is not complete has a fully minimal separator S with t = |S| plus the
     largest treedepth beside S. States are vertex sets; each keeps a lower and an upper bound and the
@@ -254,14 +338,65 @@ class Solver:
         got[0] = max(got[0], k + 1)
         return False
 
+    def improve(self, mask: int, parent: dict[int, int]) -> None:
+        """Take over a tree of a connected set wherever it is lower than what is known."""
+        below: dict[int, list[int]] = {}
+        for v, up in parent.items():
+            below.setdefault(up, []).append(v)
+        order = list(below.get(-1, ()))
+        for v in order:
+            order += below.get(v, ())
+        sets: dict[int, int] = {}
+        height: dict[int, int] = {}
+        for v in reversed(order):
+            kids = below.get(v, ())
+            sets[v], height[v] = 1 << v, 1 + max((height[w] for w in kids), default=0)
+            for w in kids:
+                sets[v] |= sets[w]
+            got = self.bounds(sets[v])
+            if height[v] < got[1]:
+                got[1], got[2] = height[v], 1 << v
+
+    def _orders(self, mask: int) -> None:
+        """Upper bounds by elimination orders of several weights."""
+        rng, got = random.Random(1), self.bounds(mask)
+        for k in range(ORDERS):
+            self.check()
+            depth, parent = elimination_parents(self.nb, mask, (0.1, 0.3, 0.6, 1.0, 2.0)[k % 5], rng)
+            if depth < got[1]:
+                self.improve(mask, parent)
+            if got[0] == got[1]:
+                return
+
     def solve(self, mask: int) -> tuple[int, int]:
         """(lower, upper) of a connected set; equal unless time ran out."""
+        got = self.bounds(mask)
         try:
-            while self.bounds(mask)[0] < self.bounds(mask)[1]:
-                self.within(mask, self.bounds(mask)[0])
+            if got[0] < got[1]:
+                self._orders(mask)
+            steps = GROW_STEPS
+
+            def step() -> None:
+                nonlocal steps
+                steps -= 1
+                if steps % 256 == 0:
+                    self.check()
+                    if steps <= 0:
+                        raise TooLarge
+
+            try:
+                while got[0] < got[1]:
+                    parent = grown(self.nb, mask, got[0], step)
+                    if parent is None:
+                        got[0] += 1
+                    else:
+                        self.improve(mask, parent)
+            except TooLarge:
+                pass
+            while got[0] < got[1]:
+                self.within(mask, got[0])
         except OutOfTime:
             pass
-        got = self.bounds(mask)
         return got[0], got[1]
 
     def tree(self, mask: int, above: int = -1) -> dict[int, int]:
