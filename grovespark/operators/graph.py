@@ -203,3 +203,8 @@ def non_dominated(vertices: DataFrame, edges: DataFrame, members: DataFrame | No
     tops = deg.groupBy("graph_id").agg(F.max("degree").alias("top"), F.min("v").alias("first"))
     alone = deg.where("degree = 0").join(tops, "graph_id").where("top > 0 OR v > first").select(*V)
     return among.join(beaten.union(alone), V, "left_anti")
+
+
+def super_ids(sets: DataFrame) -> DataFrame:
+    """(graph_id, vset, id): a contracted set is named by its least member, so equal sets share a name and disjoint sets never do."""
+    return sets.select("graph_id", "vset", F.array_min("vset").alias("id"))
