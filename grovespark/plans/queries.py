@@ -22,6 +22,10 @@ def _even(vertices):
     return vertices.where("v % 2 = 0")
 
 
+def _spelled(column):
+    return F.array_join(F.col(column).cast("array<string>"), " ").alias(column)
+
+
 def _rounded(df):
     return df.withColumn("score", F.round("score", 6))
 
@@ -92,11 +96,14 @@ QUERIES = {
     "td_tree": lambda spark, d: kernels.tree_treedepth(*_bfs_tree(*tables.trade_graphs(spark, d))),
     "td_brute_force": _on(kernels.brute_force, tables.region_graphs),
     "td_fixpoint": _on(treedepth.fixpoint, tables.region_graphs),
-    "td_solve": _on(lambda v, e: kernels.results(kernels.solve(v, e)), tables.region_graphs),
+    "td_solve": _on(lambda v, e: kernels.solve(v, e).select("graph_id", "n", "td"), tables.region_graphs),
     "solve_trade": _on(lambda v, e: kernels.results(kernels.solve(v, e))),
     "elimination_tree": _on(lambda v, e: kernels.trees(kernels.solve(v, e))),
     "verify_tree": _on(_verify),
-    "small_td_table": lambda spark, d: treedepth.small_table(spark),
+    "small_td_table": lambda spark, d: treedepth.small_table(spark).select("n", "edge_mask", "td"),
+    "fm_separators_region": _on(lambda v, e: kernels.fully_minimal_separators(v, e).select("graph_id", _spelled("sep")), tables.region_graphs),
+    "minimal_separators_region": _on(lambda v, e: kernels.separators(v, e).select("graph_id", _spelled("sep")), tables.region_graphs),
+    "automorphism_count": _on(lambda v, e: kernels.automorphism_summary(v, e).select("graph_id", "group_size", "orbits"), tables.region_graphs),
     "minimal_separators": _on(kernels.separators),
     "fm_separators": _on(kernels.fully_minimal_separators),
     "orbits": _on(kernels.orbits, tables.region_graphs),
@@ -141,7 +148,7 @@ x{i + 1} AS MATERIALIZED (SELECT graph_id, v, y / sqrt(sum(y * y) OVER (PARTITIO
     return G + out + " SELECT graph_id, v, round(x, 6) AS score FROM x8"
 
 
-def _mask_dp(prefix: str, vertices: str, edges: str) -> str:
+def _mask_dp(prefix: str, vertices: str, edges: str, where: str = "") -> str:
     """Treedepth of graphs of at most five vertices by definition, over masks of vertices by size."""
     parts = f"""{prefix},
 vi AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS i FROM {vertices}),
@@ -160,7 +167,7 @@ t{k} AS MATERIALIZED (
   SELECT * FROM t{k - 1}
   UNION ALL SELECT s.graph_id, s.mask, 1 + min(t.t) FROM s{k} s JOIN vi ON vi.graph_id = s.graph_id AND (s.mask >> vi.i) & 1 = 1 JOIN t{k - 1} t ON t.graph_id = s.graph_id AND t.mask = xor(s.mask, (1 << vi.i)::BIGINT) WHERE s.c = s.mask GROUP BY 1, 2
   UNION ALL SELECT s.graph_id, s.mask, greatest(a.t, b.t) FROM s{k} s JOIN t{k - 1} a ON a.graph_id = s.graph_id AND a.mask = s.c JOIN t{k - 1} b ON b.graph_id = s.graph_id AND b.mask = xor(s.mask, s.c) WHERE s.c <> s.mask)"""
-    return parts + " SELECT nn.graph_id, nn.n::INT AS n, t.t::INT AS td FROM nn JOIN t5 t ON t.graph_id = nn.graph_id AND t.mask = (1 << nn.n) - 1"
+    return parts + " SELECT nn.graph_id, nn.n::INT AS n, t.t::INT AS td FROM nn JOIN t5 t ON t.graph_id = nn.graph_id AND t.mask = (1 << nn.n) - 1 JOIN f4 ON f4.graph_id = nn.graph_id AND f4.mask = t.mask" + where
 
 
 REGIONS = G + ", rv AS (SELECT * FROM gv WHERE graph_id <> 'trade'), re AS (SELECT * FROM adj WHERE graph_id <> 'trade')"
@@ -194,7 +201,49 @@ bc AS (
   FROM sp a JOIN sp b ON b.graph_id = a.graph_id AND b.s = a.t JOIN sp c ON c.graph_id = a.graph_id AND c.s = a.s AND c.t = b.t
   WHERE a.s <> a.t AND b.s <> b.t AND a.s <> b.t AND a.d + b.d = c.d GROUP BY 1, 2)"""
 
+#: All graphs of one to five vertices.
+SMALL = """WITH RECURSIVE
+mk AS (SELECT n, unnest(range(0, 1 << (n * (n - 1) // 2))) AS em FROM (SELECT unnest([1, 2, 3, 4, 5]) AS n)),
+sv AS (SELECT n || '_' || em AS graph_id, n, em, unnest(range(0, n)) AS v FROM mk),
+half AS (SELECT a.graph_id, a.v AS a, b.v AS b FROM sv a JOIN sv b ON a.graph_id = b.graph_id AND a.v < b.v WHERE (a.em >> (a.v * (2 * a.n - a.v - 1) // 2 + b.v - a.v - 1)) & 1 = 1),
+se AS (SELECT graph_id, a AS src, b AS dst FROM half UNION ALL SELECT graph_id, b, a FROM half)"""
+
+#: Minimal separators by definition: sets of a component that two components beside them see whole.
+SEPARATORS = REGIONS + _reach("rv", "re", "comp") + """,
+vi AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS i, component FROM comp),
+masks AS (SELECT DISTINCT graph_id, component, unnest(range(1, 32)) AS mask FROM vi),
+sub AS (
+  SELECT m.* FROM masks m WHERE NOT EXISTS (SELECT 1 FROM range(0, 5) r(i) LEFT JOIN vi ON vi.graph_id = m.graph_id AND vi.i = r.i AND vi.component = m.component WHERE (m.mask >> r.i) & 1 = 1 AND vi.v IS NULL)),
+beside AS (SELECT s.graph_id, s.component, s.mask, vi.v FROM sub s JOIN vi ON vi.graph_id = s.graph_id AND vi.component = s.component AND (s.mask >> vi.i) & 1 = 0),
+far AS (
+  SELECT graph_id, mask, component, v AS s, v FROM beside
+  UNION SELECT f.graph_id, f.mask, f.component, f.s, b.v FROM far f JOIN re ON re.graph_id = f.graph_id AND re.src = f.v JOIN beside b ON b.graph_id = f.graph_id AND b.mask = f.mask AND b.component = f.component AND b.v = re.dst),
+parts AS (SELECT graph_id, mask, component, v, min(s) AS part FROM far GROUP BY 1, 2, 3, 4),
+sees AS (
+  SELECT p.graph_id, p.mask, p.component, p.part, bit_count(p.mask) AS size, count(DISTINCT vi.i) FILTER ((p.mask >> vi.i) & 1 = 1) AS seen
+  FROM parts p JOIN re ON re.graph_id = p.graph_id AND re.src = p.v JOIN vi ON vi.graph_id = p.graph_id AND vi.v = re.dst GROUP BY 1, 2, 3, 4, 5),
+seps AS (SELECT graph_id, mask, count(*) FILTER (seen = size) AS whole, count(*) AS parts FROM sees GROUP BY 1, 2)
+SELECT s.graph_id, string_agg(vi.v::VARCHAR, ' ' ORDER BY vi.v) AS sep FROM seps s JOIN vi ON vi.graph_id = s.graph_id AND (s.mask >> vi.i) & 1 = 1 WHERE whole >= 2 AND {} GROUP BY s.graph_id, s.mask"""
+
+#: Permutations of five vertices that keep every edge.
+AUTOMORPHISMS = REGIONS + """,
+vi AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS i FROM rv),
+ei AS (SELECT a.graph_id, a.i, b.i AS j FROM re JOIN vi a ON a.graph_id = re.graph_id AND a.v = src JOIN vi b ON b.graph_id = re.graph_id AND b.v = dst),
+r AS (SELECT unnest(range(0, 5)) AS x),
+perms AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS p FROM r a JOIN r b ON b.x <> a.x JOIN r c ON c.x NOT IN (a.x, b.x) JOIN r d ON d.x NOT IN (a.x, b.x, c.x) JOIN r e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+good AS (
+  SELECT g.graph_id, p FROM (SELECT DISTINCT graph_id FROM rv) g, perms
+  WHERE NOT EXISTS (SELECT 1 FROM ei e WHERE e.graph_id = g.graph_id AND NOT EXISTS (SELECT 1 FROM ei f WHERE f.graph_id = g.graph_id AND f.i = p[e.i + 1] AND f.j = p[e.j + 1]))),
+low AS (SELECT graph_id, x, min(p[x + 1]) AS low FROM good, r GROUP BY 1, 2)
+SELECT graph_id, n AS group_size, orbits FROM (SELECT graph_id, count(*) AS n FROM good GROUP BY 1) JOIN (SELECT graph_id, count(DISTINCT low) AS orbits FROM low GROUP BY 1) USING (graph_id)"""
+
 ORACLES = {
+    "td_solve": _mask_dp(REGIONS, "rv", "re"),
+    "small_td_table": "SELECT n, split_part(graph_id, '_', 2)::BIGINT AS edge_mask, td FROM (" + _mask_dp(SMALL, "sv", "se", " WHERE f4.c = f4.mask") + ")",
+    "minimal_separators_region": SEPARATORS.replace("{}", "true"),
+    "fm_separators_region": SEPARATORS.replace("{}", "whole = parts"),
+    "automorphism_count": AUTOMORPHISMS,
     "td_region": _mask_dp(REGIONS, "rv", "re"),
     "td_small_batch": _mask_dp(ORDERS, "ov", "oe"),
     "td_brute_force": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS, "rv", "re") + ")",
