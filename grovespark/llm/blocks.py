@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from grovespark.llm.common import bounded_batches, table
 
-PATH_DIM = 48
+PATH_DIM = 96
 WORD_DIM = 24
 MEASURES = 7
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 16
-TRAIN_PAGES = 600
-EPOCHS = 6
+TRAIN_PAGES = 1000
+EPOCHS = 8
 BATCH = 30
 RATE = 0.01
 SEED = 11
@@ -326,7 +326,8 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
 
     def comments() -> str:
         one = pick("<li><b>{}</b><p>{}</p></li>", '<div class="comment"><span>{}</span><p>{}</p></div>', "<p>{}: {}</p>")
-        return pick('<section class="comments">{}</section>', '<div id="comments"><h3>x</h3>{}</div>', '<ol class="comment-list">{}</ol>').format("".join(one.format(word(), sentence(5, 60)) for _ in range(rng.integers(1, 6))))
+        heading = pick("", "<h2>{}</h2>", "<h3>{}</h3>", "<h4>{}</h4>").format(pick("Comments", f"{rng.integers(2, 90)} comments", "Discussion", sentence(1, 4)))
+        return pick('<section class="comments">{}</section>', '<section id="comments">{}</section>', '<div id="comments">{}</div>', '<div class="discussion comments">{}</div>', '<ol class="comment-list">{}</ol>').format(heading + "".join(one.format(word(), sentence(5, 60)) for _ in range(rng.integers(1, 6))))
 
     def article() -> str:
         body = [keep(sentence(1, 9, noise), pick("h1", "h1", "h2"))]
@@ -340,13 +341,18 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
                 body.append(f"<blockquote>{keep(sentence(4, 40, noise), 'p')}</blockquote>")
             elif kind < 0.9:
                 body.append("<ul>" + "".join(keep(sentence(1, 12, noise), "li") for _ in range(rng.integers(1, 5))) + "</ul>")
-            elif kind < 0.94:
+            elif kind < 0.92:
+                cells = "".join("<tr>" + "".join(keep(sentence(1, 7, noise), "td") for _ in range(2)) + "</tr>" for _ in range(rng.integers(1, 4)))
+                body.append(f"<table>{cells}</table>")
+            elif kind < 0.93:
+                body.append(f"<figure><img src=x>{keep(sentence(2, 12, noise), 'figcaption')}</figure>")
+            elif kind < 0.95:
                 main.append(first := sentence(2, 20, noise))
                 main.append(second := sentence(2, 20, noise))
                 body.append(f"<p><b>{html.escape(first, quote=False)}<br>" + (f"<p>{html.escape(second, quote=False)}</p>"))
             else:
                 body.append(pick(advert, aside, notice)())
-        if rng.random() < 0.2:
+        if rng.random() < 0.35:
             body.append(comments())
         return pick("<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main" class="post">{}</div>', '<div class="article-body">{}</div>').format("".join(body))
 
@@ -355,7 +361,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
     before = [f() for f in (menu, advert, notice, aside) if rng.random() < 0.6] + ([f'<header><a href="/">{word()}</a><p>{sentence(1, 6)}</p></header>'] if rng.random() < 0.3 else [])
     rng.shuffle(before)
     middle = article()
-    after = [f() for f in (comments, aside, advert, notice) if rng.random() < 0.35]
+    after = [f() for f in (comments, aside, advert, notice) if rng.random() < 0.45]
     foot = pick("<footer>&copy; {} &middot; {}</footer>", "<footer><p>&copy; {}</p><p>{}</p></footer>", '<div class="footer">{} {}</div>', '<div id="footer"><p>{}</p><p>{}</p></div>').format(word(), sentence(1, 20))
     return head + "".join(before) + middle + "".join(after) + foot + "</body></html>", " ".join(x for x in main if x)
 
@@ -374,7 +380,7 @@ def training_page(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Names that only the surroundings of made-up pages have.
-_OUTSIDE = frozenset("nav menu navigation header ad ads advert sponsored promo aside sidebar related cookie consent newsletter form comments comment footer title".split())
+_OUTSIDE = frozenset("nav menu navigation header ad ads advert sponsored promo aside sidebar related cookie consent newsletter form comments comment discussion footer title".split())
 
 
 @functools.lru_cache(maxsize=2)
