@@ -7,7 +7,9 @@ CONTEXT_CHARS, and are reported from THRESHOLD on.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,12 +31,22 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _ASSIGNED = re.compile(r"(?i)(?<![A-Za-z0-9])(?:password|passwd|secret|token|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\"']?([A-Za-z0-9+/_-]{8,200})")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 
+#: Characters of an IBAN by country (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
 _CONTEXT = {
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
     "secret": re.compile(r"(?i)(?:password|passwd|secret|token|key|credential)"),
@@ -56,6 +68,13 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+@functools.lru_cache(maxsize=1000)
+def _iban_rest(country: str) -> re.Pattern:
+    """What follows country and check digits: as many characters as the country's numbers have, or a whole run of 11 to 30."""
+    many = str(IBAN_LENGTHS[country] - 4) if country in IBAN_LENGTHS else "11,30"
+    return re.compile(rf"(?:\x20?[A-Z0-9]){{{many}}}(?![A-Za-z0-9])")
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches without overlap, from each @: linear even in long runs of letters."""
     done = run = 0
@@ -100,7 +119,8 @@ def more_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     found = []
     if re.search("[0-9]", text):
         for m in _IBAN.finditer(text):
-            found.append(("iban", *m.span(), 0.2 + 0.5 * mod97(m[0])))
+            if rest := _iban_rest(m[1]).match(text, m.end()):
+                found.append(("iban", m.start(), rest.end(), 0.2 + 0.5 * mod97(text[m.start() : rest.end()])))
         found += [("secret", *m.span(), 0.9) for m in _KEY.finditer(text)]
         found += [("secret", *m.span(1), 0.7) for m in _ASSIGNED.finditer(text) if re.search("[0-9]", m[1])]
         for m in _SSN.finditer(text):
@@ -108,9 +128,16 @@ def more_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             issued = area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
             found.append(("ssn", *m.span(), 0.3 + 0.1 * issued))
         found += [("local_phone", *m.span(), 0.4) for m in _LOCAL_PHONE.finditer(text)]
+    ordered = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in ordered], list(itertools.accumulate((b for _, b in ordered), max))
     out: list[tuple[str, int, int]] = []
+    taken: list[tuple[int, int]] = []  # of out, ascending; they never overlap
     for kind, start, end, score in found:
-        if score + 0.25 * _near(kind, text, start, end) >= THRESHOLD and not any(a < end and start < b for _, a, b in base + out):
+        if score + 0.25 * _near(kind, text, start, end) < THRESHOLD:
+            continue
+        before, at = bisect.bisect_left(starts, end), bisect.bisect_left(taken, (end, 0))
+        if not (before and reach[before - 1] > start) and not (at and taken[at - 1][1] > start):
+            taken.insert(at, (start, end))
             out.append((kind, start, end))
     return out
 
