@@ -28,6 +28,8 @@ BAND = 16
 MIN_SCORE = 0.5
 #: Items in one broadcast block; more items take more passes over the documents.
 BLOCK_ITEMS = 20_000
+#: Characters of the items of a block, on average at most.
+BLOCK_CHARS = 8 << 20
 #: Cells of one batch of alignments.
 BATCH_CELLS = 1 << 20
 
@@ -58,11 +60,12 @@ class Grams:
         self.short = {len(x) for x in self.items.values() if 0 < len(x) < GRAM}
 
     def key(self, ids: list[int]) -> int:
-        """Exact: digits of the words' numbers plus one, so shorter grams differ from longer ones."""
+        """Digits of the words' numbers plus one, so shorter grams differ from longer ones; from two million
+        words on it wraps at 64 bits as in windows(), where grams that then meet only cost an alignment."""
         out = 0
         for i in ids:
             out = out * self.base + i + 1
-        return out
+        return (out + (1 << 63)) % (1 << 64) - (1 << 63)
 
     def ids(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.vocab.get(w, -1) for w in words), np.int64, len(words))
@@ -191,7 +194,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
-    blocks = -(-items.count() // BLOCK_ITEMS) or 1
+    size = items.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["items"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
     out = None
     for k in range(blocks):
         block = [(r["item_id"], r["text"]) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()]
