@@ -316,7 +316,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
         return pick("<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<div id="navigation"><ul>{}</ul></div>', '<ul class="nav">{}</ul>', "<header><nav><ul>{}</ul></nav></header>").format(links(rng.integers(2, 12)))
 
     def advert() -> str:
-        return pick('<div class="ad">{}</div>', '<div class="ads">{}</div>', '<div class="advert banner">{}</div>', '<aside class="sponsored">{}</aside>', '<div class="promo"><p>{}</p></div>').format(sentence(3, 40))
+        return pick('<div class="ad">{}</div>', '<div class="ads">{}</div>', '<div class="advert banner">{}</div>', '<div class="advertisement"><p>{}</p></div>', '<aside class="sponsored">{}</aside>', '<div class="promo"><p>{}</p></div>').format(sentence(3, 40))
 
     def aside() -> str:
         return pick('<aside><h3>{}</h3><ul>{}</ul></aside>', '<div class="sidebar"><h2>{}</h2><ul>{}</ul></div>', '<div class="related"><h4>{}</h4><ul>{}</ul></div>').format(sentence(1, 4), links(rng.integers(2, 7)))
@@ -330,11 +330,12 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
         return pick('<section class="comments">{}</section>', '<section id="comments">{}</section>', '<div id="comments">{}</div>', '<div class="discussion comments">{}</div>', '<ol class="comment-list">{}</ol>').format(heading + "".join(one.format(word(), sentence(5, 60)) for _ in range(rng.integers(1, 6))))
 
     def article() -> str:
-        body = [keep(sentence(1, 9, noise), pick("h1", "h1", "h2"))]
+        paragraph = pick("p", "p", "p", "p", "p", "div", 'div class="para"')
+        body = [keep(sentence(1, 9, noise), pick("h1", "h1", "h2"))] if rng.random() < 0.9 else []
         for _ in range(rng.integers(1, 16)):
             kind = rng.random()
             if kind < 0.75:
-                body.append(keep(sentence(1, pick(4, 20, 150), noise), "p"))
+                body.append(keep(sentence(1, pick(4, 20, 150), noise), paragraph if rng.random() < 0.9 else pick("pre", "dd", "p")))
             elif kind < 0.8:
                 body.append(keep(sentence(1, 6, noise), pick("h2", "h3")))
             elif kind < 0.85:
@@ -342,7 +343,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
             elif kind < 0.9:
                 body.append("<ul>" + "".join(keep(sentence(1, 12, noise), "li") for _ in range(rng.integers(1, 5))) + "</ul>")
             elif kind < 0.92:
-                cells = "".join("<tr>" + "".join(keep(sentence(1, 7, noise), "td") for _ in range(2)) + "</tr>" for _ in range(rng.integers(1, 4)))
+                cells = "".join("<tr>" + "".join(keep(sentence(1, 7, noise), pick("td", "td", "th")) for _ in range(2)) + "</tr>" for _ in range(rng.integers(1, 4)))
                 body.append(f"<table>{cells}</table>")
             elif kind < 0.93:
                 body.append(f"<figure><img src=x>{keep(sentence(2, 12, noise), 'figcaption')}</figure>")
@@ -380,7 +381,7 @@ def training_page(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Names that only the surroundings of made-up pages have.
-_OUTSIDE = frozenset("nav menu navigation header ad ads advert sponsored promo aside sidebar related cookie consent newsletter form comments comment discussion footer title".split())
+_OUTSIDE = frozenset("nav menu navigation header ad ads advert advertisement sponsored promo aside sidebar related cookie consent newsletter form comments comment discussion footer title".split())
 
 
 @functools.lru_cache(maxsize=2)
