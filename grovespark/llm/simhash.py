@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovespark.llm.common import bounded_batches, staged, table
@@ -77,9 +77,10 @@ def links(prints: DataFrame) -> DataFrame:
     one are indexed by all two-bit blanks instead: at most four of them agree there, and any that do
     are linked, so no group is ever expanded into its pairs.
     """
-    signed = prints.select("fp", F.explode(F.expr(_blanked())).alias("sig"))
-    full = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    shared = staged(signed.join(full, "sig"), "signatures")
+    # a fixed number of parts, or a small table would be expanded in one or two tasks
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = prints.select("fp").repartition(parts, "fp").select("fp", F.explode(F.expr(_blanked())).alias("sig"))
+    shared = staged(signed.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1"), "signatures")
     few = shared.where(F.col("n") <= PAIR_BUCKET).select("sig", "fp")
     near = few.select("sig", F.col("fp").alias("a")).join(few.select("sig", F.col("fp").alias("b")), "sig").where(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
