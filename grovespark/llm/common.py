@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches: rows and bytes, so that a batch of very long texts still fits a worker.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
