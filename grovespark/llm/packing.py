@@ -30,9 +30,10 @@ END_ID = 1
 NODE_BUDGET = 20_000
 FILL_STEPS = 400
 FILL_WIDTH = 6
-#: Words, and runs of letters or signs in words, whose ids a Python worker remembers.
+#: Words, and as many runs of letters or signs in words, whose ids a Python worker remembers, and how
+#: many where it shares an executor with what other stages left (about 570 MB and 350 MB).
 CACHE_WORDS = 900_000
-CACHE_RUNS = 900_000
+SMALL_CACHE_WORDS = 200_000
 #: Rows that a block of the ranking holds on average, at most, and least blocks.
 BLOCK_ROWS = 2_000_000
 LEAST_BLOCKS = 64
@@ -54,7 +55,8 @@ class WordIds:
     The vocabulary never joins across white space, so words are encoded once and remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_WORDS):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
@@ -87,7 +89,7 @@ class WordIds:
         missing = list({x for y in split for x in y}.difference(runs))
         self._encode(self.plain, missing, runs)
         self.known.update((w, b"".join(map(runs.__getitem__, y))) for w, y in zip(simple, split))
-        if len(runs) > CACHE_RUNS:
+        if len(runs) > self.remembered:
             for x in missing:
                 del runs[x]
 
@@ -101,18 +103,18 @@ class WordIds:
         missing = set().union(*split).difference(known)
         self.learn(list(missing))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > CACHE_WORDS:  # words met early are the frequent ones and stay
+        if len(known) > self.remembered:  # words met early are the frequent ones and stay
             for w in missing:
                 del known[w]
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str, remembered: int = CACHE_WORDS) -> WordIds:
+    return WordIds(path, remembered)
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = CACHE_WORDS) -> DataFrame:
     """The pieces of each document (doc_id, text): its ids, then end_id, cut only where longer than capacity.
 
     A null or empty text is the end id alone. Rows that repeat give pieces that repeat.
@@ -121,7 +123,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer)
+        encode = word_ids(tokenizer, remembered)
         gc.disable()  # this worker makes strings and numbers only, which need no cycle collector
         for batch in batches:
             rows = []
@@ -349,11 +351,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, remembered: int = SMALL_CACHE_WORDS) -> DataFrame:
     """Pieces of docs (doc_id, text) with their sequence and offset; an empty table gives no rows."""
-    return pack(staged(cut(docs, tokenizer or default_tokenizer()), "pieces"))
+    return pack(staged(cut(docs, tokenizer or default_tokenizer(), remembered=remembered), "pieces"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), remembered=CACHE_WORDS)
