@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds propose passages, Smith-Waterman alignment scores them.
 
-Seeds are word 3-grams of the benchmark items. A first pass over the documents reports where they
-occur; the number of documents that have a seed is its frequency in the whole corpus. Of each item
-the rarer seeds stay; documents that share several with an item on nearby diagonals are aligned
-with it, word by word, so edited and paraphrased copies score by what they keep.
+Seeds are all word 3-grams of the benchmark items, however frequent in the corpus: a seed may be so
+only because the item itself was copied often. Documents that share two with an item on nearby
+diagonals are aligned with it, word by word, so edited and paraphrased copies score by what they
+keep. Each document is judged by itself, so one pass over the texts does it and nothing of them is
+shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, staged, table
+from grovespark.llm.common import bounded_batches, table
 
 GRAM = 3
-#: Seeds of an item that stay: those no more frequent than its median seed, and all in at most so many documents.
-RARE_DOCS = 20
 #: Seeds that a document must share with an item within BAND words of one diagonal.
 MIN_SEEDS = 2
 BAND = 16
@@ -30,6 +30,8 @@ MIN_SCORE = 0.5
 BLOCK_ITEMS = 20_000
 #: Characters of the items of a block, on average at most.
 BLOCK_CHARS = 8 << 20
+#: Places of items that the hits of a text are compared with at a time.
+PLACES = 1 << 20
 #: Cells of one batch of alignments.
 BATCH_CELLS = 1 << 20
 
@@ -54,9 +56,11 @@ class Grams:
             if n:
                 places += [(self.key(ids[i : i + n]), item, i) for i in range(len(ids) - n + 1)]
         places.sort()
-        self.places = places
         self.keys = np.array([p[0] for p in places], dtype=np.int64)
         self.unique = np.unique(self.keys)
+        self.item_of = np.array([p[1] for p in places], dtype=np.int64)
+        self.place_of = np.array([p[2] for p in places], dtype=np.int64)
+        self.seeds: dict[int, int] = Counter(item for _, item in {p[:2] for p in places})
         self.short = {len(x) for x in self.items.values() if 0 < len(x) < GRAM}
 
     def key(self, ids: list[int]) -> int:
@@ -93,6 +97,49 @@ class Grams:
         return self.unique[np.minimum(np.searchsorted(self.unique, keys), len(self.unique) - 1)] == keys
 
 
+    def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(item, first, last): the least and the last diagonal of each band where a text shares MIN_SEEDS seeds with an item.
+
+        A band is 2 * BAND diagonals wide and the next one starts BAND further, so seeds within BAND of
+        each other share one. Items of fewer seeds need all they have.
+        """
+        at, keys = self.windows(words)
+        left = np.searchsorted(self.keys, keys, "left")
+        count = np.searchsorted(self.keys, keys, "right") - left
+        upto = np.cumsum(count)
+        parts, k = [], 0
+        while k < len(keys):  # so many hits at a time that their places fit PLACES
+            to = max(k + 1, int(np.searchsorted(upto, upto[k] - count[k] + PLACES, "right")))
+            n = count[k:to]
+            place = np.arange(n.sum()) + np.repeat(left[k:to] - np.cumsum(n) + n, n)
+            diagonal = np.repeat(at[k:to], n) - self.place_of[place]
+            band = np.concatenate([diagonal // (2 * BAND) * 2, (diagonal + BAND) // (2 * BAND) * 2 - 1])
+            parts.append(_least_and_last((np.tile(self.item_of[place], 2), band, np.tile(self.keys[place], 2)), np.tile(diagonal, 2), np.tile(diagonal, 2)))
+            k = to
+        if not parts:
+            return []
+        (item, band, _), first, last = parts[0] if len(parts) == 1 else _least_and_last(tuple(np.concatenate([p[0][c] for p in parts]) for c in range(3)), *(np.concatenate([p[c] for p in parts]) for c in (1, 2)))
+        starts = _starts((item, band))
+        seeds = np.diff(np.append(starts, len(item)))
+        rows = zip(item[starts].tolist(), seeds.tolist(), np.minimum.reduceat(first, starts).tolist(), np.maximum.reduceat(last, starts).tolist())
+        return sorted({(i, low, high) for i, n, low, high in rows if n >= min(MIN_SEEDS, self.seeds[i])})
+
+
+def _starts(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Where a run of equal keys starts."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _least_and_last(keys: tuple[np.ndarray, ...], low: np.ndarray, high: np.ndarray) -> tuple:
+    """(keys, least low, greatest high) of each distinct key, sorted."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    starts = _starts(keys)
+    return tuple(k[starts] for k in keys), np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
+
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     """(score, end) of the best local alignment of each (item, passage), arrays of word numbers.
 
@@ -117,47 +164,14 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     return list(zip(best.tolist(), end.tolist()))
 
 
-def _hits(docs: DataFrame, grams) -> DataFrame:
-    """(doc_id, key, at): every window of every document that is a gram of the block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = grams.value
-        for batch in batches:
-            ids, keys, at = [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                where, key = block.windows(words_of(text))
-                ids.append(np.full(len(where), k))
-                at.append(where)
-                keys.append(key)
-            rows = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64), pa.int64())
-            cols = [batch.column("doc_id").take(rows), *(pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, at))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "at"])
-
-    return docs.mapInArrow(run, "doc_id long, key long, at long")
-
-
 def _block_matches(docs: DataFrame, items: list[tuple[int, str]], min_score: float) -> DataFrame:
-    spark = docs.sparkSession
-    built = Grams(items)
-    grams = spark.sparkContext.broadcast(built)  # of BLOCK_ITEMS items at most
-    hits = staged(_hits(docs, grams), "seeds")
-    frequency = hits.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"))
-    places = spark.createDataFrame(pa.table({"key": [p[0] for p in built.places], "item_id": [p[1] for p in built.places], "place": [p[2] for p in built.places]}, schema=pa.schema([("key", pa.int64()), ("item_id", pa.int64()), ("place", pa.int64())])))
-    found = places.join(frequency, "key", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    middle = found.groupBy("item_id").agg(F.percentile_approx("docs", 0.5, 1000).alias("middle"), F.count("*").alias("size"))
-    rare = found.join(middle, "item_id").where((F.col("docs") <= F.col("middle")) | (F.col("docs") <= RARE_DOCS)).select("key", "item_id", "place", "size")
-    diagonals = hits.join(rare, "key").select("doc_id", "item_id", "size", "key", (F.col("at") - F.col("place")).alias("diagonal"))
-    # two overlapping rows of bands, so that seeds within BAND of each other share one
-    banded = diagonals.select("*", F.explode(F.array(F.floor(F.col("diagonal") / (2 * BAND)) * 2, F.floor((F.col("diagonal") + BAND) / (2 * BAND)) * 2 - 1)).alias("band"))
-    bands = banded.groupBy("doc_id", "item_id", "band").agg(F.count_distinct("key").alias("seeds"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.first("size").alias("size"))
-    wanted = bands.where(F.col("seeds") >= F.least(F.lit(MIN_SEEDS), F.col("size")))
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "first", "last")).alias("candidates"))
-    joined = docs.alias("d").join(by_doc.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("d.doc_id", "text", "candidates")
+    grams = docs.sparkSession.sparkContext.broadcast(Grams(items))  # of BLOCK_ITEMS items at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = grams.value
         for batch in batches:
             pairs, names, out = [], [], []
+            longest = 0
 
             def flush() -> None:
                 if pairs:
@@ -167,21 +181,25 @@ def _block_matches(docs: DataFrame, items: list[tuple[int, str]], min_score: flo
                 pairs.clear()
                 names.clear()
 
-            for doc, text, candidates in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "candidates"))):
-                ids = block.ids(words_of(text))
-                for c in candidates:
-                    item = block.ids(block.items[c["item_id"]])
-                    low = max(0, c["first"] - BAND)
-                    passage = ids[low : c["last"] + len(item) + len(item) // 2 + BAND]
+            for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
+                words = words_of(text)
+                found = block.candidates(words)
+                ids = block.ids(words) if found else None
+                for number, first, last in found:
+                    item = block.ids(block.items[number])
+                    # a copy of half the score drifts by half the item's words at most, to either side
+                    low = max(0, first - len(item) // 2 - BAND)
+                    passage = ids[low : last + len(item) + len(item) // 2 + BAND]
+                    longest = max(longest, len(passage)) if pairs else len(passage)
                     pairs.append((item, passage))
-                    names.append((doc, c["item_id"], low, len(item)))
-                    if len(pairs) * max(len(p) for _, p in pairs) > BATCH_CELLS:
+                    names.append((doc, number, low, len(item)))
+                    if len(pairs) * longest > BATCH_CELLS:
                         flush()
             flush()
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "end_word"])
 
-    return joined.mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
+    return docs.mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

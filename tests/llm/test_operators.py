@@ -195,6 +195,33 @@ def test_decontamination_finds_copies_and_edits(spark, texts):
     assert hit <= 0.02 * len(clean)
 
 
+@pytest.mark.parametrize("edited, verbatim", [(21, 0), (1000, 0), (1, 100)])
+def test_decontamination_of_items_copied_often(spark, texts, edited, verbatim):
+    items = pd.read_parquet(f"{SF}/benchmark.parquet")
+    item = next(w for w in (t.split() for t in items.text) if len(set(w)) >= 20)
+    copy = [f"edit{k}" if k % 5 == 2 else w for k, w in enumerate(item)]  # keeps two of five 3-grams at most
+    host = texts.text[0].split()[:20]
+    score = brute_align([w.lower() for w in re.findall(r"\w+", " ".join(item))], [w.lower() for w in re.findall(r"\w+", " ".join(host + copy))])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert score >= 0.5 * len(re.findall(r"\w+", " ".join(item)))
+    rows = [(k, " ".join(host + copy)) for k in range(edited)] + [(10_000 + k, " ".join(host + item)) for k in range(verbatim)]
+    found = {r["doc_id"]: r["score"] for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(found) == {r[0] for r in rows} and found[0] == pytest.approx(score / len(re.findall(r"\w+", " ".join(item))))
+
+
+def test_decontamination_of_one_repeated_seed(spark):
+    docs = spark.createDataFrame([(1, "so they said ho ho ho ho ho ho and left")], "doc_id long, text string")
+    assert [r["item_id"] for r in decontam.matches(docs, spark.createDataFrame([(7, "ho ho ho ho ho")], "item_id long, text string")).collect()] == [7]
+
+
+def test_candidates_in_parts(monkeypatch, texts):
+    grams = decontam.Grams(list(enumerate(texts.text[:20])))
+    words = decontam.words_of(" ".join(texts.text[k] for k in (3, 5, 3, 11)))
+    whole = grams.candidates(words)
+    monkeypatch.setattr(decontam, "PLACES", 7)
+    assert whole and grams.candidates(words) == whole
+
+
 def test_decontamination_in_blocks(spark, texts, monkeypatch):
     items = pd.read_parquet(f"{SF}/benchmark.parquet")
     docs, bench = spark.createDataFrame([(k, t + " " + items.text[k % 9]) for k, t in enumerate(texts.text[:60])], "doc_id long, text string"), spark.createDataFrame(items)
