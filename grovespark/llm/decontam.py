@@ -46,7 +46,9 @@ class Grams:
     """The 3-grams of a block of items: where each occurs, and a fast test of all windows of a text."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = {i: words_of(t) for i, t in items}
+        #: by number within the block; rows of one item_id and different texts are items of their own
+        self.items = {k: words_of(t) for k, (_, t) in enumerate(items)}
+        self.item_id = [i for i, _ in items]
         self.vocab = {w: k for k, w in enumerate(sorted({w for x in self.items.values() for w in x}))}
         self.base = len(self.vocab) + 1
         places: list[tuple[int, int, int]] = []
@@ -98,7 +100,7 @@ class Grams:
 
 
     def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(item, first, last): the least and the last diagonal of each band where a text shares MIN_SEEDS seeds with an item.
+        """(number, first, last) of items: the least and the last diagonal of each band where a text shares MIN_SEEDS seeds with an item.
 
         A band is 2 * BAND diagonals wide and the next one starts BAND further, so seeds within BAND of
         each other share one. Items of fewer seeds need all they have.
@@ -192,7 +194,7 @@ def _block_matches(docs: DataFrame, items: list[tuple[int, str]], min_score: flo
                     passage = ids[low : last + len(item) + len(item) // 2 + BAND]
                     longest = max(longest, len(passage)) if pairs else len(passage)
                     pairs.append((item, passage))
-                    names.append((doc, number, low, len(item)))
+                    names.append((doc, block.item_id[number], low, len(item)))
                     if len(pairs) * longest > BATCH_CELLS:
                         flush()
             flush()
@@ -206,8 +208,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
     """(doc_id, item_id, score, end_word): the best passage of each document (doc_id, text) for each item (item_id, text) it copies.
 
     score is the alignment's score over the item's words (1: all of it, word for word), end_word the
-    word after the passage. Null and empty texts and items match nothing. Rows that repeat a doc_id
-    give one row; documents without doc_id are judged together under a null one.
+    word after the passage. Null and empty texts and items match nothing. Items that repeat an item_id
+    with other texts are all looked for, the best of them counts. Rows that repeat a doc_id give one
+    row, so do those without any, under a null one.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

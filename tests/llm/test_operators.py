@@ -214,6 +214,13 @@ def test_decontamination_of_one_repeated_seed(spark):
     assert [r["item_id"] for r in decontam.matches(docs, spark.createDataFrame([(7, "ho ho ho ho ho")], "item_id long, text string")).collect()] == [7]
 
 
+def test_decontamination_of_items_of_one_number(spark):
+    items = [(1, "an item of the first benchmark with some words"), (1, "zebras of another one that has its own numbers from one")]
+    docs = spark.createDataFrame([(10 + k, f"before it {text} after it") for k, (_, text) in enumerate(items)] + [(12, " and ".join(t for _, t in items))], "doc_id long, text string")
+    found = decontam.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in found) == [(10, 1, 1.0), (11, 1, 1.0), (12, 1, 1.0)]
+
+
 def test_candidates_in_parts(monkeypatch, texts):
     grams = decontam.Grams(list(enumerate(texts.text[:20])))
     words = decontam.words_of(" ".join(texts.text[k] for k in (3, 5, 3, 11)))
