@@ -136,6 +136,31 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_keys(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, key, columns): key is a digest of the text, so that it and doc_id name a row up to equal ones."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), *columns)
+
+
+def first_of_components(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The document of the least doc_id of each component, one row each; components without any doc_id stay whole.
+
+    rows (doc_id, key, node) has a row for each of docs, roots (node, root) the nodes linked to others.
+    A row is judged by its own text, whatever other rows have its doc_id, or none.
+    """
+    least = rows.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first"))
+    rooted = staged(least.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    leaders = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    without = leaders.where("first IS NULL").join(rooted.select("root", "node"), "root").select("node")
+    nameless = rows.where("doc_id IS NULL").join(without, "node", "left_semi").select("doc_id", "key").distinct()
+    again = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    named = leaders.where("first IS NOT NULL").select("first.doc_id", "first.key").join(again, ["doc_id", "key"], "left")
+    kept = named.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), (F.coalesce("n", F.lit(1)) > 1).alias("_again")).union(nameless.select("doc_id", "key", F.lit(False)))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_key")))
+    once, more = out.where("NOT _again"), out.where("_again").dropDuplicates(["_id", "_key"])
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns))
+
+
 def first_of_group(docs: DataFrame) -> DataFrame:
     """The document of the least doc_id of each group, one row each; groups without any doc_id stay whole."""
     found = groups(docs).groupBy("doc_id").agg(F.min("component_id").alias("_component"), F.count("*").alias("_rows"))

@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from tests_duck import duck, rows
 from xxhash import xxh64_intdigest
 
-from grovespark.llm import blocks, decontam, fm, linerules, packing, pii, queries, simhash, warc, wordpiece
+import corpus_pipeline
+from grovespark.llm import blocks, decontam, fm, linerules, nearcopies, packing, pii, queries, simhash, warc, wordpiece
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,6 +161,42 @@ def test_automaton_without_cover():
     assert wordpiece.Automaton([b"ab", b"abc", b"d"]).count(b"abx") is None
 
 
+def near_copies(texts, rng):
+    """Texts with edited copies, up to both sides of similarity 0.8, and some that share a long passage only."""
+    out = []
+    for k, text in enumerate(texts):
+        words = text.split()
+        out.append(" ".join(words))
+        for edits in (1, max(1, len(words) // 60), max(1, len(words) // 40)):
+            edited = list(words)
+            for _ in range(edits):
+                edited[rng.randrange(len(words))] = f"edit{rng.random()}"
+            out.append(" ".join(edited))
+    passage = texts[0].split()[:40]
+    return [*out, *(" ".join([f"w{k}x{j}" for j in range(45)] + passage) for k in range(30)), "a b", "a b", "A  B", "", " ", "one"]
+
+
+def test_near_copies_equal_brute_force(spark, texts, monkeypatch):
+    rng = random.Random(7)
+    made = near_copies([t for t in texts.text if len(t.split()) > 20][:40], rng)
+    rng.shuffle(made)
+    sets = []
+    for t in made:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for sample in (1, 32):
+        monkeypatch.setattr(nearcopies, "SAMPLE", sample)
+        assert sorted(r["doc_id"] for r in nearcopies.first_of_group(df).collect()) == sorted(set(root))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == sorted(set(root))
+
+
 def brute_align(a, b):
     best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
