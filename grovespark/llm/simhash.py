@@ -46,16 +46,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of docs (doc_id, text); fp is the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: bool = False) -> DataFrame:
+    """(doc_id, fp) of docs (doc_id, text), with key=True also the digest of row_keys; fp is the fingerprint as a signed 64-bit number."""
     bounded_batches(docs.sparkSession)
+    names = ["doc_id", "key"] if key else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(prints.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return row_keys(docs, "text").select(*names, "text").mapInArrow(run, "doc_id long, key string, fp long" if key else "doc_id long, fp long")
 
 
 def _blanked(fp: str = "fp") -> str:
@@ -162,12 +163,9 @@ def first_of_components(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> D
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """The document of the least doc_id of each group, one row each; groups without any doc_id stay whole."""
-    found = groups(docs).groupBy("doc_id").agg(F.min("component_id").alias("_component"), F.count("*").alias("_rows"))
-    out = docs.join(found.where(F.col("_component").isNull() | (F.col("doc_id") == F.col("_component"))).select(F.col("doc_id").alias("_id"), "_component", "_rows"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = out.where((F.col("_rows") == 1) | F.col("_id").isNull()).where(F.col("_component").isNotNull() | F.col("_id").isNull())
-    again = out.where((F.col("_rows") > 1) & F.col("_id").isNotNull()).dropDuplicates(["_id"])
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    """One document, of the least doc_id, of each group; groups without any doc_id stay whole."""
+    rows = staged(fingerprints(docs, key=True).withColumnRenamed("fp", "node"), "fingerprints")
+    return first_of_components(docs, rows, components(links(rows.select(F.col("node").alias("fp")).distinct())))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,17 @@ def test_automaton_without_cover():
     assert wordpiece.Automaton([b"ab", b"abc", b"d"]).count(b"abx") is None
 
 
+@pytest.mark.parametrize("stage", [simhash.first_of_group, nearcopies.first_of_group])
+def test_survivors_of_null_and_repeated_ids(spark, texts, stage):
+    a, b, c = [t for t in texts.text if len(t.split()) > 40][:3]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in stage(df(rows)).collect()), key=str)
+    # a row without an id that copies a document goes, unique ones stay, as do groups without any id
+    assert kept([(1, a), (None, a), (None, b), (None, c), (None, c)]) == sorted([(1, a), (None, b), (None, c), (None, c)], key=str)
+    # an id on two texts is judged text by text; equal rows are one
+    assert kept([(3, b), (5, b), (5, a), (5, a), (6, a)]) == sorted([(3, b), (5, a)], key=str)
+
+
 def near_copies(texts, rng):
     """Texts with edited copies, up to both sides of similarity 0.8, and some that share a long passage only."""
     out = []
