@@ -293,6 +293,12 @@ def test_seed_keys_wrap_as_windows_do():
     assert grams.windows("one two three four five".split())[1].tolist() == want
 
 
+def test_long_secrets_are_masked_whole(spark):
+    secret = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789", k=300))
+    out = pii.mask(spark.createDataFrame([(1, f"the token={secret} is secret")], "doc_id long, text string")).first()["text"]
+    assert not any(secret[k : k + 8] in out for k in range(293)) and out.startswith("the token=") and out.endswith(" is secret")
+
+
 def test_factorisation_identity_and_accuracy(spark):
     machine, features = fm.Machine(), fm.Features()
     index, value = features("some words and some more !!", None)
