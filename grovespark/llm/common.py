@@ -45,6 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores before it until no column of df has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, staged, table
+from grovespark.llm.common import bounded_batches, fresh, staged, table
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 #: Fingerprints under one blanked half that are still joined pair by pair; more go another exact way.
 PAIR_BUCKET = 32
+#: Bits of the filter that tells most rows without a mark, so that their texts need no join: 8 MB, however many rows.
+SIEVE_BITS = 1 << 26
 #: Shingles hashed at a time, so that a long text needs no more memory than this.
 BLOCK = 1 << 14
 
@@ -142,24 +144,50 @@ def row_keys(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), *columns)
 
 
+def sieve(keys: DataFrame) -> DataFrame:
+    """(bucket, map): a Bloom filter of SIEVE_BITS bits over keys (doc_id, key), small enough to broadcast at any size."""
+    slot = keys.select(F.expr(f"1 + pmod(xxhash64(doc_id, key), {SIEVE_BITS})").alias("slot"))
+    return staged(slot.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("map")), "sieve")
+
+
+def sieved(rows: DataFrame, doc_id: str, key: str, filter_: DataFrame, met: str) -> DataFrame:
+    """rows with a column met: false for rows that the filter's keys do not have, true for the others and few besides.
+
+    rows has columns doc_id and key of these names, and none named met.
+    """
+    slot, bucket, bits = fresh(rows.withColumn(met, F.lit(0)), "slot", "bucket", "map")
+    maps = filter_.select(F.col("bucket").alias(bucket), F.col("map").alias(bits))
+    place = f"bitmap_bit_position(`{slot}`)"
+    byte = f"cast(conv(hex(substring(`{bits}`, cast({place} div 8 + 1 AS int), 1)), 16, 10) AS int)"
+    hit = F.expr(f"coalesce(shiftright({byte}, cast({place} % 8 AS int)) & 1 = 1, false)")
+    placed = rows.withColumn(slot, F.expr(f"1 + pmod(xxhash64(`{doc_id}`, `{key}`), {SIEVE_BITS})"))
+    return placed.join(F.broadcast(maps), F.expr(f"bitmap_bucket_number(`{slot}`)") == F.col(bucket), "left").withColumn(met, hit).drop(slot, bucket, bits)
+
+
 def first_of_components(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The document of the least doc_id of each component, one row each; components without any doc_id stay whole.
 
     rows (doc_id, key, node) has a row for each of docs, roots (node, root) the nodes linked to others.
-    A row is judged by its own text, whatever other rows have its doc_id, or none.
+    A row is judged by its own text, whatever other rows have its doc_id, or none. Only rows that go,
+    or that equal another one, are marked; texts without a mark are not shuffled.
     """
     least = rows.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first"))
     rooted = staged(least.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     leaders = rooted.groupBy("root").agg(F.min("first").alias("first"))
     without = leaders.where("first IS NULL").join(rooted.select("root", "node"), "root").select("node")
     nameless = rows.where("doc_id IS NULL").join(without, "node", "left_semi").select("doc_id", "key").distinct()
-    again = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
-    named = leaders.where("first IS NOT NULL").select("first.doc_id", "first.key").join(again, ["doc_id", "key"], "left")
-    kept = named.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), (F.coalesce("n", F.lit(1)) > 1).alias("_again")).union(nameless.select("doc_id", "key", F.lit(False)))
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_key")))
-    once, more = out.where("NOT _again"), out.where("_again").dropDuplicates(["_id", "_key"])
-    return once.select(*docs.columns).unionByName(more.select(*docs.columns))
+    kept = leaders.where("first IS NOT NULL").select("first.doc_id", "first.key").union(nameless).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    each = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    judged = each.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    marks = judged.select("doc_id", "key", F.when(F.col("_key").isNull(), "gone").when(F.col("doc_id").isNotNull() & (F.col("n") > 1), "once").alias("mark")).where("mark IS NOT NULL")
+    marks = staged(marks, "marks")
+    doc, digest, met, mark, of, by = fresh(docs, "doc", "digest", "met", "mark", "of", "by")
+    keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(digest, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = sieved(keyed, doc, digest, sieve(marks.select("doc_id", "key")), met)
+    named = marks.select(F.col("doc_id").alias(of), F.col("key").alias(by), F.col("mark").alias(mark))
+    some = keyed.where(met).join(named, F.col(doc).eqNullSafe(F.col(of)) & (F.col(digest) == F.col(by)), "left")
+    once = some.where(F.col(mark) == "once").dropDuplicates([doc, digest])
+    return keyed.where(~F.col(met)).select(*docs.columns).unionByName(some.where(F.col(mark).isNull()).select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
