@@ -12,6 +12,7 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,124 +35,216 @@ SEED = 11
 #: Blocks (padding included) that one step of inference holds.
 BATCH_BLOCKS = 1 << 14
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
+#: Steps of a path that count by their distance; farther ones count alike.
+NEAR = 8
+FADE = 0.8
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
+_MARKUP = re.compile(r"<[a-zA-Z/!?]")
 _NAMED = re.compile(r"(?:\b(class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-RAW = frozenset(("script", "style", "textarea", "noscript", "template", "iframe", "svg", "select"))
+#: What is no text of the page at all; everything else is for the labeller to judge.
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in ("script", "style")}
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind ends open tags of the second.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}.items()}
 #: Any block closes an open paragraph.
+_P = frozenset(("p",))
+#: Beyond these a tag closes none.
 SCOPE = frozenset(("ul", "ol", "dl", "table", "body", "article", "section", "div", "main", "aside", "nav"))
 
 
+class Place:
+    """Where a block stands: its open tags with their words of class, id and role, the nearest NEAR of them one by one."""
+
+    __slots__ = ("tag", "near", "far", "depth", "_vector")
+
+    def __init__(self, tag: str = "", near: tuple[str, ...] = (), far: np.ndarray | None = None, depth: int = 0):
+        self.tag, self.near, self.far, self.depth, self._vector = tag, near, far, depth, None
+
+    def inside(self, tag: str, step: str) -> Place:
+        """The place in a further tag; costs the same at any depth."""
+        if len(self.near) < NEAR:
+            return Place(tag, (*self.near, step), None, self.depth + 1)
+        gone = _step_vector(self.near[0])
+        return Place(tag, (*self.near[1:], step), gone if self.far is None else self.far + gone, self.depth + 1)
+
+    def vector(self) -> np.ndarray:
+        """Signed hashes of the tags and names on the path, nearer ones heavier, and of its last two steps."""
+        if self._vector is None:
+            near = _near_vector(self.near)
+            self._vector = near if self.far is None else near + np.float32(FADE**NEAR) * self.far
+        return self._vector
+
+
 class Block:
-    """A leaf: its text, the tags it is in (with words of class, id and role), and how much of it is links."""
+    """A leaf: its text, its place, and how much of it is links."""
 
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "place", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: float):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, place: Place, linked: float):
+        self.text, self.place, self.linked = text, place, linked
 
 
-@functools.lru_cache(maxsize=50_000)
-def _names(tag: str, attributes: str) -> str:
+def _step(tag: str, attributes: str) -> str:
     """A step of a path: the tag and the words of its class, id and role."""
-    if not attributes:
-        return tag
     words = [w for m in _NAMED.finditer(attributes) for w in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower())]
     return " ".join([tag, *words])
 
 
+_short_step = functools.lru_cache(maxsize=50_000)(_step)
+
+
+class _Ends:
+    """Where tags end. Whatever the page, all calls together look at each character a few times at most."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()  # stops from which no end was found
+        self.first: tuple[int, re.Match | None] = (-1, None)
+
+    def __call__(self, at: int) -> int | None:
+        """The place after the > that ends a tag whose name ends at at, one outside quoted values; a quote that is never closed is none."""
+        if at > self.last:
+            return None
+        low, m = self.first
+        if not (0 <= low <= at and m is not None and at <= m.start()):
+            m = _STOP.search(self.page, at)
+            self.first = (at, m)
+        seen = []
+        while m is not None and m[1] is not None and m.start() not in self.dead:
+            seen.append(m.start())
+            to = self.page.find(m[1], m.end()) + 1 if self.quotes[m[1]] >= m.end() else m.end()
+            m = _STOP.search(self.page, to) if to <= self.last else None
+        if m is not None and m[1] is None:
+            return m.end()
+        self.dead.update(seen)
+        return None
+
+
 def parse(page: str) -> list[Block]:
-    """The blocks of a page in order, each non-empty, references decoded and white space made single spaces."""
+    """The blocks of a page in order, each non-empty, references decoded and white space made single spaces.
+
+    Only markup, scripts and styles are left out. What is not closed swallows nothing: a < that no >
+    follows is text, a comment without end ends with its tag, a script or style without end at the next
+    tag. The time is linear in the page, however deep or broken its tags are.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    top = Place()
+    stack: list[Place] = []
+    open_: Counter = Counter()  # tags on the stack
     parts: list[str] = []
     links = chars = 0
-    in_link = 0
+    link: int | None = None  # depth at which a link is open
+
+    def text(piece: str) -> None:
+        nonlocal links, chars
+        piece = html.unescape(piece)
+        parts.append(piece)
+        chars += len(piece)
+        links += len(piece) if link is not None else 0
 
     def flush() -> None:
         nonlocal links, chars
         if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                blocks.append(Block(text, tuple(x for _, x in stack if x.split(" ", 1)[0] not in INLINE), links / max(1, chars)))
+            found = " ".join("".join(parts).split())
+            if found:
+                blocks.append(Block(found, stack[-1] if stack else top, links / max(1, chars)))
             parts.clear()
         links = chars = 0
 
-    def close(at: int) -> None:
-        nonlocal in_link
-        while len(stack) > at:
-            if stack.pop()[0] == "a":
-                in_link -= 1
-
-    at, size = 0, len(page)
+    def close(tags: frozenset[str], bounded: bool) -> None:
+        """End the innermost open tag of tags and all in it; bounded: not beyond the list, table or section around."""
+        nonlocal link
+        if not any(open_[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].tag in tags:
+                open_.subtract(x.tag for x in stack[k:])
+                del stack[k:]
+                if link is not None and link > k:
+                    link = None
+                return
+            if bounded and stack[k].tag in SCOPE:
+                return
+
+    ends, at, size = _Ends(page), 0, len(page)
+    endless: set[str] = set()  # comments, scripts or styles that have no end any more
     while at < size:
-        m = _PIECE.match(page, at)
-        if m is None:  # a tag cut off by the end
-            break
-        at = m.end()
-        ending, tag, attributes, text = m[1], m[2], m[3], m[4]
-        if text is not None or m[0] == "<":
-            piece = html.unescape(m[0])
-            parts.append(piece)
-            chars += len(piece)
-            links += len(piece) if in_link else 0
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = size if to < 0 else to
+            text(page[at:to])
+            at = to
+            continue
+        if page[at + 1 : at + 2] in ("!", "?") and at < ends.last:
+            end = page.find("-->", at + 2) if page.startswith("<!--", at) and "!" not in endless else -1
+            if end < 0:
+                if page.startswith("<!--", at):
+                    endless.add("!")
+                at = page.find(">", at) + 1
+            else:
+                at = end + 3
             continue
-        if tag is None:
+        m = _TAG.match(page, at)
+        end = ends(m.end()) if m else None
+        if end is None:
+            text("<")
+            at += 1
             continue
-        tag = tag.lower()
-        if tag in RAW and not ending:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+        ending, tag, attributes = m[1], m[2].lower(), page[m.end() : end - 1]
+        at = end
+        if tag in RAW:
+            shut = RAW[tag].search(page, at) if not ending and tag not in endless else None
+            if shut and shut.end() <= ends.last:
+                at = page.find(">", shut.end()) + 1
+            elif not ending:
+                endless.add(tag)
+                more = _MARKUP.search(page, at)
+                at = more.start() if more else size
             continue
         if tag in INLINE:
-            if ending:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        if tag == "a":
-                            in_link -= 1
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            elif tag not in VOID and not attributes.endswith("/"):
-                stack.append((tag, tag))
-                in_link += tag == "a"
+            if tag == "a":
+                link = None if ending else len(stack)
             continue
         flush()
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            close(frozenset((tag,)), False)
             continue
-        shut = CLOSES.get(tag, frozenset()) | (frozenset() if tag == "br" else {"p"})
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in shut:
-                close(k)
-                break
-            if stack[k][0] in SCOPE and stack[k][0] != "p":
-                break
-        if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, _names(tag, attributes)))
+        if tag != "br" and stack and stack[-1].tag == "p":
+            close(_P, False)
+        if tag in CLOSES:
+            close(CLOSES[tag], True)
+        if tag not in VOID:
+            step = _short_step(tag, attributes) if len(attributes) < 200 else _step(tag, attributes)
+            stack.append((stack[-1] if stack else top).inside(tag, step))
+            open_[tag] += 1
     flush()
     return blocks
 
 
+def _add(out: np.ndarray, step: str, weight: float) -> None:
+    for name in step.split():
+        h = zlib.crc32(name.encode("utf-8", "replace"))
+        out[h % PATH_DIM] += (1 if h >> 16 & 1 else -1) * weight
+
+
+@functools.lru_cache(maxsize=20_000)
+def _step_vector(step: str) -> np.ndarray:
+    out = np.zeros(PATH_DIM, dtype=np.float32)
+    _add(out, step, 1.0)
+    return out
+
+
 @functools.lru_cache(maxsize=100_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Signed hashes of the tags and names on a path, nearer ones heavier, and of its last two steps."""
+def _near_vector(near: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(PATH_DIM, dtype=np.float32)
-    for depth, step in enumerate(reversed(path)):
-        for name in step.split():
-            h = zlib.crc32(name.encode())
-            out[h % PATH_DIM] += (1 if h >> 16 & 1 else -1) * 0.8 ** min(depth, 8)
-    h = zlib.crc32("/".join(x.split(" ", 1)[0] for x in path[-2:]).encode())
-    out[h % PATH_DIM] += 1 if h >> 16 & 1 else -1
+    for depth, step in enumerate(reversed(near)):
+        _add(out, step, FADE**depth)
+    _add(out, "/".join(x.split(" ", 1)[0] for x in near[-2:]), 1.0)
     return out
 
 
@@ -178,9 +271,9 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         counts = np.bincount([_slots[w] for w in words], minlength=2 * WORD_DIM)
         signed = counts[:WORD_DIM] - counts[WORD_DIM:]
         length = len(b.text)
-        out[i, :PATH_DIM] = _path_vector(b.path)
+        out[i, :PATH_DIM] = b.place.vector()
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = signed / (np.sqrt((signed**2).sum()) + 1)
-        out[i, PATH_DIM + WORD_DIM :] = (1.0, np.log1p(length) / 8, min(len(words), 40) / 40, b.linked, i / n, len(b.path) / 8, (b.text[-1] in ".!?:;\"'") * 1.0)
+        out[i, PATH_DIM + WORD_DIM :] = (1.0, np.log1p(length) / 8, min(len(words), 40) / 40, b.linked, i / n, min(b.place.depth, 32) / 8, (b.text[-1] in ".!?:;\"'") * 1.0)
     return out
 
 
@@ -322,7 +415,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
         return pick('<aside><h3>{}</h3><ul>{}</ul></aside>', '<div class="sidebar"><h2>{}</h2><ul>{}</ul></div>', '<div class="related"><h4>{}</h4><ul>{}</ul></div>').format(sentence(1, 4), links(rng.integers(2, 7)))
 
     def notice() -> str:
-        return pick('<div class="cookie"><p>{}</p><button>{}</button></div>', '<div id="consent" class="notice"><p>{}</p><a href="#">{}</a></div>', '<div class="newsletter"><form><label>{}</label><input name="e"><button>{}</button></form></div>', '<form action="/s"><p>{}</p><button>{}</button></form>').format(sentence(4, 25), word())
+        return pick('<div class="cookie"><p>{}</p><button>{}</button></div>', '<div id="consent" class="notice"><p>{}</p><a href="#">{}</a></div>', '<div class="newsletter"><form><label>{}</label><input name="e"><button>{}</button></form></div>', '<form action="/s"><p>{}</p><button>{}</button></form>', '<form action="/s"><select><option>{}</option><option>{}</option></select></form>', '<form class="contact"><textarea>{}</textarea><button>{}</button></form>', "<noscript><p>{}</p><img src=x>{}</noscript>", "<template><div>{}</div><p>{}</p></template>", '<div class="share"><svg><title>{}</title></svg><a href="#">{}</a></div>').format(sentence(4, 25), word())
 
     def comments() -> str:
         one = pick("<li><b>{}</b><p>{}</p></li>", '<div class="comment"><span>{}</span><p>{}</p></div>', "<p>{}: {}</p>")
@@ -373,7 +466,7 @@ def training_page(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     blocks, left, labels = parse(page), main, []
     for b in blocks:
         mine = left.startswith(b.text) and (len(left) == len(b.text) or left[len(b.text)] == " ")
-        outside = any(set(x.split()) & _OUTSIDE for x in b.path)
+        outside = any(set(x.split()) & _OUTSIDE for x in b.place.near)
         labels.append(float(mine and not outside))
         if labels[-1]:
             left = left[len(b.text) + 1 :]
@@ -381,7 +474,7 @@ def training_page(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Names that only the surroundings of made-up pages have.
-_OUTSIDE = frozenset("nav menu navigation header ad ads advert advertisement sponsored promo aside sidebar related cookie consent newsletter form comments comment discussion footer title".split())
+_OUTSIDE = frozenset("form noscript template share nav menu navigation header ad ads advert advertisement sponsored promo aside sidebar related cookie consent newsletter form comments comment discussion footer title".split())
 
 
 @functools.lru_cache(maxsize=2)
