@@ -11,7 +11,10 @@ from __future__ import annotations
 import bisect
 import functools
 import gc
+import itertools
+import json
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -26,7 +29,7 @@ from grovespark.llm.common import bounded_batches, staged, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Nodes of the branch-and-bound search, steps of one enumeration of fillings, fillings tried per node.
+#: Bounds of the search, None for none: nodes in all, steps of one enumeration of fillings, fillings tried at a node.
 NODE_BUDGET = 20_000
 FILL_STEPS = 400
 FILL_WIDTH = 6
@@ -49,10 +52,41 @@ _SIMPLE = re.compile(r"[\x21-\x7e\u00c0-\u00ff]+")
 _RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
+#: How the vocabulary that the shortcuts below are made for splits words.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits texts so that words may be encoded one by one, as WordIds does."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    steps = [x.get("type") for x in (found.get("normalizer") or {}).get("normalizers", [])]
+    split = next(iter((found.get("pre_tokenizer") or {}).get("pretokenizers", [])), {})
+    marks = {x["content"] for x in found.get("added_tokens", []) if not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"])}
+    plain = not found.get("post_processor") and not found.get("truncation") and not found.get("padding")
+    return plain and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _SPLIT} and split.get("invert") is True and MARK in marks == {x["content"] for x in found["added_tokens"]}
+
+
+class TextIds:
+    """Token ids of texts as little-endian 32-bit bytes, each text encoded whole: for any vocabulary."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes, equal to encoding each text whole.
 
-    The vocabulary never joins across white space, so words are encoded once and remembered.
+    For vocabularies of which by_words is true: they never join across white space, so words are
+    encoded once and remembered.
     """
 
     def __init__(self, path: str, remembered: int = CACHE_WORDS):
@@ -110,8 +144,8 @@ class WordIds:
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(path: str, remembered: int = CACHE_WORDS) -> WordIds:
-    return WordIds(path, remembered)
+def word_ids(path: str, remembered: int = CACHE_WORDS) -> WordIds | TextIds:
+    return WordIds(path, remembered) if by_words(path) else TextIds(path)
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = CACHE_WORDS) -> DataFrame:
@@ -179,118 +213,194 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return list(merged.items())
 
 
-def fillings(counts: list[int], sizes: list[int], first: int, capacity: int, slack: int, steps: int = FILL_STEPS, width: int = FILL_WIDTH) -> list[tuple[int, ...]]:
-    """Undominated contents of a bin around its largest item ``first``, least waste first, waste at most slack.
+class Stock:
+    """How many items of each length are at hand; the lengths are also the bits of one number, so the longest that fits is found at once."""
+
+    def __init__(self, counts: dict[int, int]):
+        rng = random.Random(5)
+        self.n = dict(counts)
+        self.live = sum(1 << s for s in counts)
+        self.most = max(counts)
+        self.turned = sum(1 << self.most - s for s in counts)  # live, read from the longest down
+        self.mark = {s: rng.getrandbits(128) for s in sorted(counts)}
+        self.state = 0  # names the counts: the sum of what was taken, each length with its mark
+
+    def longest(self, limit: int) -> int:
+        """The longest length at hand up to limit, or 0."""
+        return max(0, (self.live & ((2 << limit) - 1)).bit_length() - 1) if limit > 0 else 0
+
+    def take(self, size: int, k: int = 1) -> None:
+        self.n[size] -= k
+        self.state += k * self.mark[size]
+        if not self.n[size]:
+            self.live ^= 1 << size
+            self.turned ^= 1 << self.most - size
+
+    def put(self, size: int, k: int = 1) -> None:
+        if not self.n[size]:
+            self.live ^= 1 << size
+            self.turned ^= 1 << self.most - size
+        self.n[size] += k
+        self.state -= k * self.mark[size]
+
+    def pairs(self, total: int, limit: int) -> Iterator[tuple[int, int]]:
+        """Two lengths at hand of this total, the first at most limit and at least the second, longest first."""
+        shift = self.most - total
+        both = self.live & (self.turned >> shift if shift >= 0 else self.turned << -shift) & ((2 << min(limit, total)) - 1)
+        while both:
+            a = both.bit_length() - 1
+            both ^= 1 << a
+            if a < total - a:
+                return
+            if a > total - a or self.n[a] > 1:
+                yield a, total - a
+
+
+def fillings(stock: Stock, first: int, capacity: int, slack: int, steps: int | None = FILL_STEPS, width: int | None = FILL_WIDTH) -> tuple[list[tuple[int, ...]], bool]:
+    """(undominated contents of a bin around its longest item first, least waste first; whether all were met).
 
     A content is dominated, and left out, if an item more would still fit or if one of its items can
-    be exchanged for a longer one at hand. sizes: ascending lengths with counts, first taken off.
+    be exchanged for a longer one at hand; an item that fills the rest dominates all others. Waste is at
+    most slack. first is in stock.
     """
-    found: dict[tuple[int, ...], int] = {}
-    used: Counter = Counter()
-    left = [steps]
-
-    def longest(limit: int) -> int:
-        at = bisect.bisect_right(sizes, limit)
-        while at and counts[sizes[at - 1]] - used[sizes[at - 1]] <= 0:
-            at -= 1
-        return sizes[at - 1] if at else 0
-
-    def undominated(content: tuple[int, ...], free: int) -> bool:
-        return all(longest(s + free) <= s for s in set(content))
-
-    def search(free: int, limit: int, content: tuple[int, ...]) -> None:
-        left[0] -= 1
-        size = longest(min(free, limit))
-        if not size:
-            if free <= slack and longest(free) == 0 and undominated(content, free):
-                found[content] = free
-            return
-        while size and left[0] > 0 and not (len(found) >= width and min(found.values()) == 0):
-            # what is left out from here on must fit under the waste bound
-            used[size] += 1
-            search(free - size, size, content + (size,))
-            used[size] -= 1
-            size = longest(size - 1)
-
-    search(capacity - first, first, ())
-    order = sorted(found, key=lambda c: (found[c], len(c), [-x for x in c]))
-    return [(first, *c) for c in order[:width]]
-
-
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE_BUDGET) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and their numbers that hold exactly counts, in as few bins as the search finds.
-
-    Best-fit decreasing is the first incumbent. The search completes the bin of the longest item
-    left, takes a filling as often as the counts allow, and leaves a branch once the waste so far
-    exceeds what a better solution may waste. It ends at the volume bound or after ``nodes`` nodes.
+    stock.take(first)
+    try:
+        rest = capacity - first
+        if rest and stock.longest(rest) == rest:
+            return [(first, rest)], True
+        found: dict[tuple[int, ...], int] = {}
+        left = [steps if steps is not None else -1]
+        least = (stock.live & -stock.live).bit_length() - 1
+        whole = True
+        if width is not None:  # contents of two and three items without waste are found at once; enough of them need no search
+            found.update((x, 0) for x in itertools.islice(stock.pairs(rest, rest), width))
+            a = stock.longest(rest)
+            while a and len(found) < width and 3 * a >= rest:
+                stock.take(a)
+                found.update(((a, *x), 0) for x in itertools.islice(stock.pairs(rest - a, a), width - len(found)))
+                stock.put(a)
+                a = stock.longest(a - 1)
+            if len(found) >= width:
+                return [(first, *x) for x in found], False
+
+        def search(free: int, limit: int, content: tuple[int, ...]) -> None:
+            nonlocal whole
+            left[0] -= 1
+            size = stock.longest(min(free, limit))
+            if not size:
+                if free <= slack and not stock.longest(free) and all(stock.longest(s + free) <= s for s in set(content)):
+                    found[content] = free
+                return
+            while size:
+                if left[0] == 0 or (width is not None and len(found) >= width and min(found.values()) == 0):
+                    whole = False
+                    return
+                if slack < free - size < least:  # too much for waste, too little for another item
+                    size = stock.longest(min(size - 1, free - least))
+                    continue
+                stock.take(size)
+                search(free - size, size, (*content, size))
+                stock.put(size)
+                size = stock.longest(size - 1)
+
+        search(rest, rest, ())
+        order = sorted(found, key=lambda c: (found[c], len(c), [-x for x in c]))
+        return [(first, *c) for c in order[:width]], whole and (width is None or len(order) <= width)
+    finally:
+        stock.put(first)
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A number of bins that no packing goes below: by volume, and with items of over half a bin each in one of its own."""
+    total = sum(s * n for s, n in counts.items())
+    best = -(-total // capacity)
+    for k in {0, *(s for s in counts if 2 * s <= capacity)}:  # items below k left out
+        alone = sum(n for s, n in counts.items() if s > capacity - k)
+        large = {s: n for s, n in counts.items() if 2 * s > capacity and s <= capacity - k}
+        small = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity)
+        room = sum((capacity - s) * n for s, n in large.items())
+        best = max(best, alone + sum(large.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+def search_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODE_BUDGET, steps: int | None = FILL_STEPS, width: int | None = FILL_WIDTH) -> tuple[list[tuple[tuple[int, ...], int]], str]:
+    """(patterns and their numbers that hold exactly counts, why the search ended).
+
+    Best-fit decreasing is the first incumbent. The search completes the bin of the longest item left by
+    each undominated filling, as often as the counts allow first, then fewer times, and leaves a branch
+    once the waste so far exceeds what a better solution may waste, or where the same items are left as
+    before in no fewer bins. It ended by 'bound' or 'complete' if no packing has fewer bins; 'fillings' and
+    'nodes' say which limit stopped it. With all three limits None it always ends by one of the former.
     """
     counts = {s: n for s, n in counts.items() if n}
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError("a piece is longer than a sequence, or empty")
     best = best_fit(counts, capacity)
-    total = sum(s * n for s, n in counts.items())
-    bound = -(-total // capacity)
-    best_bins = sum(n for _, n in best)
+    best_bins, bound = sum(n for _, n in best), least_bins(counts, capacity)
     if best_bins <= bound:
-        return best
-    at_hand = [0] * (capacity + 1)
-    for s, n in counts.items():
-        at_hand[s] = n
-    sizes = sorted(counts)
-    taken: list[tuple[tuple[int, ...], int]] = []
-    used_bins = waste = 0
-    stack: list[list] = []  # fillings still to try at each depth
-
-    def options() -> list[tuple[int, ...]]:
-        while sizes and not at_hand[sizes[-1]]:
-            sizes.pop()
-        if not sizes:
-            return []
-        first = sizes[-1]
-        at_hand[first] -= 1
-        try:
-            return fillings(at_hand, sizes, first, capacity, (best_bins - 1) * capacity - total - waste)[::-1]
-        finally:
-            at_hand[first] += 1
-
-    def apply(content: tuple[int, ...], n: int) -> None:
-        for s, c in Counter(content).items():
-            at_hand[s] -= c * n
-            if n < 0 and s not in live:
-                bisect.insort(sizes, s)
-
-    stack.append(options())
-    while nodes > 0:
-        if not stack[-1]:
+        return best, "bound"
+    total = sum(s * n for s, n in counts.items())
+    stock, taken, used_bins, waste = Stock(counts), [], 0, 0
+    met: dict[int, int] = {}  # least bins that each state was reached with
+    cut_short = False
+
+    def may_waste() -> int:
+        return (best_bins - 1) * capacity - total - waste
+
+    def options() -> Iterator[tuple[dict[int, int], tuple[int, ...], int, int]]:
+        """Items, content, number and waste of each way to go on."""
+        nonlocal cut_short
+        found, whole = fillings(stock, stock.longest(capacity), capacity, may_waste(), steps, width)
+        cut_short |= not whole
+        ways = []
+        for content in found:
+            each, spare = Counter(content), capacity - sum(content)
+            most = min(stock.n[s] // c for s, c in each.items())
+            ways.append((each, content, min(most, may_waste() // spare) if spare else most, spare))
+        yield from ways
+        for each, content, most, spare in ways:
+            if spare or len(content) != 2:  # two items that fill a bin dominate whatever else they are in
+                yield from ((each, content, k, spare) for k in range(most - 1, 0, -1))
+
+    stack = [options()]
+    while stack:
+        way = next(stack[-1], None)
+        if way is None:
             stack.pop()
-            if not stack:
-                break
-            content, n = taken.pop()
-            used_bins -= n
-            waste -= n * (capacity - sum(content))
-            live = set(sizes)
-            apply(content, -n)
+            if taken:
+                each, n, spare, _ = taken.pop()
+                used_bins -= n
+                waste -= n * spare
+                for s, c in each.items():
+                    stock.put(s, c * n)
             continue
-        nodes -= 1
-        content = stack[-1].pop()
-        often = min(at_hand[s] // c for s, c in Counter(content).items())
-        spare = capacity - sum(content)
-        if spare:  # no more bins of this waste than the bound allows
-            often = min(often, ((best_bins - 1) * capacity - total - waste) // spare)
-        if often < 1:
+        if nodes is not None:
+            if not nodes:
+                return best, "nodes"
+            nodes -= 1
+        each, content, n, spare = way
+        if n < 1 or n * spare > may_waste():
             continue
-        live = set(sizes)
-        apply(content, often)
-        taken.append((content, often))
-        used_bins += often
-        waste += often * spare
-        more = options()
-        if not sizes:
-            best, best_bins = list(taken), used_bins
+        for s, c in each.items():
+            stock.take(s, c * n)
+        taken.append((each, n, spare, content))
+        used_bins += n
+        waste += n * spare
+        if not stock.live:
+            best, best_bins = [(content, n) for _, n, _, content in taken], used_bins
             if best_bins <= bound:
-                break
-        stack.append(more)
-    return best
+                return best, "bound"
+        if not stock.live or met.get(stock.state, used_bins + 1) <= used_bins:
+            stack.append(iter(()))
+        else:
+            met[stock.state] = used_bins
+            stack.append(options())
+    return best, "fillings" if cut_short else "complete"
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODE_BUDGET, steps: int | None = FILL_STEPS, width: int | None = FILL_WIDTH) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and their numbers, as search_bins finds them."""
+    return search_bins(counts, capacity, nodes, steps, width)[0]
 
 
 class Layout:
@@ -322,11 +432,11 @@ class Layout:
         return self.sequence[at] + nth // self.each[at], self.places[self.place[at] + nth % self.each[at]]
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODE_BUDGET) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ...), a table that is cheap to read again."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODE_BUDGET, steps: int | None = FILL_STEPS, width: int | None = FILL_WIDTH) -> DataFrame:
+    """Add sequence_id and offset to pieces (doc_id, piece, length, ...), a table that is cheap to read again; limits as of search_bins."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    layout = spark.sparkContext.broadcast(Layout(plan_bins(histogram, capacity, nodes), capacity))
+    layout = spark.sparkContext.broadcast(Layout(plan_bins(histogram, capacity, nodes, steps, width), capacity))
     blocks = max(LEAST_BLOCKS, sum(histogram.values()) // BLOCK_ROWS)
     salted = pieces.withColumn("_block", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {blocks})"))
     before = salted.groupBy("length", "_block").agg(F.count("*").alias("_n")).select(
