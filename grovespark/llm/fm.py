@@ -142,8 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """A machine fitted to labels (doc_id, quality) of docs (doc_id, text, n_chars), held-out rows left out.
 
     Features are made by the executors; the driver gets those of sample_rows rows at most. Without any
-    label the machine scores one half everywhere; null labels and ids are left out.
+    label the machine scores one half everywhere; null labels and ids are left out. Of rows that repeat
+    a doc_id, one is learnt from: the least text.
     """
+    bounded_batches(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
@@ -154,7 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             cols = [batch.column("doc_id"), batch.column("quality"), pa.array([r[0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "quality", "index", "value"])
 
-    ready = docs.join(chosen, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text", F.col("n_chars").cast("long").alias("n_chars"))
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("long").alias("n_chars"))
+    one = mine.join(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.struct("text", "n_chars")).alias("row"))
+    ready = one.select("doc_id", "quality", "row.text", "row.n_chars")
     got = sorted(ready.mapInArrow(run, "doc_id long, quality int, index binary, value binary").collect(), key=lambda r: (r["doc_id"], bytes(r["index"])))
     rows = [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in got]
     machine = Machine()
