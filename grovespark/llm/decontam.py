@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, table
+from grovespark.llm.common import bounded_batches, fresh, table
 
 GRAM = 3
 #: Seeds that a document must share with an item within BAND words of one diagonal.
@@ -228,8 +228,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that copy no item, with their own columns."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    name = fresh(docs, "id")[0]
+    bad = matches(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
