@@ -415,7 +415,7 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
         return pick('<aside><h3>{}</h3><ul>{}</ul></aside>', '<div class="sidebar"><h2>{}</h2><ul>{}</ul></div>', '<div class="related"><h4>{}</h4><ul>{}</ul></div>').format(sentence(1, 4), links(rng.integers(2, 7)))
 
     def notice() -> str:
-        return pick('<div class="cookie"><p>{}</p><button>{}</button></div>', '<div id="consent" class="notice"><p>{}</p><a href="#">{}</a></div>', '<div class="newsletter"><form><label>{}</label><input name="e"><button>{}</button></form></div>', '<form action="/s"><p>{}</p><button>{}</button></form>', '<form action="/s"><select><option>{}</option><option>{}</option></select></form>', '<form class="contact"><textarea>{}</textarea><button>{}</button></form>', "<noscript><p>{}</p><img src=x>{}</noscript>", "<template><div>{}</div><p>{}</p></template>", '<div class="share"><svg><title>{}</title></svg><a href="#">{}</a></div>').format(sentence(4, 25), word())
+        return pick('<div class="cookie"><p>{}</p><button>{}</button></div>', '<div id="consent" class="notice"><p>{}</p><a href="#">{}</a></div>', '<div class="newsletter"><form><label>{}</label><input name="e"><button>{}</button></form></div>', '<form action="/s"><p>{}</p><button>{}</button></form>', '<form action="/s"><label>{}</label><select><option>{}</option></select></form>', '<form><label>{}</label><textarea>{}</textarea><button>OK</button></form>', '<form class="contact"><textarea>{}</textarea><button>{}</button></form>', "<noscript><p>{}</p><img src=x>{}</noscript>", "<template><div>{}</div><p>{}</p></template>", '<div class="share"><svg><title>{}</title></svg><a href="#">{}</a></div>').format(sentence(4, 25), word())
 
     def comments() -> str:
         one = pick("<li><b>{}</b><p>{}</p></li>", '<div class="comment"><span>{}</span><p>{}</p></div>', "<p>{}: {}</p>")
