@@ -26,7 +26,7 @@ def docs(spark):
         (7, "\x00 odd ́ marks \U0001f600 <|endoftext|> und ß É", "xx", "c", 1),
     ]
     df = spark.createDataFrame(rows, DOC)
-    for extra in ("kept", "score", "length", "n", "key", "spans", "component_id", "fp", "sig"):
+    for extra in ("kept", "score", "length", "n", "key", "spans", "component_id", "fp", "sig", *"_id _doc _rows _words _key _kept _lost _hashes _n_words _again quality row met mark slot map id doc digest of by bucket node item_id".split()):
         df = df.withColumn(extra, F.lit("extra"))
     return df
 
@@ -55,7 +55,8 @@ def test_quality_rules_by_row(docs):
     out = {r["doc_id"]: r for r in linerules.verdicts(docs).collect()}
     assert out[1]["_kept"] and not out[2]["_kept"] and out[3]["_n_words"] == 0 and out[5]["_base_failed"]
     assert out[4]["_n_words"] == 16 * 9000 and out[6]["_word_chars"] == 200_000
-    assert linerules.keep(docs).columns == docs.columns
+    assert linerules.keep(docs).columns == linerules.cleaned(docs).columns == docs.columns
+    assert {r["_kept"] for r in linerules.keep(docs).collect()} == {"extra"}
 
 
 def test_groups(docs):
@@ -111,6 +112,27 @@ def test_training_without_labels(docs, none, spark):
     assert {r["score"] for r in fm.score(docs, machine).collect()} == {0.5}
 
 
+def test_training_on_repeated_rows(docs, spark, monkeypatch):
+    """A row of each doc_id is learnt from, however often it is repeated or relabelled."""
+    seen = []
+    monkeypatch.setattr(fm.Machine, "fit", lambda self, rows, labels: seen.append((len(rows), list(labels))))
+    ids = [r[0] for r in spark.range(1, 8).where(~fm.held_out(F.col("id"))).collect()]
+    labels = spark.createDataFrame([(i, q) for i in ids for q in (0, 0, i % 2)], "doc_id long, quality int").withColumn("text", F.lit("extra"))
+    fm.train(docs.unionByName(docs), labels)
+    assert seen == [(len(ids), [float(i % 2) for i in ids])]
+
+
+def test_url_lists_with_clashing_names(spark):
+    day = F.lit("2024-01-05").cast("date")
+    captures = spark.createDataFrame([(1, "http://bad.example.com/")], "page_id long, url string").withColumn("day", day)
+    entries = spark.createDataFrame([("bad.example.com", "spam", "add")], "domain string, list string, action string").withColumn("day", day)
+    for extra in ("host", "blocked", "since", "until", "rank", "term", "_was", "page_id", "url"):
+        entries = entries.withColumn(extra, F.lit("extra"))
+    for extra in ("domain", "list", "since", "host", "blocked", "rank", "_was"):
+        captures = captures.withColumn(extra, F.lit("extra"))
+    assert [r["blocked"] for r in urllists.judge(captures, entries).collect()] == [True]
+
+
 def test_pipeline_stages_keep_columns(spark, docs, none, tmp_path, bench):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     for start in (docs, none):
