@@ -9,6 +9,8 @@ import random
 import time
 from collections.abc import Iterator
 
+import numpy as np
+
 
 def bits(mask: int) -> Iterator[int]:
     while mask:
@@ -174,16 +176,20 @@ class TooLarge(Exception):
 #: Elimination orders tried for an upper bound, and steps of growing before separators take over.
 ORDERS = 60
 GROW_STEPS = 50_000_000
+#: Seconds that each way of solving a part has in the first round, and by how much they rise.
+FIRST_SECONDS, RISE = 0.2, 3
+#: More than any height or weight in an elimination order.
+BEYOND = 1 << 40
 
 
-def elimination_parents(nb: list[int], mask: int, weight: float, rng: random.Random) -> tuple[int, dict[int, int]]:
-    """(depth, parents) of the forest of an elimination order that prefers low and loosely tied vertices."""
+def elimination_parents(nb: list[int], mask: int, weight: float, rng: random.Random, last: dict[int, int] | None = None) -> tuple[int, dict[int, int]]:
+    """(depth, parents) of the forest of an elimination order that prefers low and loosely tied vertices; those in last come last, by its numbers."""
     left = {v: nb[v] & mask for v in bits(mask)}
     height = dict.fromkeys(left, 1)
     noise = {v: rng.random() * 0.5 for v in left}
     gone: list[tuple[int, int]] = []
     while left:
-        v = min(left, key=lambda x: height[x] + weight * left[x].bit_count() + noise[x])
+        v = min(left, key=lambda x: last[x] * BEYOND if last and x in last else height[x] + weight * left[x].bit_count() + noise[x])
         beside = left.pop(v)
         gone.append((v, beside))
         for u in bits(beside):
@@ -193,6 +199,43 @@ def elimination_parents(nb: list[int], mask: int, weight: float, rng: random.Ran
     return max(height.values()), {v: min(bits(beside), key=when.__getitem__) if beside else -1 for v, beside in gone}
 
 
+#: From how many sets on they are tested as arrays.
+ARRAYS = 40
+
+
+class _Shelf:
+    """Sets with their neighbours, many of them also as arrays of 64-bit words, so that all are tested against one set at once."""
+
+    __slots__ = ("items", "words", "parts", "edges")
+
+    def __init__(self, items: list[tuple[int, int]], words: int):
+        self.items, self.words = items, words
+        if len(items) >= ARRAYS:
+            data = b"".join([x.to_bytes(8 * words, "little") for pair in items for x in pair])
+            rows = np.frombuffer(data, "<u8").reshape(-1, 2, words)
+            self.parts, self.edges = ([np.ascontiguousarray(rows[:, side, k]) for k in range(words)] for side in (0, 1))
+
+    def fitting(self, start: int, taken: int, beside: int, room: int) -> list[int]:
+        """Places, from start on, of sets that share nothing with taken and have, with beside, at most room neighbours."""
+        items = self.items
+        if len(items) < ARRAYS or len(items) - start < ARRAYS // 2:
+            return [k for k in range(start, len(items)) if not items[k][0] & taken and (items[k][1] | beside).bit_count() <= room]
+        met = self.parts[0][start:] & np.uint64(taken & _WORD)
+        for k in range(1, self.words):
+            met |= self.parts[k][start:] & np.uint64(taken >> 64 * k & _WORD)
+        free = (met == 0).nonzero()[0]
+        if not len(free):
+            return []
+        free += start
+        many = np.bitwise_count(self.edges[0][free] | np.uint64(beside & _WORD))
+        for k in range(1, self.words):
+            many = many + np.bitwise_count(self.edges[k][free] | np.uint64(beside >> 64 * k & _WORD))
+        return free[many <= room].tolist()
+
+
+_WORD = (1 << 64) - 1
+
+
 def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
     """Parents of an elimination tree of depth at most limit for a connected set, or None if there is none.
 
@@ -202,7 +245,8 @@ def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
     good, which cuts a combination off as soon as they are too many (after Trimble, 2020).
     """
     root: dict[int, int] = {}
-    old: dict[int, list[tuple[int, int]]] = {w: [] for w in bits(mask)}  # sets next to w, with their neighbours
+    words = (mask.bit_length() + 63) // 64
+    old: dict[int, list[tuple[int, int]]] = {w: [] for w in bits(mask)}  # sets next to w, with their neighbours but w
     new: dict[int, list[tuple[int, int]]] = {w: [] for w in old}
     for i in range(1, limit + 1):
         room, made = limit - i, {}
@@ -210,23 +254,22 @@ def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
             own, bit = nb[w] & mask, 1 << w
             if i == 1 and own.bit_count() <= room:
                 made[bit] = w
-            for f, (part, edge) in enumerate(new[w]):
-                if (edge & ~bit).bit_count() > room:
-                    continue
-                more = [x for x in (*old[w], *new[w][f + 1 :]) if not x[0] & (part | edge)]
+            old[w] = [x for x in (*new[w], *old[w]) if x[1].bit_count() <= room]
+            news = sum(x[1].bit_count() <= room for x in new[w])
+            shelf = _Shelf(old[w], words)
+            for f in range(news):
+                check()
+                part, edge = old[w][f]
+                more = _Shelf([old[w][k] for k in shelf.fitting(f + 1, part | edge, edge, room)], words)
                 todo = [(part, edge, 0)]
                 while todo:
                     union, beside, at = todo.pop()
-                    check()
                     whole = union | bit
                     if ((beside | own) & ~whole).bit_count() <= room and whole not in root and whole not in made:
                         made[whole] = w
-                    for k in range(at, len(more)):
-                        part2, edge2 = more[k]
-                        if not part2 & (union | beside) and ((beside | edge2) & ~bit).bit_count() <= room:
-                            todo.append((union | part2, beside | edge2, k + 1))
-        for w in old:
-            old[w] += new[w]
+                    if at < len(more.items):
+                        check()
+                        todo += [(union | more.items[k][0], beside | more.items[k][1], k + 1) for k in more.fitting(at, union | beside, beside, room)]
             new[w] = []
         root |= made
         if mask in root:
@@ -234,7 +277,7 @@ def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
         for found in made:
             edge = around(nb, found) & mask
             for w in bits(edge):
-                new[w].append((found, edge))
+                new[w].append((found, edge & ~(1 << w)))
     else:
         return None
     parents: dict[int, int] = {}
@@ -357,44 +400,121 @@ class Solver:
             if height[v] < got[1]:
                 got[1], got[2] = height[v], 1 << v
 
-    def _orders(self, mask: int) -> None:
+    def _orders(self, mask: int, many: int, seed: int) -> None:
         """Upper bounds by elimination orders of several weights."""
-        rng, got = random.Random(1), self.bounds(mask)
-        for k in range(ORDERS):
+        rng, got = random.Random(seed), self.bounds(mask)
+        for k in range(many):
+            if got[0] >= got[1]:
+                return
             self.check()
             depth, parent = elimination_parents(self.nb, mask, (0.1, 0.3, 0.6, 1.0, 2.0)[k % 5], rng)
             if depth < got[1]:
                 self.improve(mask, parent)
-            if got[0] == got[1]:
-                return
+
+    def _try(self, seconds: float, step) -> None:
+        """Run step, which narrows bounds as it goes, for so long at most; OutOfTime only if the time of the whole is up."""
+        whole, began = self.until, time.monotonic()
+        self.until = began + seconds if whole is None else min(whole, began + seconds)
+        try:
+            step()
+        except (OutOfTime, TooLarge):
+            pass
+        finally:
+            self.until = whole
+        self.check()
+
+    def _grow(self, mask: int) -> None:
+        """Raise the lower bound by growing sets until a tree is found."""
+        got, steps = self.bounds(mask), GROW_STEPS
+
+        def step() -> None:
+            nonlocal steps
+            steps -= 1
+            if steps % 256 == 0:
+                self.check()
+                if steps <= 0:
+                    raise TooLarge
+
+        while got[0] < got[1]:
+            parent = grown(self.nb, mask, got[0], step)
+            if parent is None:
+                got[0] += 1
+            else:
+                self.improve(mask, parent)
+
+    def _cut(self, mask: int) -> None:
+        """Raise the lower bound by branching on separators until a tree is found."""
+        got = self.bounds(mask)
+        while got[0] < got[1]:
+            self.within(mask, got[0])
+
+    def dense_parts(self, mask: int) -> list[int]:
+        """Components of the cores of a set, densest first, each a fifth larger than the one before, all smaller than the set."""
+        cores, k, inner = [], 1, mask
+        while inner := core(self.nb, inner, k):
+            cores.append(max(components(self.nb, inner), key=int.bit_count))
+            k += 1
+        out: list[int] = []
+        for part in cores[::-1]:
+            if part != mask and (not out or 5 * part.bit_count() >= 6 * out[-1].bit_count()):
+                out.append(part)
+        return out
+
+    def _extend(self, part: int, mask: int) -> None:
+        """An upper bound of a set by the tree of a part of it, with all others below."""
+        parent = self.tree(part)
+        depth: dict[int, int] = {}
+        for v in parent:  # parents are met before their children
+            depth[v] = 1 + depth.get(parent[v], 0)
+        rng = random.Random(2)
+        for weight in (0.3, 1.0):
+            deep, whole = elimination_parents(self.nb, mask, weight, rng, {v: len(parent) + 1 - d for v, d in depth.items()})
+            if deep < self.bounds(mask)[1]:
+                self.improve(mask, whole)
 
     def solve(self, mask: int) -> tuple[int, int]:
-        """(lower, upper) of a connected set; equal unless time ran out."""
+        """(lower, upper) of a connected set; equal unless time ran out.
+
+        Every part of a set bounds it from below, and dense parts are small, so these are solved first.
+        In rounds of rising time the least open part and the whole are tried by growing and by separators;
+        a way that gained nothing where the other did has less time in the next round.
+        """
         got = self.bounds(mask)
         try:
+            parts = []
+            if got[0] < got[1]:
+                self._orders(mask, ORDERS, 1)
             if got[0] < got[1]:
-                self._orders(mask)
-            steps = GROW_STEPS
-
-            def step() -> None:
-                nonlocal steps
-                steps -= 1
-                if steps % 256 == 0:
-                    self.check()
-                    if steps <= 0:
-                        raise TooLarge
-
-            try:
-                while got[0] < got[1]:
-                    parent = grown(self.nb, mask, got[0], step)
-                    if parent is None:
-                        got[0] += 1
-                    else:
-                        self.improve(mask, parent)
-            except TooLarge:
-                pass
+                parts = self.dense_parts(mask)
+            share = {self._grow: 1.0, self._cut: 1.0}
+            seconds, turn, low = FIRST_SECONDS, 1, 1
             while got[0] < got[1]:
-                self.within(mask, got[0])
+                for part in [*parts, mask]:
+                    now = self.bounds(part)
+                    now[0] = max(now[0], low)
+                    self._orders(part, ORDERS // 4, turn)
+                    gain = {}
+                    for way in sorted(share, key=share.get, reverse=True):
+                        if now[0] < now[1] and got[0] < got[1]:
+                            before = now[0], now[1]
+                            self._try(seconds * share[way], lambda: way(part))  # noqa: B023
+                            gain[way] = (now[0], now[1]) != before
+                    for way in gain:
+                        share[way] = 0.2 if not gain[way] and any(gain.values()) else 1.0
+                    low = max(low, now[0])
+                    got[0] = max(got[0], low)
+                    if now[0] == now[1]:
+                        parts = parts[1:]
+                        if part != mask and got[0] < got[1]:
+                            self._extend(part, mask)
+                    elif part != mask:
+                        break
+                if got[0] < got[1] and parts:
+                    for way in sorted(share, key=share.get, reverse=True):
+                        if got[0] < got[1]:
+                            self._try(seconds * share[way], lambda: way(mask))  # noqa: B023
+                seconds, turn = seconds * RISE, turn + 1
+                self._orders(mask, ORDERS, turn)
         except OutOfTime:
             pass
         return got[0], got[1]
