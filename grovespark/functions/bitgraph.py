@@ -130,14 +130,66 @@ def depth_of(parent: dict[int, int]) -> int:
 
 
 def articulation(nb: list[int], inside: int) -> int:
-    out = 0
-    for v in bits(inside):
-        beside = nb[v] & inside
-        if beside and flood(nb, beside & -beside, inside & ~(1 << v)) & beside != beside:
-            out |= 1 << v
+    """Vertices whose removal splits a component, by one depth-first search: those with a subtree that reaches no higher."""
+    out, met = 0, 0
+    when: dict[int, int] = {}
+    reach: dict[int, int] = {}
+    for start in bits(inside):
+        if met >> start & 1:
+            continue
+        met |= 1 << start
+        when[start] = reach[start] = len(when)
+        path, left, branches = [start], {start: nb[start] & inside}, 0
+        while path:
+            v = path[-1]
+            if left[v]:
+                low = left[v] & -left[v]
+                left[v] ^= low
+                w = low.bit_length() - 1
+                if met & low:
+                    if len(path) < 2 or w != path[-2]:
+                        reach[v] = min(reach[v], when[w])
+                else:
+                    met |= low
+                    when[w] = reach[w] = len(when)
+                    left[w] = nb[w] & inside
+                    path.append(w)
+                continue
+            path.pop()
+            if len(path) == 1:
+                branches += 1
+            elif path and reach[v] >= when[path[-1]]:
+                out |= 1 << path[-1]
+            if path:
+                reach[path[-1]] = min(reach[path[-1]], reach[v])
+        if branches > 1:
+            out |= 1 << start
     return out
 
 
+def path_shares(beside: list[list[int]], sources) -> list[float]:
+    """For each vertex the sum, over shortest paths from the sources, of its share of those to each target (after Brandes, 2001)."""
+    n = len(beside)
+    score = [0.0] * n
+    for s in sources:
+        level, paths, share, order = [-1] * n, [0.0] * n, [0.0] * n, [s]
+        level[s], paths[s] = 0, 1.0
+        for v in order:  # grows while it is read
+            for w in beside[v]:
+                if level[w] < 0:
+                    level[w] = level[v] + 1
+                    order.append(w)
+                if level[w] > level[v]:
+                    paths[w] += paths[v]
+        for w in order[:0:-1]:
+            each = (1 + share[w]) / paths[w]
+            for v in beside[w]:
+                if level[v] < level[w]:
+                    share[v] += paths[v] * each
+            score[w] += share[w]
+    return score
+
+
 def tree_ranks(nb: list[int], inside: int) -> tuple[int, int]:
     """(treedepth, root) of a tree: least ranks such that equal ranks have a larger one between them."""
     root = (inside & -inside).bit_length() - 1

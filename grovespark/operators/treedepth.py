@@ -61,8 +61,28 @@ def edge_masks(vertices: DataFrame, edges: DataFrame, most: int = SMALL) -> Data
 
 def small_treedepth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, n, td) of graphs of at most SMALL vertices by the table of all of them, which has 1099 rows and is broadcast."""
-    found = edge_masks(vertices, edges)
-    return found.join(F.broadcast(small_table(vertices.sparkSession, connected=False)), ["n", "edge_mask"]).select("graph_id", "n", "td")
+    return small_roots(vertices, edges).drop("root")
+
+
+def small_roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """small_treedepth with root, the least vertex that some best tree of the deepest component may start with."""
+    ids = vertices.groupBy("graph_id").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    found = edge_masks(vertices, edges).join(F.broadcast(small_table(vertices.sparkSession, connected=False)), ["n", "edge_mask"])
+    return found.join(ids, "graph_id").select("graph_id", "n", "td", F.get("vs", F.col("root")).alias("root"))
+
+
+def closed_roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, root) of the connected graphs that closed_forms or the ranking of trees answers: a vertex to start a best tree with.
+
+    Any vertex of a complete graph or a cycle (the least), the hub of a star, the middle of a path; of
+    other trees the one of highest rank.
+    """
+    named = closed_forms(vertices, edges).join(graph.is_connected(vertices, edges).where("connected"), "graph_id")
+    top = graph.degrees(vertices, edges).groupBy("graph_id").agg(F.min("v").alias("least"), F.max(F.struct("degree", (-F.col("v")).alias("k"))).alias("hub"))
+    simple = named.join(top, "graph_id").where(F.col("shape").isin("complete", "cycle", "star")).select("graph_id", F.when(F.col("shape") == "star", -F.col("hub.k")).otherwise(F.col("least")).cast("int").alias("root"))
+    trees = named.where(F.col("shape").isin("path", "tree")).select("graph_id")
+    ranked = kernels.tree_treedepth(vertices.join(trees, "graph_id", "left_semi"), edges.join(trees, "graph_id", "left_semi"))
+    return simple.union(ranked.select("graph_id", "root"))
 
 
 def trivial_bounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:

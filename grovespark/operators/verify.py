@@ -9,45 +9,50 @@ from grovespark.functions.loops import written
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
-    """(graph_id, v, ancestor, up): every vertex with itself and all above it, found by walking up a step a round.
+    """(graph_id, v, ancestor, up, top): every vertex with itself and all above it; top if that is a root.
 
-    Walks on a cycle end after as many steps as their graph has vertices and reach no root.
+    Known ways up are doubled in each round, so a forest of depth d takes about log2(d) rounds. Ways on
+    a cycle end before they are as long as their graph has vertices, and reach no root.
     """
     size = tree.groupBy("graph_id").agg(F.count("*").alias("n"))
-    up = written(tree.select("graph_id", F.col("v").alias("ancestor"), F.col("parent").alias("next")))
-    front = written(tree.join(size, "graph_id").select("graph_id", "v", F.col("v").alias("ancestor"), F.lit(0).alias("up"), F.col("parent").alias("next"), "n"))
-    out = front
-    while not front.isEmpty():
-        step = front.where("next != 0 AND up < n").select("graph_id", "v", F.col("next").alias("ancestor"), (F.col("up") + 1).alias("up"), "n")
-        front = written(step.join(up, ["graph_id", "ancestor"]).select("graph_id", "v", "ancestor", "up", "next", "n"))
-        out = out.union(front)
-    return written(out.select("graph_id", "v", "ancestor", "up", (F.col("next") == 0).alias("top")))
-
-
-def is_tree(tree: DataFrame) -> DataFrame:
-    """(graph_id, is_tree): every vertex reaches a root, no vertex has two parents; several roots are fine."""
-    reached = ancestors(tree).where("top").groupBy("graph_id").agg(F.count_distinct("v").alias("k"))
+    rows = written(tree.join(size, "graph_id").select("graph_id", "v", "parent", "n"))
+    pairs = rows.select("graph_id", "v", F.col("v").alias("ancestor"), F.lit(0).cast("long").alias("up"), "n").distinct()
+    jump = rows.where("parent != 0").select("graph_id", "v", F.col("parent").alias("far")).distinct()
+    most = rows.agg(F.max("n")).first()[0] or 0
+    step = 1
+    while step < most and not jump.isEmpty():
+        above = pairs.select("graph_id", F.col("v").alias("far"), "ancestor", "up", "n")
+        more = jump.join(above, ["graph_id", "far"]).select("graph_id", "v", "ancestor", (F.col("up") + step).alias("up"), "n").where("up < n")
+        pairs = written(pairs.union(more).distinct())
+        jump = written(jump.join(jump.select("graph_id", F.col("v").alias("far"), F.col("far").alias("next")), ["graph_id", "far"]).select("graph_id", "v", F.col("next").alias("far")).distinct())
+        step *= 2
+    roots = rows.where("parent = 0").select("graph_id", F.col("v").alias("ancestor"), F.lit(True).alias("top")).distinct()
+    return written(pairs.join(roots, ["graph_id", "ancestor"], "left").select("graph_id", "v", "ancestor", "up", F.coalesce("top", F.lit(False)).alias("top")))
+
+
+def is_tree(tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """(graph_id, is_tree): every vertex reaches a root, no vertex has two parents; several roots are fine. above: the ancestors, if known."""
+    reached = (ancestors(tree) if above is None else above).where("top").groupBy("graph_id").agg(F.count_distinct("v").alias("k"))
     return tree.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_distinct("v").alias("d")).join(reached, "graph_id", "left").select("graph_id", ((F.col("n") == F.coalesce("k", F.lit(0))) & (F.col("n") == F.col("d"))).alias("is_tree"))
 
 
-def tree_depth(tree: DataFrame) -> DataFrame:
+def tree_depth(tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """(graph_id, depth) in vertices."""
-    return ancestors(tree).where("top").groupBy("graph_id").agg((F.max("up") + 1).alias("depth"))
+    return (ancestors(tree) if above is None else above).where("top").groupBy("graph_id").agg((F.max("up") + 1).cast("int").alias("depth"))
 
 
-def uncovered_edges(edges: DataFrame, tree: DataFrame) -> DataFrame:
+def uncovered_edges(edges: DataFrame, tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """Edges whose ends are not ancestor and descendant."""
-    pairs = ancestors(tree).select("graph_id", "v", F.col("ancestor").alias("u")).distinct()
-    ordered = pairs.select("graph_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return edges.join(ordered, ["graph_id", "u", "v"], "left_anti")
+    pairs = (ancestors(tree) if above is None else above).select("graph_id", F.least("v", "ancestor").alias("u"), F.greatest("v", "ancestor").alias("v")).distinct()
+    return edges.join(pairs, ["graph_id", "u", "v"], "left_anti")
 
 
 def verify(vertices: DataFrame, edges: DataFrame, tree: DataFrame, declared: DataFrame) -> DataFrame:
     """(graph_id, ok, reason, declared, actual): vertex sets equal, a forest, all edges covered, depth as declared. Optimality is not checked."""
-    key = ["graph_id"]
+    key, above = ["graph_id"], ancestors(tree)
     extra = vertices.select("graph_id", "v").join(tree, ["graph_id", "v"], "left_anti").union(tree.select("graph_id", "v").join(vertices, ["graph_id", "v"], "left_anti")).select("graph_id").distinct().withColumn("_v", F.lit(True))
-    bad = uncovered_edges(edges, tree).select("graph_id").distinct().withColumn("_e", F.lit(True))
-    all_ = vertices.select("graph_id").distinct().join(extra, key, "left").join(is_tree(tree), key, "left").join(bad, key, "left").join(tree_depth(tree), key, "left").join(declared.select("graph_id", F.col("depth").alias("declared")), key, "left")
+    bad = uncovered_edges(edges, tree, above).select("graph_id").distinct().withColumn("_e", F.lit(True))
+    all_ = vertices.select("graph_id").distinct().join(extra, key, "left").join(is_tree(tree, above), key, "left").join(bad, key, "left").join(tree_depth(tree, above), key, "left").join(declared.select("graph_id", F.col("depth").alias("declared")), key, "left")
     reason = (
         F.when(F.col("_v"), "vertices").when(~F.coalesce("is_tree", F.lit(False)), "tree").when(F.col("_e"), "edge")
         .when(~F.col("declared").eqNullSafe(F.col("depth")), "depth")

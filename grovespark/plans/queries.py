@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from grovespark.operators import centrality, graph, kernels, sets, treedepth, verify
+from grovespark.functions.loops import new_folder, written
+from grovespark.operators import centrality, graph, kernels, reporting, sets, treedepth, verify
 from grovespark.plans import tables
+from grovespark.sources import files
 from grovespark.plans.tables import GRAPHS_SQL, SETS_SQL
 
 
-def _on(make, get=tables.trade_graphs):
+def _on(make, get=tables.all_graphs):
     return lambda spark, d: make(*get(spark, d))
 
 
@@ -36,15 +39,99 @@ def _bfs_tree(vertices, edges):
     return found.select("graph_id", "v"), found.where("parent IS NOT NULL").select("graph_id", F.least("v", "parent").alias("u"), F.greatest("v", "parent").alias("v"))
 
 
-def _verify(vertices, edges):
-    from grovespark.functions.loops import written
-
+def _solved(vertices, edges):
+    """Solved graphs, and whether their trees pass."""
     solved = written(kernels.solve(vertices, edges))
     return verify.verify(vertices, edges, kernels.trees(solved), solved.select("graph_id", F.col("td").alias("depth"))).select("graph_id", "ok")
 
 
-def _sets(make):
-    return lambda spark, d: make(*tables.supplier_sets(spark, d))
+def _tree_digest(vertices, edges):
+    """Depth of each solver's tree, and edges that it does not cover."""
+    solved = written(kernels.solve(vertices, edges))
+    tree = kernels.trees(solved)
+    bad = verify.uncovered_edges(edges, tree).groupBy("graph_id").agg(F.count("*").alias("uncovered"))
+    return verify.tree_depth(tree).join(bad, "graph_id", "left").join(verify.is_tree(tree), "graph_id").select("graph_id", F.col("depth").cast("int").alias("depth"), F.coalesce("uncovered", F.lit(0)).cast("long").alias("uncovered"), "is_tree")
+
+
+def _certificates(vertices, edges):
+    """Good and bad forests of each graph: all roots, all below the least vertex, a chain, one with a wrong depth, one with a vertex short, and a ring."""
+    by = Window.partitionBy("graph_id").orderBy("v")
+    whole = Window.partitionBy("graph_id")
+    placed = vertices.select("graph_id", F.col("v") + 1, F.lag(F.col("v") + 1).over(by), F.min(F.col("v") + 1).over(whole), F.max(F.col("v") + 1).over(whole), F.count("*").over(whole).cast("int")).toDF("graph_id", "v", "before", "least", "most", "n")
+    kinds = {"flat": "0", "star": "if(v = least, 0, least)", "chain": "coalesce(before, 0)", "deep": "coalesce(before, 0)", "short": "coalesce(before, 0)", "ring": "coalesce(before, most)"}
+    depth = {"flat": "1", "star": "if(n = 1, 1, 2)", "chain": "n", "deep": "n + 1", "short": "n - 1", "ring": "n"}
+    cut = lambda col, k: F.concat_ws("/", col, F.lit(k)).alias("graph_id")
+    trees = declared = gv = ge = None
+    add = lambda a, b: b if a is None else a.union(b)
+    for k in kinds:
+        tree = placed.where("v < most OR n = 1") if k == "short" else placed
+        trees = add(trees, tree.select(cut("graph_id", k), "v", F.expr(kinds[k]).cast("int").alias("parent")))
+        declared = add(declared, placed.select(cut("graph_id", k), F.expr(depth[k]).cast("int").alias("depth")).distinct())
+        gv, ge = add(gv, placed.select(cut("graph_id", k), "v")), add(ge, edges.select(cut("graph_id", k), (F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v")))
+    return written(gv), written(ge), written(trees), written(declared)
+
+
+def _verified(spark, d):
+    return verify.verify(*_certificates(*tables.trade_graphs(spark, d))).select("graph_id", "ok", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def _damaged(vertices, edges):
+    """The graphs with loops, turned, repeated and unknown ends."""
+    more = edges.where("u % 7 = 0").select("graph_id", "u", F.col("u").alias("v")).distinct()
+    more = more.union(edges.where("u % 5 = 0").select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"))).union(edges.where("v % 3 = 0"))
+    more = more.union(edges.where("v % 11 = 0").select("graph_id", "v", (F.col("v") + 1000000).alias("v2")))
+    return vertices.union(vertices.where("v % 4 = 0")), edges.union(more)
+
+
+def _sets(make, empty=True):
+    return lambda spark, d: make(*tables.supplier_sets(spark, d, empty))
+
+
+def _ascending(spark, d):
+    line = tables.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_suppkey").alias("s")))).alias("x"))
+    return line.select("l_orderkey", sets.is_ascending(F.col("x.s")).alias("ascending"))
+
+
+def _inserted(spark, d):
+    line = tables.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("int"))).alias("vset"))
+    bound = line.select("l_orderkey", F.slice("vset", 1, 2).alias("vset"), F.expr("cast(l_orderkey % 7 AS int)").alias("lb"), F.expr("cast(l_orderkey % 11 + 7 AS int)").alias("ub"), F.col("vset")[0].alias("root"))
+    half = lambda k: bound.where(f"l_orderkey % 2 = {k}").drop("l_orderkey")
+    return sets.insert(half(0), half(1)).select(_spelled("vset"), "lb", "ub", "root")
+
+
+def _numbered(vertices, edges):
+    """The graphs with vertices 1 to n."""
+    at = vertices.select("graph_id", "v", F.row_number().over(Window.partitionBy("graph_id").orderBy("v")).alias("k"))
+    moved = edges.join(at.select("graph_id", F.col("v").alias("u"), F.col("k").alias("a")), ["graph_id", "u"]).join(at.select("graph_id", "v", F.col("k").alias("b")), ["graph_id", "v"])
+    return written(at.select("graph_id", F.col("k").alias("v"))), written(moved.select("graph_id", F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _gr_files(spark, d):
+    """The nation graphs written as .gr texts and read again."""
+    folder = new_folder(spark, "gr")
+    files.write_texts(files.gr_text(*_numbered(*tables.trade_graphs(spark, d))), folder)
+    return files.read_gr(spark, folder)[1]
+
+
+def _tree_files(spark, d):
+    """Chains over the nation graphs' vertices written as .tree texts and read again."""
+    folder = new_folder(spark, "tree")
+    vertices = _numbered(*tables.trade_graphs(spark, d))[0]
+    chain = vertices.select("graph_id", "v", (F.col("v") - 1).alias("parent"))
+    files.write_texts(files.tree_text(chain.groupBy("graph_id").agg(F.max("v").alias("depth")), chain), folder)
+    declared, tree = files.read_tree(spark, folder)
+    return tree.join(declared, "graph_id").select("graph_id", F.col("v").cast("int").alias("v"), "parent", "depth")
+
+
+def _timings(make):
+    """Reports over made-up timings: orders as solved instances of five runs."""
+
+    def run(spark, d):
+        o = tables.table(spark, d, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
+        records = o.selectExpr("o_orderpriority AS run", "cast(o_custkey % 500 AS string) AS instance", "cast(o_orderkey % 23 AS int) - 1 AS td", "cast(o_orderkey % 1024 AS double) / 8 AS seconds")
+        return make(records)
+
+    return run
 
 
 def _by_component(vertices, edges):
@@ -60,16 +147,16 @@ QUERIES = {
     "neighbourhoods": _on(lambda v, e: graph.neighbourhoods(v, e).select("graph_id", "v", F.array_join(F.col("nb").cast("array<string>"), " ").alias("nb"), F.col("deg").cast("long").alias("deg"))),
     "vertex_set": _on(lambda v, e: graph.vertex_set(_even(v)).select("graph_id", F.array_join(F.col("vset").cast("array<string>"), " ").alias("vset"))),
     "shape_class": _on(graph.shapes),
-    "validate": _on(graph.validate),
+    "validate": _on(lambda v, e: graph.validate(*_damaged(v, e))),
     "induced_subgraph": _on(lambda v, e: graph.induced(e, _even(v))),
     "components": _on(graph.components),
     "connected_subset": _on(lambda v, e: graph.is_connected(_even(v), e)),
     "without_vertex": _on(lambda v, e: graph.without(v, e, _least(v))),
     "without_vertices": _on(lambda v, e: graph.without(v, e, _least(v, 3))),
-    "articulation": _on(graph.articulation_points),
-    "articulation_kernel": _on(kernels.articulation_kernel),
+    "articulation": _on(kernels.articulation_kernel),
+    "articulation_copies": _on(graph.articulation_points, tables.trade_graphs),
     "bfs_tree": _on(lambda v, e: graph.bfs(v, e, _least(v))),
-    "dfs_tree": _on(kernels.dfs_tree),
+    "dfs_tree": _on(kernels.dfs_tree, tables.region_graphs),
     "two_core": _on(lambda v, e: graph.k_core(v, e, 2)[0]),
     "three_core": _on(lambda v, e: graph.k_core(v, e, 3)[0]),
     "three_core_components": _on(_by_component),
@@ -84,30 +171,42 @@ QUERIES = {
     "pagerank8": _on(lambda v, e: _rounded(centrality.pagerank_like(v, e))),
     "set_search": _sets(sets.search),
     "set_size": _sets(lambda s, q: sets.size(s)),
-    "has_subset": _sets(sets.has_subset),
+    "has_subset": _sets(sets.has_subset, False),
     "has_superset": _sets(sets.has_superset),
+    "set_is_ascending": _ascending,
+    "set_insert": _inserted,
+    "super_ids": _on(lambda v, e: graph.super_ids(graph.vertex_set(_even(v))).select("graph_id", "id")),
+    "gr_files": _gr_files,
+    "tree_files": _tree_files,
+    "timings_by_run": _timings(lambda r: _rounded(reporting.by_run(r).withColumnRenamed("mean_s", "score")).withColumnRenamed("score", "mean_s")),
+    "timings_mismatches": _timings(lambda r: reporting.mismatches(r).groupBy("run", "instance", "td", "least").agg(F.count("*").alias("n"))),
+    "timings_fastest": _timings(reporting.fastest),
     "all_subsets": _sets(sets.all_subsets),
     "all_supersets": _sets(sets.all_supersets),
     "big_subsets": _sets(lambda s, q: sets.all_subsets(s, q, 2)),
     "td_closed_forms": _on(treedepth.closed_forms),
     "td_trivial_bounds": _on(treedepth.trivial_bounds),
-    "td_core_lower": _on(treedepth.core_lower),
-    "td_greedy_upper": _on(treedepth.greedy_upper),
-    "td_tree": lambda spark, d: kernels.tree_treedepth(*_bfs_tree(*tables.trade_graphs(spark, d))),
+    "td_core_lower": _on(treedepth.core_lower, tables.region_graphs),
+    "td_greedy_upper": _on(treedepth.greedy_upper, tables.region_graphs),
+    "td_tree": lambda spark, d: kernels.tree_treedepth(*_bfs_tree(*tables.region_graphs(spark, d))).select("graph_id", "td"),
+    "small_roots": _on(lambda v, e: treedepth.small_roots(v, e).select("graph_id", "n", "td", "root"), tables.region_graphs),
+    "closed_roots": _on(treedepth.closed_roots),
     "td_brute_force": _on(kernels.brute_force, tables.region_graphs),
     "td_fixpoint": _on(treedepth.fixpoint, tables.region_graphs),
     "td_solve": _on(lambda v, e: kernels.solve(v, e).select("graph_id", "n", "td"), tables.region_graphs),
-    "solve_trade": _on(lambda v, e: kernels.results(kernels.solve(v, e))),
-    "elimination_tree": _on(lambda v, e: kernels.trees(kernels.solve(v, e))),
-    "verify_tree": _on(_verify),
+    "solve_trade": _on(lambda v, e: kernels.results(kernels.solve(v, e)), tables.trade_graphs),
+    "solve_windows": _on(lambda v, e: kernels.results(kernels.solve(v, e, 20)), tables.window_graphs),
+    "elimination_tree": _on(_tree_digest, tables.region_graphs),
+    "verify_tree": _verified,
+    "verify_solved": _on(_solved, tables.trade_graphs),
     "small_td_table": lambda spark, d: treedepth.small_table(spark).select("n", "edge_mask", "td"),
     "fm_separators_region": _on(lambda v, e: kernels.fully_minimal_separators(v, e).select("graph_id", _spelled("sep")), tables.region_graphs),
     "minimal_separators_region": _on(lambda v, e: kernels.separators(v, e).select("graph_id", _spelled("sep")), tables.region_graphs),
     "automorphism_count": _on(lambda v, e: kernels.automorphism_summary(v, e).select("graph_id", "group_size", "orbits"), tables.region_graphs),
-    "minimal_separators": _on(kernels.separators),
-    "fm_separators": _on(kernels.fully_minimal_separators),
+    "minimal_separators": _on(lambda v, e: kernels.separators(v, e).withColumn("sep", _spelled("sep"))),
+    "fm_separators": _on(lambda v, e: kernels.fully_minimal_separators(v, e).withColumn("sep", _spelled("sep"))),
     "orbits": _on(kernels.orbits, tables.region_graphs),
-    "automorphisms": _on(kernels.automorphisms, tables.region_graphs),
+    "automorphisms": _on(lambda v, e: kernels.automorphisms(v, e).select("graph_id", _spelled("image")), tables.region_graphs),
 }
 
 G = "WITH RECURSIVE " + GRAPHS_SQL
@@ -148,8 +247,9 @@ x{i + 1} AS MATERIALIZED (SELECT graph_id, v, y / sqrt(sum(y * y) OVER (PARTITIO
     return G + out + " SELECT graph_id, v, round(x, 6) AS score FROM x8"
 
 
-def _mask_dp(prefix: str, vertices: str, edges: str, where: str = "") -> str:
-    """Treedepth of graphs of at most five vertices by definition, over masks of vertices by size."""
+def _mask_dp(prefix: str, vertices: str, edges: str, where: str = "", greedy: bool = False) -> str:
+    """Treedepth of graphs of at most five vertices by definition, over masks of vertices by size; greedy: the first vertex of most neighbours goes instead of the best."""
+    pick = " JOIN hub ON hub.graph_id = s.graph_id AND hub.mask = s.mask AND hub.i = vi.i" if greedy else ""
     parts = f"""{prefix},
 vi AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS i FROM {vertices}),
 nn AS (SELECT graph_id, count(*) AS n FROM vi GROUP BY 1),
@@ -159,18 +259,28 @@ f0 AS (SELECT graph_id, mask, mask & -mask AS c FROM m)"""
     for k in range(4):
         parts += f""",
 f{k + 1} AS MATERIALIZED (SELECT f.graph_id, f.mask, f.c | coalesce(bit_or(nb & f.mask), 0) AS c FROM f{k} f LEFT JOIN nb ON nb.graph_id = f.graph_id AND (f.c >> nb.i) & 1 = 1 GROUP BY f.graph_id, f.mask, f.c)"""
+    if greedy:
+        parts += """,
+dg AS (SELECT m.graph_id, m.mask, vi.i, bit_count(coalesce(nb.nb, 0) & m.mask) AS d FROM m JOIN vi ON vi.graph_id = m.graph_id AND (m.mask >> vi.i) & 1 = 1 LEFT JOIN nb ON nb.graph_id = vi.graph_id AND nb.i = vi.i),
+hub AS MATERIALIZED (SELECT graph_id, mask, i FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, mask ORDER BY d DESC, i) AS k FROM dg) WHERE k = 1)"""
     parts += ", t1 AS (SELECT graph_id, mask, 1 AS t FROM m WHERE bit_count(mask) = 1)"
     for k in range(2, 6):
         parts += f""",
 s{k} AS (SELECT * FROM f4 WHERE bit_count(mask) = {k}),
 t{k} AS MATERIALIZED (
   SELECT * FROM t{k - 1}
-  UNION ALL SELECT s.graph_id, s.mask, 1 + min(t.t) FROM s{k} s JOIN vi ON vi.graph_id = s.graph_id AND (s.mask >> vi.i) & 1 = 1 JOIN t{k - 1} t ON t.graph_id = s.graph_id AND t.mask = xor(s.mask, (1 << vi.i)::BIGINT) WHERE s.c = s.mask GROUP BY 1, 2
+  UNION ALL SELECT s.graph_id, s.mask, 1 + min(t.t) FROM s{k} s JOIN vi ON vi.graph_id = s.graph_id AND (s.mask >> vi.i) & 1 = 1{pick} JOIN t{k - 1} t ON t.graph_id = s.graph_id AND t.mask = xor(s.mask, (1 << vi.i)::BIGINT) WHERE s.c = s.mask GROUP BY 1, 2
   UNION ALL SELECT s.graph_id, s.mask, greatest(a.t, b.t) FROM s{k} s JOIN t{k - 1} a ON a.graph_id = s.graph_id AND a.mask = s.c JOIN t{k - 1} b ON b.graph_id = s.graph_id AND b.mask = xor(s.mask, s.c) WHERE s.c <> s.mask)"""
     return parts + " SELECT nn.graph_id, nn.n::INT AS n, t.t::INT AS td FROM nn JOIN t5 t ON t.graph_id = nn.graph_id AND t.mask = (1 << nn.n) - 1 JOIN f4 ON f4.graph_id = nn.graph_id AND f4.mask = t.mask" + where
 
 
-REGIONS = G + ", rv AS (SELECT * FROM gv WHERE graph_id <> 'trade'), re AS (SELECT * FROM adj WHERE graph_id <> 'trade')"
+REGIONS = G + ", rv AS (SELECT * FROM gv WHERE graph_id LIKE 'region%'), re AS (SELECT * FROM adj WHERE graph_id LIKE 'region%')"
+MASKS = """,
+vi AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS i FROM rv),
+nb AS (SELECT a.graph_id, a.i, bit_or(1 << b.i) AS nb FROM re e JOIN vi a ON a.graph_id = e.graph_id AND a.v = src JOIN vi b ON b.graph_id = e.graph_id AND b.v = dst GROUP BY 1, 2),
+m AS (SELECT graph_id, unnest(range(1, 32)) AS mask FROM (SELECT DISTINCT graph_id FROM rv))"""
+NUMBERED = G + ", num AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v)::INT AS k FROM gv WHERE graph_id NOT LIKE 'w%')"
+TIMINGS = "WITH r AS (SELECT o_orderpriority AS run, (o_custkey % 500)::VARCHAR AS instance, (o_orderkey % 23)::INT - 1 AS td, (o_orderkey % 1024)::DOUBLE / 8 AS seconds FROM orders)"
 ORDERS = """WITH RECURSIVE
 ol AS (SELECT DISTINCT l_orderkey::VARCHAR AS graph_id, l_suppkey::INT AS v, s_nationkey AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 ov AS (SELECT graph_id, v, k FROM ol WHERE graph_id IN (SELECT graph_id FROM ol GROUP BY 1 HAVING count(*) <= 5)),
@@ -181,7 +291,6 @@ pe AS (SELECT 'copart' AS graph_id, a.p AS u, b.p AS v FROM p a JOIN p b ON a.o
 adj AS (SELECT graph_id, u AS src, v AS dst FROM pe UNION ALL SELECT graph_id, v, u FROM pe),
 gv AS (SELECT DISTINCT graph_id, src AS v FROM adj)"""
 S = "WITH " + SETS_SQL
-Q = " (SELECT id AS query_id FROM s WHERE id % 100 = 0)"
 
 SHAPES = """, sh AS (SELECT graph_id, count(*) AS n, (sum(d) // 2)::BIGINT AS m, min(d) AS min_degree, max(d) AS max_degree FROM deg GROUP BY 1),
 sc AS (SELECT *, CASE WHEN m = n * (n - 1) // 2 THEN 'complete' WHEN m = n - 1 AND max_degree = n - 1 THEN 'star' WHEN m = n AND max_degree = 2 AND min_degree = 2 THEN 'cycle'
@@ -254,7 +363,16 @@ ORACLES = {
     "neighbourhoods": G + " SELECT gv.graph_id, gv.v, coalesce(string_agg(dst::VARCHAR, ' ' ORDER BY dst), '') AS nb, count(dst) AS deg FROM gv LEFT JOIN adj ON adj.graph_id = gv.graph_id AND src = gv.v GROUP BY 1, 2",
     "vertex_set": G + " SELECT graph_id, string_agg(v::VARCHAR, ' ' ORDER BY v) AS vset FROM gv WHERE v % 2 = 0 GROUP BY 1",
     "shape_class": G + SHAPES + " SELECT * FROM sc",
-    "validate": G + _reach("gv", "adj", "comp") + " SELECT graph_id, 'connected' AS rule, count(DISTINCT component) AS n FROM comp GROUP BY 1 HAVING count(DISTINCT component) > 1",
+    "validate": G + _reach("gv", "adj", "comp") + """,
+x AS (
+  SELECT graph_id, u, v FROM ge UNION ALL SELECT DISTINCT graph_id, u, u FROM ge WHERE u % 7 = 0 UNION ALL SELECT graph_id, v, u FROM ge WHERE u % 5 = 0
+  UNION ALL SELECT graph_id, u, v FROM ge WHERE v % 3 = 0 UNION ALL SELECT graph_id, v, v + 1000000 FROM ge WHERE v % 11 = 0)
+SELECT graph_id, 'connected' AS rule, count(DISTINCT component) AS n FROM comp GROUP BY 1 HAVING count(DISTINCT component) > 1
+UNION ALL SELECT graph_id, 'loop', count(*) FROM x WHERE u = v GROUP BY 1
+UNION ALL SELECT graph_id, 'order', count(*) FROM x WHERE u > v GROUP BY 1
+UNION ALL SELECT graph_id, 'repeated edge', count(*) FROM (SELECT graph_id, u, v FROM x GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1
+UNION ALL SELECT graph_id, 'repeated vertex', count(*) FROM gv WHERE v % 4 = 0 GROUP BY 1
+UNION ALL SELECT graph_id, 'unknown vertex', count(*) FROM (SELECT graph_id, u AS v FROM x UNION ALL SELECT graph_id, v FROM x) WHERE v >= 1000000 GROUP BY 1""",
     "induced_subgraph": G + " SELECT * FROM ge WHERE u % 2 = 0 AND v % 2 = 0",
     "components": G + _reach("gv", "adj", "comp") + " SELECT * FROM comp",
     "connected_subset": G + _kept("v % 2 = 0") + _reach("kv", "ke", "comp") + " SELECT graph_id, count(DISTINCT component) = 1 AS connected FROM comp GROUP BY 1",
@@ -284,15 +402,46 @@ SELECT a.graph_id, a.v, min(b.v) AS representative FROM ns a JOIN ns b ON a.grap
     "betweenness": G + PATHS + " SELECT gv.graph_id, gv.v, round(coalesce(score, 0), 6) AS score FROM gv LEFT JOIN bc USING (graph_id, v)",
     "eigenvector8": _power(None),
     "pagerank8": _power(0.85),
-    "set_search": S + " SELECT query_id, true AS found FROM" + Q,
-    "set_size": S + " SELECT count(DISTINCT word) AS n FROM s",
-    "has_subset": S + " SELECT q.query_id, EXISTS (SELECT 1 FROM h WHERE h.query_id = q.query_id AND n = stored) AS found FROM" + Q + " q",
-    "has_superset": S + " SELECT q.query_id, EXISTS (SELECT 1 FROM h WHERE h.query_id = q.query_id AND n = asked) AS found FROM" + Q + " q",
-    "all_subsets": S + " SELECT query_id, set_id, asked - n AS gap FROM h WHERE n = stored",
-    "all_supersets": S + " SELECT query_id, set_id FROM h WHERE n = asked",
-    "big_subsets": S + " SELECT query_id, set_id, asked - n AS gap FROM h WHERE n = stored AND asked - n <= 2",
+    "set_search": S + " SELECT query_id, EXISTS (SELECT 1 FROM te WHERE te.word = q.word) AS found FROM q",
+    "set_size": S + " SELECT count(DISTINCT word) AS n FROM te",
+    "has_subset": S + " SELECT query_id, EXISTS (SELECT 1 FROM m WHERE m.query_id = q.query_id AND n = stored AND stored > 0) AS found FROM q",
+    "has_superset": S + " SELECT query_id, EXISTS (SELECT 1 FROM m WHERE m.query_id = q.query_id AND n = asked) AS found FROM q",
+    "all_subsets": S + " SELECT query_id, set_id, asked - n AS gap FROM m WHERE n = stored",
+    "all_supersets": S + " SELECT query_id, set_id FROM m WHERE n = asked",
+    "big_subsets": S + " SELECT query_id, set_id, asked - n AS gap FROM m WHERE n = stored AND asked - n <= 2",
+    "set_is_ascending": "SELECT l_orderkey, w = list_sort(list_distinct(w)) AS ascending FROM (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS w FROM lineitem GROUP BY 1)",
+    "set_insert": """WITH o AS (SELECT l_orderkey AS o, list_sort(list(DISTINCT l_suppkey::INT)) AS w FROM lineitem GROUP BY 1),
+b AS (SELECT w[1:2] AS s, (o % 7)::INT AS lb, (o % 11 + 7)::INT AS ub, w[1] AS root FROM o)
+SELECT array_to_string(s, ' ') AS vset, max(lb) AS lb, min(ub) AS ub, min({'u': ub, 'r': root}).r AS root FROM b GROUP BY s""",
+    "super_ids": G + " SELECT graph_id, min(v) AS id FROM gv WHERE v % 2 = 0 GROUP BY 1",
+    "gr_files": NUMBERED + " SELECT ge.graph_id, a.k AS u, b.k AS v FROM ge JOIN num a ON a.graph_id = ge.graph_id AND a.v = u JOIN num b ON b.graph_id = ge.graph_id AND b.v = ge.v",
+    "tree_files": NUMBERED + " SELECT graph_id, k AS v, k - 1 AS parent, max(k) OVER (PARTITION BY graph_id) AS depth FROM num",
+    "timings_by_run": TIMINGS + " SELECT run, count(*) AS attempted, count(*) FILTER (td > -1) AS solved, sum(seconds) FILTER (td > -1) AS total_s, round(avg(seconds) FILTER (td > -1), 6) AS mean_s FROM r GROUP BY 1",
+    "timings_mismatches": TIMINGS + " SELECT run, instance, td, least, count(*) AS n FROM (SELECT *, min(td) OVER (PARTITION BY instance) AS least FROM r WHERE td > -1) WHERE td <> least GROUP BY 1, 2, 3, 4",
+    "timings_fastest": TIMINGS + " SELECT instance, min(td) AS td, min(seconds) AS seconds, min({'s': seconds, 'r': run}).r AS run FROM r WHERE td > -1 GROUP BY 1",
     "td_closed_forms": G + SHAPES + " SELECT graph_id, n, shape, (CASE shape WHEN 'complete' THEN n WHEN 'star' THEN 2 WHEN 'cycle' THEN 1 + ceil(log2(n)) WHEN 'path' THEN ceil(log2(n + 1)) END)::INT AS td FROM sc",
     "td_trivial_bounds": G + SHAPES + " SELECT graph_id, greatest(m // n + 1, min_degree + 1)::BIGINT AS lower, n AS upper FROM sc",
-    "verify_tree": G + " SELECT DISTINCT graph_id, true AS ok FROM gv",
+    "verify_tree": G + """, k AS (SELECT graph_id, count(*) AS n, min(v) AS least FROM gv WHERE graph_id NOT LIKE 'w%' GROUP BY 1),
+f AS (SELECT k.*, (SELECT count(*) FROM ge WHERE ge.graph_id = k.graph_id) AS m, (SELECT count(*) FROM ge WHERE ge.graph_id = k.graph_id AND u <> least) AS away FROM k)
+SELECT graph_id || '/' || kind AS graph_id, reason = '' AS ok, reason FROM (
+  SELECT graph_id, unnest(['flat', 'star', 'chain', 'deep', 'short', 'ring']) AS kind, unnest([
+    CASE WHEN m > 0 THEN 'edge' ELSE '' END, CASE WHEN away > 0 THEN 'edge' ELSE '' END, '', 'depth', CASE WHEN n > 1 THEN 'vertices' ELSE 'depth' END, 'tree']) AS reason FROM f)""",
+    "verify_solved": G + " SELECT DISTINCT graph_id, true AS ok FROM gv WHERE graph_id NOT LIKE 'w%'",
+    "dfs_tree": REGIONS + _reach("rv", "re", "comp") + """,
+walk AS (
+  SELECT graph_id, v, [v] AS path FROM comp WHERE v = component
+  UNION ALL SELECT w.graph_id, dst, list_append(path, dst) FROM walk w JOIN re ON re.graph_id = w.graph_id AND src = w.v WHERE NOT list_contains(path, dst)),
+best AS (SELECT graph_id, v, max(path) AS path FROM walk GROUP BY 1, 2)
+SELECT graph_id, v, CASE WHEN len(path) = 1 THEN 0 ELSE path[len(path) - 1] END::INT AS parent, len(path)::INT AS depth FROM best""",
+    "td_core_lower": REGIONS + MASKS + """,
+inner_ AS (SELECT m.graph_id, m.mask, min(bit_count(coalesce(nb.nb, 0) & m.mask)) AS k FROM m JOIN vi ON vi.graph_id = m.graph_id AND (m.mask >> vi.i) & 1 = 1 LEFT JOIN nb ON nb.graph_id = vi.graph_id AND nb.i = vi.i GROUP BY 1, 2)
+SELECT graph_id, (max(k) + 1)::INT AS lower FROM inner_ GROUP BY 1""",
+    "td_greedy_upper": "SELECT graph_id, td AS upper FROM (" + _mask_dp(REGIONS, "rv", "re", greedy=True) + ")",
+    "td_tree": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS + BFS.replace("FROM gv", "FROM rv").replace("JOIN adj ON adj", "JOIN re adj ON adj") + """,
+up AS (SELECT b.graph_id, b.v, min(adj.dst) AS parent FROM bd b JOIN re adj ON adj.graph_id = b.graph_id AND adj.src = b.v JOIN bd p ON p.graph_id = b.graph_id AND p.v = adj.dst AND p.depth = b.depth - 1 GROUP BY 1, 2),
+te AS (SELECT graph_id, v AS src, parent AS dst FROM up UNION ALL SELECT graph_id, parent, v FROM up)""", "bd", "te") + ")",
+    "elimination_tree": "SELECT graph_id, td AS depth, 0::BIGINT AS uncovered, true AS is_tree FROM (" + _mask_dp(REGIONS, "rv", "re") + ")",
+    "orbits": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT low.graph_id, a.v, b.v AS representative, n AS group_size FROM low JOIN vi a ON a.graph_id = low.graph_id AND a.i = low.x JOIN vi b ON b.graph_id = low.graph_id AND b.i = low.low JOIN (SELECT graph_id, count(*) AS n FROM good GROUP BY 1) c ON c.graph_id = low.graph_id",
+    "automorphisms": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT good.graph_id, string_agg(vi.v::VARCHAR, ' ' ORDER BY r.x) AS image FROM good, r JOIN vi ON vi.graph_id = good.graph_id AND vi.i = p[r.x + 1] GROUP BY good.graph_id, p",
 }
-ORACLES["articulation_kernel"] = ORACLES["articulation"]
+ORACLES["articulation_copies"] = "SELECT * FROM (" + ORACLES["articulation"] + ") WHERE graph_id NOT LIKE 'w%'"

@@ -21,19 +21,45 @@ def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where("cn != sn").groupBy(F.least("cn", "sn").alias("a"), F.greatest("cn", "sn").alias("b")).agg(F.count("*").alias("w"))
 
 
+#: Orders in a window of orders.
+WINDOW = 8
+
+
 def trade_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Six graphs over the nations: 'trade', the 40 heaviest pairs, and 'region_k', the 6 heaviest within each region."""
+    """Six graphs over the nations: 'trade', pairs heavier than the mean by more than one standard deviation, and 'region_k', pairs within a region heavier than their mean.
+
+    Sums of all pairs are compared as whole numbers.
+    """
     pairs = written(trade_pairs(spark, sf_dir))
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    top = pairs.orderBy(F.desc("w"), "a", "b").limit(40).select(F.lit("trade").alias("graph_id"), F.col("a").alias("u"), F.col("b").alias("v"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_regionkey")
+    whole = Window.partitionBy(F.lit(0))  # of 300 rows at most
+    sums = pairs.withColumn("n", F.count("*").over(whole)).withColumn("s", F.sum("w").over(whole)).withColumn("q", F.sum(F.col("w") * F.col("w")).over(whole))
+    trade = sums.where("w * n > s AND (w * n - s) * (w * n - s) > n * q - s * s")
     inside = pairs.join(nation.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("r")), "a").join(nation.select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("r")), ["b", "r"])
+    mean = inside.groupBy("r").agg(F.count("*").alias("n"), F.sum("w").alias("s"))
     name = F.concat(F.lit("region_"), F.col("r").cast("string")).alias("graph_id")
-    ranked = inside.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(F.desc("w"), "a", "b"))).where("k <= 6")
-    edges = written(top.union(ranked.select(name, F.col("a").alias("u"), F.col("b").alias("v"))))
+    ends = F.col("a").cast("int").alias("u"), F.col("b").cast("int").alias("v")
+    edges = written(trade.select(F.lit("trade").alias("graph_id"), *ends).union(inside.join(mean, "r").where("w * n > s").select(name, *ends)))
     vertices = nation.select(F.lit("trade").alias("graph_id"), F.col("n_nationkey").alias("v")).union(nation.select(F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")), "n_nationkey"))
     return vertices, edges
 
 
+def window_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph 'w<k>' per window of WINDOW order numbers, as many as the orders ask for: its suppliers, joined where an order has both."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("int").alias("s"))
+    orders = line.groupBy("l_orderkey").agg(F.collect_set("s").alias("all"))  # the lines of one order
+    orders = written(orders.select(F.concat(F.lit("w"), F.expr(f"cast(l_orderkey div {WINDOW} AS string)")).alias("graph_id"), "all"))
+    one = orders.select("graph_id", "all", F.explode("all").alias("u"))
+    edges = written(one.select("graph_id", "u", F.explode("all").alias("v")).where("u < v").distinct())
+    return written(one.select("graph_id", F.col("u").alias("v")).distinct()), edges
+
+
+def all_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nation graphs and windows together."""
+    (v, e), (wv, we) = trade_graphs(spark, sf_dir), window_graphs(spark, sf_dir)
+    return v.union(wv), e.union(we)
+
+
 def region_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vertices, edges = trade_graphs(spark, sf_dir)
     return vertices.where("graph_id != 'trade'"), edges.where("graph_id != 'trade'")
@@ -58,30 +84,52 @@ def copart_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return edges.select("graph_id", F.explode(F.array("u", "v")).alias("v")).distinct(), edges
 
 
-def supplier_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(sets, queries): the suppliers of every order; orders whose number 100 divides ask."""
-    sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("int"))).alias("word"))
-    sets = written(sets.select(F.col("l_orderkey").alias("set_id"), "word"))
-    return sets, sets.where("set_id % 100 = 0").select(F.col("set_id").alias("query_id"), "word")
+def supplier_sets(spark: SparkSession, sf_dir: str, empty: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sets, queries): the suppliers of orders of odd number are stored, and the empty set if asked for.
+
+    Orders whose number 100 divides ask, as they are and (negative ids) with their last element one
+    higher; so does the empty set.
+    """
+    words = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("int"))).alias("word"))
+    words = written(words.select(F.col("l_orderkey").cast("long").alias("set_id"), "word"))
+    none = spark.range(1).select(F.lit(-1).cast("long").alias("set_id"), F.array().cast("array<int>").alias("word"))
+    stored = words.where("set_id % 2 = 1")
+    asked = words.where("set_id % 100 = 0").select(F.col("set_id").alias("query_id"), "word")
+    changed = asked.select((-F.col("query_id") - 2).alias("query_id"), F.expr("array_sort(array_append(slice(word, 1, size(word) - 1), array_max(word) + 1))").alias("word"))
+    queries = asked.union(changed).union(none)
+    return (stored.union(none) if empty else stored), queries
 
 
 GRAPHS_SQL = """
 w AS (
-  SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS w
+  SELECT least(c_nationkey, s_nationkey)::INT AS a, greatest(c_nationkey, s_nationkey)::INT AS b, count(*) AS w
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-ge AS (
-  SELECT 'trade' AS graph_id, a AS u, b AS v FROM (SELECT * FROM w ORDER BY w DESC, a, b LIMIT 40)
+os AS (SELECT DISTINCT l_orderkey AS o, 'w' || (l_orderkey // 8) AS graph_id, l_suppkey::INT AS s FROM lineitem),
+ge AS MATERIALIZED (
+  SELECT 'trade' AS graph_id, a AS u, b AS v FROM w, (SELECT count(*) AS n, sum(w)::BIGINT AS s, sum(w * w)::BIGINT AS q FROM w) WHERE w * n > s AND (w * n - s) * (w * n - s) > n * q - s * s
   UNION ALL SELECT 'region_' || r, a, b FROM (
-    SELECT a, b, n1.n_regionkey AS r, row_number() OVER (PARTITION BY n1.n_regionkey ORDER BY w DESC, a, b) AS k
-    FROM w JOIN nation n1 ON a = n1.n_nationkey JOIN nation n2 ON b = n2.n_nationkey AND n1.n_regionkey = n2.n_regionkey) WHERE k <= 6),
-gv AS (SELECT 'trade' AS graph_id, n_nationkey AS v FROM nation UNION ALL SELECT 'region_' || n_regionkey, n_nationkey FROM nation),
-adj AS (SELECT graph_id, u AS src, v AS dst FROM ge UNION ALL SELECT graph_id, v, u FROM ge),
+    SELECT a, b, w, n1.n_regionkey AS r, count(*) OVER (PARTITION BY n1.n_regionkey) AS n, sum(w) OVER (PARTITION BY n1.n_regionkey) AS s
+    FROM w JOIN nation n1 ON a = n1.n_nationkey JOIN nation n2 ON b = n2.n_nationkey AND n1.n_regionkey = n2.n_regionkey) WHERE w * n > s
+  UNION ALL SELECT DISTINCT p.graph_id, p.s, q.s FROM os p JOIN os q ON p.o = q.o AND p.s < q.s),
+gv AS MATERIALIZED (
+  SELECT 'trade' AS graph_id, n_nationkey::INT AS v FROM nation UNION ALL SELECT 'region_' || n_regionkey, n_nationkey::INT FROM nation
+  UNION ALL SELECT DISTINCT graph_id, s FROM os),
+adj AS MATERIALIZED (SELECT graph_id, u AS src, v AS dst FROM ge UNION ALL SELECT graph_id, v, u FROM ge),
 deg AS (SELECT gv.graph_id, gv.v, count(dst) AS d FROM gv LEFT JOIN adj ON adj.graph_id = gv.graph_id AND src = gv.v GROUP BY 1, 2)
 """
 
 SETS_SQL = """
-s AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey::INT)) AS word FROM lineitem GROUP BY 1),
-x AS (SELECT id, len(word) AS k, unnest(word) AS e FROM s),
-h AS (SELECT q.id AS query_id, t.id AS set_id, q.k AS asked, t.k AS stored, count(*) AS n FROM x q JOIN x t USING (e) WHERE q.id % 100 = 0 GROUP BY 1, 2, 3, 4)
+s AS MATERIALIZED (SELECT l_orderkey::BIGINT AS id, list_sort(list(DISTINCT l_suppkey::INT)) AS word FROM lineitem GROUP BY 1),
+q0 AS (SELECT id AS query_id, word FROM s WHERE id % 100 = 0),
+q AS MATERIALIZED (
+  SELECT * FROM q0 UNION ALL SELECT -query_id - 2, list_sort(list_append(word[1:len(word) - 1], list_max(word) + 1)) FROM q0 UNION ALL SELECT -1, []::INT[]),
+t AS MATERIALIZED (SELECT id AS set_id, word FROM s WHERE id % 2 = 1),
+te AS (SELECT * FROM t UNION ALL SELECT -1, []::INT[]),
+qx AS (SELECT query_id, unnest(word) AS e FROM q),
+tx AS (SELECT set_id, unnest(word) AS e FROM t),
+h AS MATERIALIZED (SELECT query_id, set_id, count(*) AS n FROM qx JOIN tx USING (e) GROUP BY 1, 2),
+m AS MATERIALIZED (
+  SELECT q.query_id, te.set_id, len(q.word) AS asked, len(te.word) AS stored, coalesce(h.n, 0) AS n FROM q JOIN te ON len(te.word) = 0 OR len(q.word) = 0 LEFT JOIN h USING (query_id, set_id)
+  UNION SELECT q.query_id, t.set_id, len(q.word), len(t.word), n FROM h JOIN q USING (query_id) JOIN t USING (set_id))
 """

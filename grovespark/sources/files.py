@@ -13,8 +13,13 @@ def stem(path: Column) -> Column:
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    text = spark.read.text(paths).select(stem(F.col("_metadata.file_path")).alias("graph_id"), F.regexp_replace("value", r"\r", "").alias("line"))
-    return text
+    text = spark.read.text(paths)
+    return text.select(_name(text).alias("graph_id"), F.regexp_replace("value", r"\r", "").alias("line"))
+
+
+def _name(text: DataFrame) -> Column:
+    """The folder graph_id=... that write_texts makes, or else the stem of the file."""
+    return F.col("graph_id").cast("string") if "graph_id" in text.columns else stem(F.col("_metadata.file_path"))
 
 
 def read_gr(spark: SparkSession, paths, mode: str = "STRICT") -> tuple[DataFrame, DataFrame]:
@@ -51,7 +56,8 @@ def malformed(spark: SparkSession, paths) -> DataFrame:
 
 def read_tree(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """(declared(graph_id, depth), tree(graph_id, v, parent)) of .tree files; a file is read whole, as a line's place is its vertex."""
-    rows = spark.read.text(paths, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("graph_id"), F.array_remove(F.split(F.col("value"), r"\s+"), "").alias("x"))
+    text = spark.read.text(paths, wholetext=True)
+    rows = text.select(_name(text).alias("graph_id"), F.array_remove(F.split(F.col("value"), r"\s+"), "").alias("x"))
     declared = rows.select("graph_id", F.get("x", F.lit(0)).cast("int").alias("depth"))
     tree = rows.select("graph_id", F.posexplode("x").alias("v", "parent")).where("v > 0").select("graph_id", "v", F.col("parent").cast("int").alias("parent"))
     return declared, tree
@@ -71,7 +77,7 @@ def tree_text(declared: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """One folder per graph under path."""
+    """One folder per graph under path, which the readers take for the graph's name."""
     texts.write.partitionBy("graph_id").text(path)
 
 

@@ -12,12 +12,17 @@ from grovespark.operators.graph import canonical_edges, vertices_of
 def solve_stream(graphs: DataFrame, out: str, checkpoint: str, seconds: float | None = None):
     """Start a query over a stream of whole graphs (graph_id, edges array<struct<u, v>>) that appends results to out.
 
-    A batch that is run again overwrites its own folder, so each graph is reported once.
+    A column vertices (array of ids), if there is one, adds vertices without edges; a graph without any
+    vertex has no row. A batch that is run again overwrites its own folder, so each graph is reported once.
     """
+    own = "vertices" in graphs.columns
 
     def solve(batch: DataFrame, epoch: int) -> None:
         pairs = batch.select("graph_id", F.explode("edges").alias("e")).select("graph_id", "e.u", "e.v")
         edges = canonical_edges(pairs)
-        kernels.results(kernels.solve(vertices_of(edges), edges, seconds)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        vertices = vertices_of(edges)
+        if own:
+            vertices = vertices.union(batch.select("graph_id", F.explode("vertices").alias("v"))).distinct()
+        kernels.results(kernels.solve(vertices, edges, seconds)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return graphs.writeStream.foreachBatch(solve).option("checkpointLocation", checkpoint).start()

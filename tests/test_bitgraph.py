@@ -1,5 +1,6 @@
 """Kernels against brute force and against facts about named graphs."""
 
+import random
 from itertools import combinations, permutations
 
 import pytest
@@ -91,3 +92,96 @@ def test_time_limit_gives_proved_bounds():
     nb = bg.build(n, [(i, j) for i, j in combinations(range(n), 2) if (i * 7 + j * 11) % 5 < 2])
     low, up = bg.Solver(nb, 0.0).solve((1 << n) - 1)
     assert 1 <= low <= up <= n
+
+
+@given(graphs(8))
+@settings(max_examples=80, deadline=None)
+def test_articulation_equals_definition(g):
+    n, edges = g
+    nb, whole = bg.build(n, edges), (1 << n) - 1
+    many = len(bg.components(nb, whole))
+    alone = lambda v: not nb[v]
+    assert bg.articulation(nb, whole) == sum(1 << v for v in range(n) if len(bg.components(nb, whole & ~(1 << v))) > many - alone(v))
+
+
+@given(graphs(7))
+@settings(max_examples=60, deadline=None)
+def test_path_shares_equal_definition(g):
+    n, edges = g
+    beside = [[] for _ in range(n)]
+    for u, v in edges:
+        beside[u].append(v)
+        beside[v].append(u)
+    want = [0.0] * n
+    for s in range(n):
+        found = {s: [[s]]}  # shortest paths by their end
+        front = {s: [[s]]}
+        while front:
+            more = {}
+            for v, paths in front.items():
+                for w in beside[v]:
+                    if w not in found:
+                        more.setdefault(w, []).extend([*p, w] for p in paths)
+            found |= more
+            front = more
+        for t, paths in found.items():
+            for p in paths:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(paths)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(bg.path_shares(beside, range(n)), want))
+
+
+#: Treedepths that follow from the definition: one more than a cycle's, one more than the smaller side; None: by brute force.
+NAMED = {"wheel_20": 7, "wheel_60": 8, "bipartite_5_9": 6, "petersen": None, "grid_3x4": None, "cube_3": None, "ladder_6": None}
+
+
+def named(name):
+    kind, *size = name.replace("x", "_").split("_")
+    size = list(map(int, size))
+    if kind == "petersen":
+        return 10, [(i, (i + 1) % 5) for i in range(5)] + [(5 + i, 5 + (i + 2) % 5) for i in range(5)] + [(i, 5 + i) for i in range(5)]
+    if kind == "grid":
+        a, b = size
+        return a * b, [(i * b + j, i * b + j + 1) for i in range(a) for j in range(b - 1)] + [(i * b + j, i * b + b + j) for i in range(a - 1) for j in range(b)]
+    if kind == "cube":
+        return 1 << size[0], [(v, v ^ 1 << k) for v in range(1 << size[0]) for k in range(size[0]) if v < v ^ 1 << k]
+    if kind == "wheel":
+        n = size[0]
+        return n + 1, [(i, (i + 1) % n) for i in range(n)] + [(i, n) for i in range(n)]
+    if kind == "ladder":
+        n = size[0]
+        return 2 * n, [(i, i + 1) for i in range(n - 1)] + [(n + i, n + i + 1) for i in range(n - 1)] + [(i, n + i) for i in range(n)]
+    a, b = size
+    return a + b, [(i, a + j) for i in range(a) for j in range(b)]
+
+
+@pytest.mark.parametrize("name", sorted(NAMED))
+def test_known_treedepths(name):
+    n, edges = named(name)
+    nb, whole = bg.build(n, edges), (1 << n) - 1
+    assert bg.Solver(nb, 60).solve(whole) == (NAMED[name] or bg.brute_force(nb, whole),) * 2
+
+
+def test_large_separator_counts():
+    """A graph of 26 vertices with some long cycles against the definition on all small sets, and grown sets as arrays and as lists."""
+    rng = random.Random(4)
+    edges = [(v, rng.randrange(v)) for v in range(1, 26)] + [tuple(rng.sample(range(26), 2)) for _ in range(8)]
+    nb, whole = bg.build(26, edges), (1 << 26) - 1
+    found = set(bg.minimal_separators(nb, whole))
+    small = {1 << a | 1 << b for a in range(26) for b in range(26)}
+    full = lambda s: sum(bg.around(nb, c) == s for c in bg.components(nb, whole & ~s)) >= 2
+    assert {s for s in found if s.bit_count() <= 2} == {s for s in small if full(s)} and all(map(full, found))
+
+
+@pytest.mark.parametrize("arrays", [0, 10_000])
+def test_grown_sets_as_arrays_and_as_lists(monkeypatch, arrays):
+    monkeypatch.setattr(bg, "ARRAYS", arrays)
+    for seed in range(6):
+        rng = random.Random(seed)
+        n = (12, 70, 14)[seed % 3]
+        edges = [(v, rng.randrange(max(0, v - 4), v)) for v in range(1, n)] + [(v, rng.randrange(v)) for v in range(2, n, 5 if n < 20 else 12)]
+        nb, whole = bg.build(n, edges), (1 << n) - 1
+        td = bg.brute_force(nb, whole) if n < 20 else bg.Solver(nb).solve(whole)[1]
+        assert bg.grown(nb, whole, td - 1, lambda: None) is None
+        parents = bg.grown(nb, whole, td, lambda: None)
+        assert len(parents) == n and bg.depth_of(parents) == td

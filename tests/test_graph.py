@@ -176,3 +176,65 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["graph_id"], r["td"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("b", 2)}
+
+
+def test_stream_keeps_graphs_without_edges(spark, tmp_path):
+    from grovespark.streaming.incremental import solve_stream
+
+    schema = "graph_id string, edges array<struct<u: int, v: int>>, vertices array<int>"
+    spark.createDataFrame([("a", [(1, 2)], [1, 2, 3]), ("b", [], [7]), ("c", None, [1, 2])], schema).write.parquet(str(tmp_path / "in"))
+    q = solve_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert {(r["graph_id"], r["n"], r["td"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 3, 2), ("b", 1, 1), ("c", 2, 1)}
+
+
+def test_empty_sets(spark):
+    stored = spark.createDataFrame([(1, []), (2, [3]), (3, [3, 4]), (4, [])], "set_id long, word array<int>")
+    asked = spark.createDataFrame([(10, []), (11, [3]), (12, [9])], "query_id long, word array<int>")
+    pairs = lambda df: sorted((r["query_id"], r["set_id"]) for r in df.collect())
+    assert pairs(sets.all_subsets(stored, asked)) == [(10, 1), (10, 4), (11, 1), (11, 2), (11, 4), (12, 1), (12, 4)]
+    assert pairs(sets.all_supersets(stored, asked)) == [(10, 1), (10, 2), (10, 3), (10, 4), (11, 2), (11, 3)]
+    assert pairs(sets.all_subsets(stored, asked, 0)) == [(10, 1), (10, 4), (11, 2)]
+    full = stored.where("size(word) > 0")
+    assert {r["query_id"]: r["found"] for r in sets.has_subset(full, asked).collect()} == {10: False, 11: True, 12: False}
+    assert {r["query_id"]: r["found"] for r in sets.has_superset(stored, asked).collect()} == {10: True, 11: True, 12: False}
+
+
+def test_roots_start_best_trees(spark, batch):
+    """Without its root, a graph is one shallower."""
+    vertices, edges = batch
+    td = {r["graph_id"]: r["td"] for r in kernels.solve(vertices, edges).collect()}
+    small = treedepth.small_roots(vertices, edges)
+    for found in (treedepth.closed_roots(vertices, edges), small):
+        removed = found.select("graph_id", F.col("root").cast("int").alias("v"))
+        kept = vertices.join(removed, ["graph_id", "v"], "left_anti")
+        rest = {r["graph_id"]: r["td"] for r in kernels.solve(kept, graph.induced(edges, kept)).collect()}
+        names = [r["graph_id"] for r in removed.select("graph_id").collect()]
+        assert names and all(rest[g] == td[g] - 1 for g in names if td[g] > 1)
+    assert {"star", "cycle", "l7", "k6"} <= {r["graph_id"] for r in treedepth.closed_roots(vertices, edges).collect()}
+
+
+def test_names_of_contracted_sets_and_merged_bounds(spark):
+    bounds = "vset array<int>, lb int, ub int, root int"
+    one, two = spark.createDataFrame([([1, 2], 1, 9, 1), ([3], 1, 1, 3)], bounds), spark.createDataFrame([([1, 2], 2, 8, 2), ([4], 1, 1, 4)], bounds)
+    assert sorted(tuple(r) for r in sets.insert(one, two).collect()) == [([1, 2], 2, 8, 2), ([3], 1, 1, 3), ([4], 1, 1, 4)]
+    named = graph.super_ids(spark.createDataFrame([("g", [2, 5]), ("g", [3])], "graph_id string, vset array<int>"))
+    assert sorted(r["id"] for r in named.collect()) == [2, 3]
+    words = spark.createDataFrame([([1, 2],), ([2, 1],), ([1, 1],), ([],)], "w array<int>")
+    assert [r[0] for r in words.select(sets.is_ascending(F.col("w"))).collect()] == [True, False, False, True]
+
+
+def test_betweenness_in_turns(batch):
+    whole, turns = (by_graph(centrality.betweenness(*batch, sources=k), "v", "score") for k in (256, 3))
+    assert all(abs(a - b) < 1e-9 for g in whole for (_, a), (_, b) in zip(whole[g], turns[g], strict=True))
+
+
+def test_long_chain_is_verified_in_few_rounds(spark):
+    n = 300
+    edges = spark.range(1, n).selectExpr("'g' AS graph_id", "cast(id AS int) AS u", "cast(id + 1 AS int) AS v")
+    chain = spark.range(1, n + 1).selectExpr("'g' AS graph_id", "cast(id AS int) AS v", "cast(id - 1 AS int) AS parent")
+    declared = spark.createDataFrame([("g", n)], "graph_id string, depth int")
+    assert verify.verify(graph.vertices_of(edges), edges, chain, declared).first()["ok"]
+    ring = chain.withColumn("parent", F.expr(f"if(v = 1, {n}, parent)"))
+    assert verify.verify(graph.vertices_of(edges), edges, ring, declared).first()["reason"] == "tree"
