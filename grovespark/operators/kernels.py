@@ -25,7 +25,9 @@ def packed(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def per_graph(vertices: DataFrame, edges: DataFrame, kernel: Callable[[list[int], list[int]], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows (graph_id, ...) of kernel(neighbours, ids) for each graph; ids[i] is the vertex of bit i."""
-    rows = packed(vertices, edges)
+    # a fixed number of parts: small rows may be long work, which would meet in one task otherwise
+    parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed(vertices, edges).repartition(parts, "graph_id")
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(schema)

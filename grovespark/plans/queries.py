@@ -190,7 +190,7 @@ QUERIES = {
     "td_greedy_upper": _on(treedepth.greedy_upper, tables.region_graphs),
     "td_tree": lambda spark, d: kernels.tree_treedepth(*_bfs_tree(*tables.region_graphs(spark, d))).select("graph_id", "td"),
     "small_roots": _on(lambda v, e: treedepth.small_roots(v, e).select("graph_id", "n", "td", "root"), tables.region_graphs),
-    "closed_roots": _on(treedepth.closed_roots),
+    "closed_roots": _on(treedepth.closed_roots, tables.order_graphs),
     "td_brute_force": _on(kernels.brute_force, tables.region_graphs),
     "td_fixpoint": _on(treedepth.fixpoint, tables.region_graphs),
     "td_solve": _on(lambda v, e: kernels.solve(v, e).select("graph_id", "n", "td"), tables.region_graphs),
