@@ -119,7 +119,7 @@ def solve(vertices: DataFrame, edges: DataFrame, seconds: float | None = None) -
     """(graph_id, n, m, lb, ub, td, status, v[], parent[]): exact treedepth and an elimination forest of each graph.
 
     status is 'exact', or 'bounded' where the seconds for a graph ran out; td is null then and the
-    forest has depth ub. parent 0 is a root.
+    forest has depth ub. parent 0 is a root, so forests are for vertices from 1 on; bounds for any.
     """
 
     def kernel(nb, ids):

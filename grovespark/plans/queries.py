@@ -39,14 +39,21 @@ def _bfs_tree(vertices, edges):
     return found.select("graph_id", "v"), found.where("parent IS NOT NULL").select("graph_id", F.least("v", "parent").alias("u"), F.greatest("v", "parent").alias("v"))
 
 
+def positive(vertices, edges):
+    """The graphs with ids one higher: 0 as a parent stands for a root, so it can name no vertex of a tree."""
+    return vertices.select("graph_id", (F.col("v") + 1).alias("v")), edges.select("graph_id", (F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"))
+
+
 def _solved(vertices, edges):
     """Solved graphs, and whether their trees pass."""
+    vertices, edges = positive(vertices, edges)
     solved = written(kernels.solve(vertices, edges))
     return verify.verify(vertices, edges, kernels.trees(solved), solved.select("graph_id", F.col("td").alias("depth"))).select("graph_id", "ok")
 
 
 def _tree_digest(vertices, edges):
     """Depth of each solver's tree, and edges that it does not cover."""
+    vertices, edges = positive(vertices, edges)
     solved = written(kernels.solve(vertices, edges))
     tree = kernels.trees(solved)
     bad = verify.uncovered_edges(edges, tree).groupBy("graph_id").agg(F.count("*").alias("uncovered"))

@@ -32,4 +32,16 @@ def test_oracle(spark, name):
 
 
 def test_solver_on_trade_graph_is_verified(spark):
-    assert catalog.queries()["verify_tree"](spark, SF).where("NOT ok").isEmpty()
+    assert catalog.queries()["verify_solved"](spark, SF).where("NOT ok").isEmpty()
+
+
+def test_solver_on_windows_is_exact_and_verified(spark):
+    from grovespark.functions.loops import written
+    from grovespark.operators import kernels, verify
+    from grovespark.plans import queries, tables
+
+    vertices, edges = queries.positive(*tables.window_graphs(spark, SF))
+    solved = written(kernels.solve(vertices, edges, 60))
+    assert solved.where("status != 'exact'").isEmpty() and solved.count() == vertices.select("graph_id").distinct().count() > 100
+    declared = solved.selectExpr("graph_id", "td AS depth")
+    assert verify.verify(vertices, edges, kernels.trees(solved), declared).where("NOT ok").isEmpty()
