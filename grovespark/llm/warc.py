@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovespark.llm.common import bounded_batches, new_folder, staged, table
+from grovespark.llm.simhash import sieve, sieved
 
 #: Payloads shorter than this are never written as revisits.
 MIN_REVISIT_BYTES = 1000
@@ -237,15 +238,18 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     """pages (page_id, url, payload) as records: of equal payloads of min_bytes or more, the largest page_id is the response.
 
     Keys alone are grouped, by digest with partial maxima, so a payload that a third of the pages
-    share costs one row a task; payloads meet the verdict by page_id, which spreads evenly. Rows
-    that repeat the response's page_id are responses as well; rows without page_id always are.
+    share costs one row a task. Only payloads of revisits, and few besides, are shuffled, by page_id,
+    which spreads evenly: a filter of fixed size tells the others. Rows that repeat the response's page_id are responses as well; rows without page_id always are.
     """
     keyed = pages.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
     keys = keyed.where(F.col("size") >= min_bytes).select("page_id", "digest")
     shared = keys.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = keys.join(shared, "digest").where("page_id != keeper").distinct()
+    revisits = staged(keys.join(shared, "digest").where("page_id != keeper").distinct(), "revisits")
+    marked = sieved(keyed, "page_id", "digest", sieve(revisits.select(F.col("page_id").alias("doc_id"), F.col("digest").alias("key"))), "met")
+    some = marked.where("met").join(revisits, ["page_id", "digest"], "left")
+    judged = some.unionByName(marked.where("NOT met").withColumn("keeper", F.lit(None).cast(keys.schema["page_id"].dataType)))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
-    return keyed.join(revisits, ["page_id", "digest"], "left").select(
+    return judged.select(
         urn("page_id").alias("record_id"),
         F.when(F.col("keeper").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("url").alias("target_uri"),
