@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import table
+from grovespark.llm.common import staged, table
 
 FIRST_DAY = "2024-01-01"
 
@@ -43,15 +43,15 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     judged alike.
     """
     judged = captures.select("page_id", "url", "day", host_of(F.col("url")).alias("host"))
-    seen = judged.select("host", "day").dropna().distinct()
+    seen = staged(judged.select("host", "day").dropna().distinct(), "seen")
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = seen.select("host", "day", F.explode(domains).alias("domain"))
     days = asked.select("domain", "day").distinct()
-    terms = intervals(entries)
+    terms = staged(intervals(entries), "terms")
     lists = terms.select("domain", "list").distinct()
     changes = terms.select("domain", "list", F.col("since").alias("day"), F.lit(0).alias("rank"), F.struct("since", "until").alias("term"))
-    asks = days.join(lists, "domain").select("domain", "list", "day", F.lit(1).alias("rank"), F.lit(None).cast("struct<since: date, until: date>").alias("term"))
+    asks = days.hint("merge").join(lists, "domain").select("domain", "list", "day", F.lit(1).alias("rank"), F.lit(None).cast("struct<since: date, until: date>").alias("term"))
     order = Window.partitionBy("domain", "list").orderBy("day", "rank").rowsBetween(Window.unboundedPreceding, 0)
     active = (
         changes.union(asks)
@@ -60,7 +60,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         .select("domain", "list", "day", F.col("term.since").alias("since"))
     )
     best = F.min(F.struct((-F.length("domain")).alias("k"), "domain", "list", "since")).alias("hit")
-    verdict = asked.join(active, ["domain", "day"]).groupBy("host", "day").agg(best)
+    # file sizes say little of what is exploded or repeats, so no side is broadcast by them
+    verdict = asked.hint("merge").join(active, ["domain", "day"]).groupBy("host", "day").agg(best)
     return judged.join(verdict, ["host", "day"], "left").select(
         "page_id", "url", "host", "day", F.col("hit").isNotNull().alias("blocked"), F.col("hit.domain").alias("domain"), F.col("hit.list").alias("list"), F.col("hit.since").alias("since")
     )
@@ -81,7 +82,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
     One in four names was added on a day of 2024 and taken off again up to 255 days later; half of
     these came back 30 days after that.
     """
-    host = pages.select(host_of(F.col("url")).alias("host")).dropna().distinct()
+    host = staged(pages.select(host_of(F.col("url")).alias("host")).dropna().distinct(), "hosts")
     names = host.union(host.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)).where("host <> ''")).distinct()
     name = F.col("host")
     start = F.date_add(F.lit(FIRST_DAY).cast("date"), _number(name, 5) % 366)
