@@ -353,9 +353,10 @@ class Solver:
     set to take off for the upper one.
     """
 
-    def __init__(self, nb: list[int], seconds: float | None = None):
+    def __init__(self, nb: list[int], seconds: float | None = None, window: tuple[int, int] | None = None):
         self.nb = nb
         self.until = None if seconds is None else time.monotonic() + seconds
+        self.window = window
         self.state: dict[int, list] = {}  # mask: lower, upper, what to take off
         self.separators: dict[int, list[tuple[int, int]]] = {}
 
@@ -369,6 +370,11 @@ class Solver:
             got = self.state[mask] = self._first(mask)
         return got
 
+    def open(self, mask: int) -> bool:
+        """Whether there is more to find: bounds apart and, with a window (low, high), neither a lower bound of at least high nor an upper one of at most low."""
+        lower, upper, _ = self.bounds(mask)
+        return lower < upper and (self.window is None or lower < self.window[1] and upper > self.window[0] <= self.window[1])
+
     def _first(self, mask: int) -> list:
         nb, n = self.nb, mask.bit_count()
         low = mask & -mask
@@ -456,7 +462,7 @@ class Solver:
         """Upper bounds by elimination orders of several weights."""
         rng, got = random.Random(seed), self.bounds(mask)
         for k in range(many):
-            if got[0] >= got[1]:
+            if not self.open(mask):
                 return
             self.check()
             depth, parent = elimination_parents(self.nb, mask, (0.1, 0.3, 0.6, 1.0, 2.0)[k % 5], rng)
@@ -487,7 +493,7 @@ class Solver:
                 if steps <= 0:
                     raise TooLarge
 
-        while got[0] < got[1]:
+        while self.open(mask):
             parent = grown(self.nb, mask, got[0], step)
             if parent is None:
                 got[0] += 1
@@ -497,7 +503,7 @@ class Solver:
     def _cut(self, mask: int) -> None:
         """Raise the lower bound by branching on separators until a tree is found."""
         got = self.bounds(mask)
-        while got[0] < got[1]:
+        while self.open(mask):
             self.within(mask, got[0])
 
     def dense_parts(self, mask: int) -> list[int]:
@@ -525,7 +531,7 @@ class Solver:
                 self.improve(mask, whole)
 
     def solve(self, mask: int) -> tuple[int, int]:
-        """(lower, upper) of a connected set; equal unless time ran out.
+        """(lower, upper) of a connected set; equal unless time ran out or the window was decided first.
 
         Every part of a set bounds it from below, and dense parts are small, so these are solved first.
         In rounds of rising time the least open part and the whole are tried by growing and by separators;
@@ -534,20 +540,20 @@ class Solver:
         got = self.bounds(mask)
         try:
             parts = []
-            if got[0] < got[1]:
+            if self.open(mask):
                 self._orders(mask, ORDERS, 1)
-            if got[0] < got[1]:
+            if self.open(mask):
                 parts = self.dense_parts(mask)
             share = {self._grow: 1.0, self._cut: 1.0}
             seconds, turn, low = FIRST_SECONDS, 1, 1
-            while got[0] < got[1]:
+            while self.open(mask):
                 for part in [*parts, mask]:
                     now = self.bounds(part)
                     now[0] = max(now[0], low)
                     self._orders(part, ORDERS // 4, turn)
                     gain = {}
                     for way in sorted(share, key=share.get, reverse=True):
-                        if now[0] < now[1] and got[0] < got[1]:
+                        if self.open(part) and self.open(mask):
                             before = now[0], now[1]
                             self._try(seconds * share[way], lambda: way(part))  # noqa: B023
                             gain[way] = (now[0], now[1]) != before
@@ -555,15 +561,15 @@ class Solver:
                         share[way] = 0.2 if not gain[way] and any(gain.values()) else 1.0
                     low = max(low, now[0])
                     got[0] = max(got[0], low)
-                    if now[0] == now[1]:
+                    if not self.open(part):
                         parts = parts[1:]
-                        if part != mask and got[0] < got[1]:
+                        if part != mask and self.open(mask):
                             self._extend(part, mask)
                     elif part != mask:
                         break
-                if got[0] < got[1] and parts:
+                if self.open(mask) and parts:
                     for way in sorted(share, key=share.get, reverse=True):
-                        if got[0] < got[1]:
+                        if self.open(mask):
                             self._try(seconds * share[way], lambda: way(mask))  # noqa: B023
                 seconds, turn = seconds * RISE, turn + 1
                 self._orders(mask, ORDERS, turn)
@@ -597,16 +603,20 @@ def brute_force(nb: list[int], mask: int, memo: dict[int, int] | None = None) ->
     return memo[mask]
 
 
-def automorphisms(nb: list[int], n: int) -> Iterator[list[int]]:
-    """Every permutation that maps edges to edges, by backtracking over vertices of like neighbourhood."""
+def refined(nb: list[int], n: int) -> list[int]:
+    """Colours of vertices that equal colours of neighbours split no further."""
     colour = [0] * n
     while True:
         keys = [(colour[v], tuple(sorted(colour[w] for w in bits(nb[v])))) for v in range(n)]
         names = {k: i for i, k in enumerate(sorted(set(keys)))}
-        fresh = [names[k] for k in keys]
         if len(names) == len(set(colour)):
-            break
-        colour = fresh
+            return colour
+        colour = [names[k] for k in keys]
+
+
+def automorphisms(nb: list[int], n: int, first: list[int] | None = None, colour: list[int] | None = None) -> Iterator[list[int]]:
+    """Every permutation that maps edges to edges and begins with the images in first, by backtracking over vertices of like neighbourhood."""
+    first, colour = first or [], colour or refined(nb, n)
     image = [-1] * n
     used = 0
 
@@ -615,7 +625,7 @@ def automorphisms(nb: list[int], n: int) -> Iterator[list[int]]:
         if v == n:
             yield image[:]
             return
-        for w in range(n):
+        for w in first[v : v + 1] or range(n):
             if used >> w & 1 or colour[w] != colour[v] or any((nb[v] >> u & 1) != (nb[w] >> image[u] & 1) for u in range(v)):
                 continue
             image[v] = w
@@ -625,3 +635,35 @@ def automorphisms(nb: list[int], n: int) -> Iterator[list[int]]:
         image[v] = -1
 
     return extend(0)
+
+
+def generators(nb: list[int], n: int) -> tuple[list[list[int]], int]:
+    """Automorphisms that generate all others, and how many there are in all, without listing these.
+
+    Those that fix the vertices before v are generated from the last v on: for each image of v that
+    those found so far do not lead to, one more is looked for. The group's size is the product of the
+    numbers of images.
+    """
+    colour, found, size = refined(nb, n), [], 1
+
+    def led_to(v: int) -> set[int]:
+        out, todo = {v}, [v]
+        while todo:
+            at = todo.pop()
+            more = {p[at] for p in found} - out
+            out |= more
+            todo += more
+        return out
+
+    for v in reversed(range(n)):
+        images, none = {v}, set()
+        for w in range(v + 1, n):
+            if colour[w] == colour[v] and w not in images and w not in none:
+                more = next(automorphisms(nb, n, [*range(v), w], colour), None)
+                if more is None:
+                    none |= led_to(w)
+                else:
+                    found.append(more)
+                    images = led_to(v)
+        size *= len(images)
+    return found, size

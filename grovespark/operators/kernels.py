@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from grovespark.functions import bitgraph as bg
 
 
+#: Rows of a kernel that are sent on at once; a graph may have any number.
+ROWS = 10_000
+
+
 def packed(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, vs, es): one row per graph."""
     vs = vertices.groupBy("graph_id").agg(F.array_sort(F.collect_set("v")).alias("vs"))
@@ -42,9 +47,9 @@ def per_graph(vertices: DataFrame, edges: DataFrame, kernel: Callable[[list[int]
                 ids = row["vs"]
                 at = {v: i for i, v in enumerate(ids)}
                 nb = bg.build(len(ids), ((at[e["u"]], at[e["v"]]) for e in row["es"] or ()))
-                out = [(row["graph_id"], *x) for x in kernel(nb, ids)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                for out in batched(kernel(nb, ids), ROWS):
+                    columns = ([row["graph_id"]] * len(out), *zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return rows.mapInArrow(run, fields)
 
@@ -95,6 +100,18 @@ def fully_minimal_separators(vertices: DataFrame, edges: DataFrame, mode: str =
     return separators(vertices, edges, mode).where("fully_minimal").drop("fully_minimal")
 
 
+def separator_batches(vertices: DataFrame, edges: DataFrame, size: int = 10_000) -> DataFrame:
+    """(graph_id, batch, sep): minimal separators as they are found, numbered in batches of size; the last of a graph may be smaller."""
+    if size < 1:
+        raise ValueError(size)
+
+    def kernel(nb, ids):
+        found = (sep for part in _parts(nb) for sep in bg.minimal_separators(nb, part))
+        return ((k // size, _names(sep, ids)) for k, sep in enumerate(found))
+
+    return per_graph(vertices, edges, kernel, "graph_id string, batch int, sep array<int>")
+
+
 def articulation_kernel(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, v) whose removal splits a component."""
     return per_graph(vertices, edges, lambda nb, ids: ((v,) for v in _names(bg.articulation(nb, (1 << len(nb)) - 1), ids)), "graph_id string, v int")
@@ -115,15 +132,17 @@ def tree_treedepth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return per_graph(vertices, edges, kernel, "graph_id string, td int, root int")
 
 
-def solve(vertices: DataFrame, edges: DataFrame, seconds: float | None = None) -> DataFrame:
+def solve(vertices: DataFrame, edges: DataFrame, seconds: float | None = None, window: tuple[int, int] | None = None) -> DataFrame:
     """(graph_id, n, m, lb, ub, td, status, v[], parent[]): exact treedepth and an elimination forest of each graph.
 
     status is 'exact', or 'bounded' where the seconds for a graph ran out; td is null then and the
     forest has depth ub. parent 0 is a root, so forests are for vertices from 1 on; bounds for any.
+    With a window (low, high) the search of a component ends as soon as its ub is at most low or its lb
+    at least high; status is 'decided' where that came before the exact value.
     """
 
     def kernel(nb, ids):
-        solver = bg.Solver(nb, seconds)
+        solver = bg.Solver(nb, seconds, window)
         low = up = 0
         parent: dict[int, int] = {}
         for part in _parts(nb):
@@ -132,7 +151,8 @@ def solve(vertices: DataFrame, edges: DataFrame, seconds: float | None = None) -
             parent |= solver.tree(part)
         m = sum(x.bit_count() for x in nb) // 2
         vs = sorted(parent)
-        yield len(ids), m, low, up, low if low == up else None, "exact" if low == up else "bounded", [ids[v] for v in vs], [0 if parent[v] < 0 else ids[parent[v]] for v in vs]
+        status = "exact" if low == up else "decided" if window and (low >= window[1] or up <= window[0]) else "bounded"
+        yield len(ids), m, low, up, low if low == up else None, status, [ids[v] for v in vs], [0 if parent[v] < 0 else ids[parent[v]] for v in vs]
 
     return per_graph(vertices, edges, kernel, "graph_id string, n int, m int, lb int, ub int, td int, status string, v array<int>, parent array<int>")
 
@@ -156,23 +176,50 @@ def automorphisms(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return per_graph(vertices, edges, lambda nb, ids: (([ids[i] for i in p],) for p in bg.automorphisms(nb, len(nb))), "graph_id string, image array<int>")
 
 
+def rooted_bounds(vertices: DataFrame, edges: DataFrame, seconds: float | None = None) -> DataFrame:
+    """(graph_id, v, lower, upper): least depth of an elimination tree of v's component that has v as its root.
+
+    The components without v are solved one after the other; bounds are equal unless the seconds for a
+    graph ran out. Their least value over a component is its treedepth.
+    """
+
+    def kernel(nb, ids):
+        solver = bg.Solver(nb, seconds)
+        for part in _parts(nb):
+            for v in bg.bits(part):
+                found = [solver.solve(c) for c in bg.components(nb, part & ~(1 << v))] or [(0, 0)]
+                yield ids[v], 1 + max(a for a, _ in found), 1 + max(b for _, b in found)
+
+    return per_graph(vertices, edges, kernel, "graph_id string, v int, lower int, upper int")
+
+
+#: The largest size of a group that a column of it can hold.
+MOST = 10**38 - 1
+
+
 def orbits(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, v, representative, group_size): the least vertex that an automorphism takes to v."""
+    """(graph_id, v, representative, generators, group_size): the least vertex that an automorphism takes to v, how many
+    automorphisms generate all, and how many there are (null if over 38 digits)."""
 
     def kernel(nb, ids):
-        low, n = list(range(len(ids))), 0
-        for p in bg.automorphisms(nb, len(nb)):
-            n += 1
+        made, size = bg.generators(nb, len(nb))
+        low = list(range(len(ids)))
+
+        def top(v: int) -> int:
+            while low[v] != v:
+                v = low[v]
+            return v
+
+        for p in made:
             for v, w in enumerate(p):
-                low[w] = min(low[w], low[v])
+                a, b = sorted((top(v), top(w)))
+                low[b] = a
         for v in range(len(ids)):
-            while low[v] != low[low[v]]:
-                low[v] = low[low[v]]
-            yield ids[v], ids[low[v]], n
+            yield ids[v], ids[top(v)], len(made), size if size <= MOST else None
 
-    return per_graph(vertices, edges, kernel, "graph_id string, v int, representative int, group_size long")
+    return per_graph(vertices, edges, kernel, "graph_id string, v int, representative int, generators int, group_size decimal(38,0)")
 
 
 def automorphism_summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, orbits, group_size)."""
-    return orbits(vertices, edges).groupBy("graph_id").agg(F.count_distinct("representative").alias("orbits"), F.first("group_size").alias("group_size"))
+    """(graph_id, orbits, generators, group_size)."""
+    return orbits(vertices, edges).groupBy("graph_id").agg(F.count_distinct("representative").alias("orbits"), F.first("generators").alias("generators"), F.first("group_size").alias("group_size"))

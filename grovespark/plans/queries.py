@@ -209,10 +209,13 @@ QUERIES = {
     "small_td_table": lambda spark, d: treedepth.small_table(spark).select("n", "edge_mask", "td"),
     "fm_separators_region": _on(lambda v, e: kernels.fully_minimal_separators(v, e).select("graph_id", _spelled("sep")), tables.region_graphs),
     "minimal_separators_region": _on(lambda v, e: kernels.separators(v, e).select("graph_id", _spelled("sep")), tables.region_graphs),
-    "automorphism_count": _on(lambda v, e: kernels.automorphism_summary(v, e).select("graph_id", "group_size", "orbits"), tables.region_graphs),
+    "automorphism_count": _on(lambda v, e: kernels.automorphism_summary(v, e).select("graph_id", F.col("group_size").cast("long").alias("group_size"), "orbits"), tables.region_graphs),
     "minimal_separators": _on(lambda v, e: kernels.separators(v, e).withColumn("sep", _spelled("sep"))),
     "fm_separators": _on(lambda v, e: kernels.fully_minimal_separators(v, e).withColumn("sep", _spelled("sep"))),
-    "orbits": _on(kernels.orbits, tables.region_graphs),
+    "orbits": _on(lambda v, e: kernels.orbits(v, e).drop("generators").withColumn("group_size", F.col("group_size").cast("long")), tables.region_graphs),
+    "separator_batches": _on(lambda v, e: kernels.separator_batches(v, e, 2).groupBy("graph_id", "batch").agg(F.count("*").alias("n")), tables.region_graphs),
+    "td_window": _on(lambda v, e: kernels.solve(v, e, window=(2, 3)).selectExpr("graph_id", "ub <= 2 AS low", "lb >= 3 AS high"), tables.order_graphs),
+    "rooted_bounds": _on(kernels.rooted_bounds, tables.order_graphs),
     "automorphisms": _on(lambda v, e: kernels.automorphisms(v, e).select("graph_id", _spelled("image")), tables.region_graphs),
 }
 
@@ -451,4 +454,9 @@ te AS (SELECT graph_id, v AS src, parent AS dst FROM up UNION ALL SELECT graph_i
     "orbits": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT low.graph_id, a.v, b.v AS representative, n AS group_size FROM low JOIN vi a ON a.graph_id = low.graph_id AND a.i = low.x JOIN vi b ON b.graph_id = low.graph_id AND b.i = low.low JOIN (SELECT graph_id, count(*) AS n FROM good GROUP BY 1) c ON c.graph_id = low.graph_id",
     "automorphisms": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT good.graph_id, string_agg(vi.v::VARCHAR, ' ' ORDER BY r.x) AS image FROM good, r JOIN vi ON vi.graph_id = good.graph_id AND vi.i = p[r.x + 1] GROUP BY good.graph_id, p",
 }
+ORACLES["separator_batches"] = "SELECT graph_id, (k // 2)::INT AS batch, count(*) AS n FROM (SELECT graph_id, row_number() OVER (PARTITION BY graph_id) - 1 AS k FROM (" + ORACLES["minimal_separators_region"] + ")) GROUP BY 1, 2"
+ORACLES["td_window"] = "SELECT graph_id, td <= 2 AS low, td >= 3 AS high FROM (" + ORACLES["td_small_batch"] + ")"
+ORACLES["rooted_bounds"] = ORACLES["td_small_batch"].rsplit(" SELECT nn.graph_id", 1)[0] + """,
+own AS (SELECT vi.graph_id, vi.v, vi.i, arg_max(f4.mask, bit_count(f4.mask)) AS mask FROM vi JOIN f4 ON f4.graph_id = vi.graph_id AND f4.c = f4.mask AND (f4.mask >> vi.i) & 1 = 1 GROUP BY 1, 2, 3)
+SELECT own.graph_id, own.v, (1 + coalesce(t.t, 0))::INT AS lower, (1 + coalesce(t.t, 0))::INT AS upper FROM own LEFT JOIN t5 t ON t.graph_id = own.graph_id AND t.mask = xor(own.mask, (1 << own.i)::BIGINT)"""
 ORACLES["articulation_copies"] = "SELECT * FROM (" + ORACLES["articulation"] + ") WHERE graph_id NOT LIKE 'w%'"

@@ -1,6 +1,8 @@
 """Kernels against brute force and against facts about named graphs."""
 
+import math
 import random
+import time
 from itertools import combinations, permutations
 
 import pytest
@@ -64,6 +66,44 @@ def test_automorphisms_equal_definition(g):
     nb, have = bg.build(n, edges), {frozenset(e) for e in edges}
     wanted = {p for p in permutations(range(n)) if {frozenset((p[u], p[v])) for u, v in edges} == have}
     assert {tuple(p) for p in bg.automorphisms(nb, n)} == wanted
+    made, size = bg.generators(nb, n)
+    reached, todo = {tuple(range(n))}, [tuple(range(n))]
+    while todo:
+        at = todo.pop()
+        more = {tuple(p[x] for x in at) for p in made} - reached
+        reached |= more
+        todo += more
+    assert reached == wanted and size == len(wanted)
+
+
+def test_large_groups_are_not_listed():
+    star = bg.build(41, [(0, v) for v in range(1, 41)])
+    assert bg.generators(star, 41)[1] == math.factorial(40)
+    apart = bg.build(30, [(v, v + 1) for v in range(0, 30, 2)])
+    assert bg.generators(apart, 30)[1] == math.factorial(15) << 15
+
+
+@given(graphs(7), st.integers(0, 7), st.integers(0, 7))
+@settings(max_examples=80, deadline=None)
+def test_window_is_decided(g, low, high):
+    n, edges = g
+    nb = bg.build(n, edges)
+    for part in bg.components(nb, (1 << n) - 1):
+        td = bg.brute_force(nb, part)
+        solver = bg.Solver(nb, window=(low, high))
+        a, b = solver.solve(part)
+        assert a <= td <= b and (a == b or a >= high or b <= low or low > high)
+        assert bg.depth_of(solver.tree(part)) <= b
+
+
+def test_window_saves_the_rest():
+    """A lower bound that reaches the window's end stops the search at once, whatever the exact value costs."""
+    n = 60
+    rng = random.Random(1)
+    nb = bg.build(n, [p for p in combinations(range(n), 2) if rng.random() < 0.15])
+    solver = bg.Solver(nb, 60, (1, 6))
+    low, up = solver.solve((1 << n) - 1)
+    assert 6 <= low < up and time.monotonic() < solver.until - 50
 
 
 @given(st.integers(1, 40), st.randoms(use_true_random=False))
