@@ -7,16 +7,33 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 
-def bits(mask: int) -> Iterator[int]:
-    while mask:
-        low = mask & -mask
-        yield low.bit_length() - 1
-        mask ^= low
+#: For each place of a byte, the bits that each of its values sets; places are added as they are met.
+_PLACES: list[list[tuple[int, ...]]] = []
+
+
+def bits(mask: int) -> Sequence[int]:
+    """Bits set in a mask, in order."""
+    if mask.bit_count() < 4:
+        few = []
+        while mask:
+            low = mask & -mask
+            few.append(low.bit_length() - 1)
+            mask ^= low
+        return few
+    data = mask.to_bytes((mask.bit_length() + 7) // 8, "little")
+    while len(_PLACES) < len(data):
+        at = 8 * len(_PLACES)
+        _PLACES.append([tuple(at + i for i in range(8) if x >> i & 1) for x in range(256)])
+    out: list[int] = []
+    for place, x in zip(_PLACES, data):
+        if x:
+            out += place[x]
+    return out
 
 
 def build(n: int, edges) -> list[int]:
@@ -30,9 +47,11 @@ def build(n: int, edges) -> list[int]:
 
 def around(nb: list[int], mask: int) -> int:
     """Neighbours of a set, itself left out."""
-    out = 0
-    for v in bits(mask):
-        out |= nb[v]
+    out, left = 0, mask
+    while left:
+        low = left & -left
+        out |= nb[low.bit_length() - 1]
+        left ^= low
     return out & ~mask
 
 
@@ -40,8 +59,10 @@ def flood(nb: list[int], start: int, inside: int) -> int:
     found = front = start & inside
     while front:
         grown = 0
-        for v in bits(front):
-            grown |= nb[v]
+        while front:
+            low = front & -front
+            grown |= nb[low.bit_length() - 1]
+            front ^= low
         front = grown & inside & ~found
         found |= front
     return found
@@ -230,6 +251,8 @@ ORDERS = 60
 GROW_STEPS = 50_000_000
 #: Seconds that each way of solving a part has in the first round, and by how much they rise.
 FIRST_SECONDS, RISE = 0.2, 3
+#: How far below the depth asked for the known depth of a part may be to rule out separators.
+NEAR = 4
 #: More than any height or weight in an elimination order.
 BEYOND = 1 << 40
 
@@ -358,7 +381,8 @@ class Solver:
         self.until = None if seconds is None else time.monotonic() + seconds
         self.window = window
         self.state: dict[int, list] = {}  # mask: lower, upper, what to take off
-        self.separators: dict[int, list[tuple[int, int]]] = {}
+        self.separators: dict[int, list[tuple[int, list[int], int]]] = {}
+        self.deep: dict[int, list[int]] = {}  # treedepth: sets proved to have it at least, none a part of a later one
 
     def check(self) -> None:
         if self.until is not None and time.monotonic() > self.until:
@@ -404,39 +428,48 @@ class Solver:
         worst = max(self.bounds(c)[1] for c in components(nb, mask & ~(1 << hub)))
         return [min(lower, worst + 1), worst + 1, 1 << hub]
 
-    def cuts(self, mask: int) -> list[tuple[int, int]]:
-        """Fully minimal separators, balanced ones first."""
+    def cuts(self, mask: int) -> list[tuple[int, list[int], int]]:
+        """(size, components beside it, separator) of fully minimal separators, balanced ones first."""
         if mask not in self.separators:
-            found = [s for s in minimal_separators(self.nb, mask, stop=self.check) if is_fully_minimal(self.nb, mask, s)]
-            ranked = [(max(c.bit_count() for c in components(self.nb, mask & ~s)) + s.bit_count(), s.bit_count(), s) for s in found]
-            self.separators[mask] = [(size, s) for _, size, s in sorted(ranked)]
+            ranked = []
+            for sep in minimal_separators(self.nb, mask, stop=self.check):
+                if is_fully_minimal(self.nb, mask, sep):
+                    parts, size = sorted(components(self.nb, mask & ~sep), key=int.bit_count, reverse=True), sep.bit_count()
+                    ranked.append((parts[0].bit_count() + size, size, sep, parts))
+            self.separators[mask] = [(size, parts, sep) for _, size, sep, parts in sorted(ranked)]
         return self.separators[mask]
 
+    def thinned(self, mask: int) -> list[int]:
+        """Components of a set without its vertices of least degree, taken off again and again; without one of these where nothing else would stay."""
+        degree = {v: (self.nb[v] & mask).bit_count() for v in bits(mask)}
+        v = min(degree, key=degree.__getitem__)
+        return components(self.nb, core(self.nb, mask, degree[v] + 1) or mask & ~(1 << v))
+
     def within(self, mask: int, k: int) -> bool:
-        """Whether the treedepth of a connected set is at most k."""
+        """Whether the treedepth of a connected set is at most k; no part of it may be deeper, so a denser or smaller one is asked first."""
         got = self.bounds(mask)
         if got[1] <= k:
             return True
         if got[0] > k:
             return False
         self.check()
-        inner = core(self.nb, mask, got[0])
-        for part in components(self.nb, inner) if inner != mask else ():
-            if not self.within(part, k):
-                got[0] = max(got[0], k + 1)
-                return False
-        for size, sep in self.cuts(mask):
-            if size >= k:
-                continue
-            parts = sorted(components(self.nb, mask & ~sep), key=lambda c: (-self.bounds(c)[0], -c.bit_count()))
-            if self.bounds(parts[0])[0] + size > k:
+        if any(not t & ~mask for low, sets in self.deep.items() if low > k for t in sets):
+            got[0] = max(got[0], k + 1)
+            return False
+        # of the parts the depth itself is found, since it narrows the choice below
+        fits = all(any(self.within(c, j) for j in range(self.bounds(c)[0], k + 1)) for c in sorted(self.thinned(mask), key=lambda c: -self.bounds(c)[0]))
+        # what a separator takes from a part lowers it by no more than one each, so few of its vertices lie outside a deep part
+        tight = [(~t, k - low) for low in range(k, max(k - NEAR, 0), -1) for t in self.deep.get(low, ()) if not t & ~mask]
+        for size, parts, sep in self.cuts(mask) if fits else ():
+            if size >= k or any((sep & rest).bit_count() > room for rest, room in tight) or any(self.bounds(c)[0] + size > k for c in parts):
                 continue
-            if all(self.within(c, k - size) for c in parts):
+            if all(self.within(c, k - size) for c in sorted(parts, key=lambda c: -self.bounds(c)[0])):
                 top = size + max(self.bounds(c)[1] for c in parts)
                 if top < got[1]:
                     got[1], got[2] = top, sep
                 return True
         got[0] = max(got[0], k + 1)
+        self.deep.setdefault(k + 1, []).append(mask)
         return False
 
     def improve(self, mask: int, parent: dict[int, int]) -> None:
@@ -534,8 +567,8 @@ class Solver:
         """(lower, upper) of a connected set; equal unless time ran out or the window was decided first.
 
         Every part of a set bounds it from below, and dense parts are small, so these are solved first.
-        In rounds of rising time the least open part and the whole are tried by growing and by separators;
-        a way that gained nothing where the other did has less time in the next round.
+        In rounds of rising time the whole is tried by separators, then the least open part and the whole by
+        growing, for as long together.
         """
         got = self.bounds(mask)
         try:
@@ -544,33 +577,24 @@ class Solver:
                 self._orders(mask, ORDERS, 1)
             if self.open(mask):
                 parts = self.dense_parts(mask)
-            share = {self._grow: 1.0, self._cut: 1.0}
             seconds, turn, low = FIRST_SECONDS, 1, 1
             while self.open(mask):
-                for part in [*parts, mask]:
+                self._try(seconds, lambda: self._cut(mask))  # noqa: B023
+                for part in parts[:]:
                     now = self.bounds(part)
                     now[0] = max(now[0], low)
                     self._orders(part, ORDERS // 4, turn)
-                    gain = {}
-                    for way in sorted(share, key=share.get, reverse=True):
-                        if self.open(part) and self.open(mask):
-                            before = now[0], now[1]
-                            self._try(seconds * share[way], lambda: way(part))  # noqa: B023
-                            gain[way] = (now[0], now[1]) != before
-                    for way in gain:
-                        share[way] = 0.2 if not gain[way] and any(gain.values()) else 1.0
+                    if self.open(part) and self.open(mask):
+                        self._try(seconds / 2, lambda: self._grow(part))  # noqa: B023
                     low = max(low, now[0])
                     got[0] = max(got[0], low)
-                    if not self.open(part):
-                        parts = parts[1:]
-                        if part != mask and self.open(mask):
-                            self._extend(part, mask)
-                    elif part != mask:
+                    if self.open(part):
                         break
-                if self.open(mask) and parts:
-                    for way in sorted(share, key=share.get, reverse=True):
-                        if self.open(mask):
-                            self._try(seconds * share[way], lambda: way(mask))  # noqa: B023
+                    parts = parts[1:]
+                    if self.open(mask):
+                        self._extend(part, mask)
+                if self.open(mask):
+                    self._try(seconds / 2 if parts else seconds, lambda: self._grow(mask))  # noqa: B023
                 seconds, turn = seconds * RISE, turn + 1
                 self._orders(mask, ORDERS, turn)
         except OutOfTime:
