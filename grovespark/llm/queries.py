@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from grovespark.llm import blocks, decontam, fm, linerules, packing, pii, simhash, urllists, warc, wordpiece
+from grovespark.llm import blocks, bytebpe, decontam, divergence, fm, lexical, linerules, packing, pii, simhash, urllists, warc, wordpiece
 
 
 def queries() -> dict:
@@ -19,9 +19,18 @@ def queries() -> dict:
         "op8_decontamination": decontam.query,
         "op9_wordpiece_counts": wordpiece.query,
         "op10_url_lists": urllists.query,
+        "op11_source_divergence": divergence.query,
+        "op12_byte_bpe": bytebpe.query,
+        "op13_lexical_search": lexical.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": warc.ORACLE_SQL, "op4_line_rules": linerules.ORACLE_SQL, "op10_url_lists": urllists.ORACLE_SQL}
+    return {
+        "op1_warc": warc.ORACLE_SQL,
+        "op4_line_rules": linerules.ORACLE_SQL,
+        "op10_url_lists": urllists.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL,
+        "op13_lexical_search": lexical.ORACLE_SQL,
+    }
