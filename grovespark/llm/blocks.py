@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import html
+import random
 import re
 import zlib
 from collections import Counter
@@ -22,18 +23,21 @@ from pyspark.sql import functions as F
 
 from grovespark.llm.common import bounded_batches, table
 
-PATH_DIM = 96
+#: Many more than names that matter, so that a new name seldom falls on one of them.
+PATH_DIM = 512
 WORD_DIM = 24
 MEASURES = 7
 INPUT = PATH_DIM + WORD_DIM + MEASURES
-HIDDEN = 16
-TRAIN_PAGES = 1000
+HIDDEN = 24
+TRAIN_PAGES = 3000
 EPOCHS = 8
 BATCH = 30
 RATE = 0.01
 SEED = 11
-#: Blocks (padding included) that one step of inference holds.
-BATCH_BLOCKS = 1 << 14
+#: Share of the path's measures that training blanks.
+MASKED = 0.08
+#: Blocks (padding included) that one step of inference holds; a longer page is read in windows of as many.
+BATCH_BLOCKS = 1 << 13
 
 #: Steps of a path that count by their distance; farther ones count alike.
 NEAR = 8
@@ -59,17 +63,22 @@ SCOPE = frozenset(("ul", "ol", "dl", "table", "body", "article", "section", "div
 class Place:
     """Where a block stands: its open tags with their words of class, id and role, the nearest NEAR of them one by one."""
 
-    __slots__ = ("tag", "near", "far", "depth", "_vector")
+    __slots__ = ("tag", "near", "far", "depth", "_vector", "_inner")
 
     def __init__(self, tag: str = "", near: tuple[str, ...] = (), far: np.ndarray | None = None, depth: int = 0):
-        self.tag, self.near, self.far, self.depth, self._vector = tag, near, far, depth, None
+        self.tag, self.near, self.far, self.depth, self._vector, self._inner = tag, near, far, depth, None, None
 
     def inside(self, tag: str, step: str) -> Place:
-        """The place in a further tag; costs the same at any depth."""
-        if len(self.near) < NEAR:
-            return Place(tag, (*self.near, step), None, self.depth + 1)
-        gone = _step_vector(self.near[0])
-        return Place(tag, (*self.near[1:], step), gone if self.far is None else self.far + gone, self.depth + 1)
+        """The place in a further tag, one object for all alike; costs the same at any depth."""
+        if self._inner is None:
+            self._inner = {}
+        if (found := self._inner.get(step)) is None:
+            far, near = self.far, (*self.near, step)
+            if len(near) > NEAR:
+                gone = _step_vector(near[0])
+                far, near = gone if far is None else far + gone, near[1:]
+            found = self._inner[step] = Place(tag, near, far, self.depth + 1)
+        return found
 
     def vector(self) -> np.ndarray:
         """Signed hashes of the tags and names on the path, nearer ones heavier, and of its last two steps."""
@@ -262,10 +271,11 @@ class _Slots(dict):
 _slots = _Slots()
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """The input sequence of a page: one row per block."""
-    out = np.zeros((len(blocks), INPUT), dtype=np.float32)
+def vectors(blocks: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """The input sequence of a page, or of its blocks from first to last: one row per block."""
     n = len(blocks)
+    blocks = blocks[first:last]
+    out = np.zeros((len(blocks), INPUT), dtype=np.float32)
     for i, b in enumerate(blocks):
         words = b.text.split()
         counts = np.bincount([_slots[w] for w in words], minlength=2 * WORD_DIM)
@@ -273,7 +283,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         length = len(b.text)
         out[i, :PATH_DIM] = b.place.vector()
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = signed / (np.sqrt((signed**2).sum()) + 1)
-        out[i, PATH_DIM + WORD_DIM :] = (1.0, np.log1p(length) / 8, min(len(words), 40) / 40, b.linked, i / n, min(b.place.depth, 32) / 8, (b.text[-1] in ".!?:;\"'") * 1.0)
+        out[i, PATH_DIM + WORD_DIM :] = (1.0, np.log1p(length) / 8, min(len(words), 40) / 40, b.linked, (first + i) / n, min(b.place.depth, 32) / 8, (b.text[-1] in ".!?:;\"'") * 1.0)
     return out
 
 
@@ -294,10 +304,10 @@ class Labeller:
         self.p["s"] = rng.normal(0, 0.05, INPUT).astype(np.float32)
         self.p["t"] = np.zeros(1, dtype=np.float32)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None) -> np.ndarray:
-        """Hidden states (pages, blocks, HIDDEN) in one direction; padding keeps the state as it was."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None, state: list | None = None) -> np.ndarray:
+        """Hidden states (pages, blocks, HIDDEN) in one direction; padding keeps the state as it was. A given state is where it starts, and is left where it ends."""
         pages, steps, _ = x.shape
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         out = np.zeros((pages, steps, HIDDEN), np.float32)
         ahead = x @ self.p["W" + d][:INPUT] + self.p["c" + d]
         inner = self.p["W" + d][INPUT:]
@@ -310,6 +320,8 @@ class Labeller:
                 tape.append((t, h, c, i, f, o, g, new, m))
             h, c = m * (o * np.tanh(new)) + (1 - m) * h, m * new + (1 - m) * c
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def margins(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -321,31 +333,31 @@ class Labeller:
         states = {d: self._pass(x, mask, d, tapes[d]) for d in "fb"}
         both = np.concatenate([states["f"], states["b"]], axis=2)
         delta = (_sigmoid(both @ self.p["o"] + x @ self.p["s"] + self.p["t"]) - y) * mask / mask.sum()
-        grads = {"o": np.einsum("bt,bth->h", delta, both), "s": np.einsum("bt,bti->i", delta, x), "t": np.array([delta.sum()])}
+        grads = {"o": delta.reshape(-1) @ both.reshape(-1, 2 * HIDDEN), "s": delta.reshape(-1) @ x.reshape(-1, INPUT), "t": np.array([delta.sum()])}
         for k, d in enumerate("fb"):
             outer = delta[:, :, None] * self.p["o"][k * HIDDEN : (k + 1) * HIDDEN]
             W = self.p["W" + d]
-            gW, gc = np.zeros_like(W), np.zeros_like(self.p["c" + d])
-            dh, dc = np.zeros_like(outer[:, 0]), np.zeros_like(outer[:, 0])
+            inner, dh, dc = W[INPUT:].T.copy(), np.zeros_like(outer[:, 0]), np.zeros_like(outer[:, 0])
+            zs, before = np.empty((*x.shape[:2], 4 * HIDDEN), outer.dtype), np.empty_like(states[d])
             for t, h, c, i, f, o, g, new, m in reversed(tapes[d]):
                 dh = dh + outer[:, t]
                 squashed = np.tanh(new)
                 down, dn = m * dh, m * (dh * o * (1 - squashed**2) + dc)
-                z = np.concatenate([dn * g * i * (1 - i), dn * c * f * (1 - f), down * squashed * o * (1 - o), dn * i * (1 - g**2)], axis=1)
-                gW[:INPUT] += x[:, t].T @ z
-                gW[INPUT:] += h.T @ z
-                gc += z.sum(axis=0)
-                dh, dc = (1 - m) * dh + z @ W[INPUT:].T, (1 - m) * dc + dn * f
+                zs[:, t] = z = np.concatenate([dn * g * i * (1 - i), dn * c * f * (1 - f), down * squashed * o * (1 - o), dn * i * (1 - g**2)], axis=1)
+                before[:, t] = h
+                dh, dc = (1 - m) * dh + z @ inner, (1 - m) * dc + dn * f
+            flat = zs.reshape(-1, 4 * HIDDEN)
+            gW, gc = np.concatenate([x.reshape(-1, INPUT).T @ flat, before.reshape(-1, HIDDEN).T @ flat]), flat.sum(axis=0)
             grads["W" + d], grads["c" + d] = gW, gc
         return grads
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Labeller:
-        """Adam over batches of pages of like length."""
+        """Adam over batches of pages of like length, at a rate that falls to none."""
         rng = np.random.default_rng(seed)
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         order = sorted(range(len(pages)), key=lambda k: len(pages[k][1]))
-        for _ in range(epochs):
-            starts = np.arange(0, len(order), BATCH)
+        for epoch in range(epochs):
+            starts, now = np.arange(0, len(order), BATCH), rate * (1 - epoch / epochs)
             rng.shuffle(starts)
             for at in starts:
                 x, mask, y = padded([pages[k] for k in order[at : at + BATCH]])
@@ -354,23 +366,39 @@ class Labeller:
                     g = np.clip(g, -1, 1)
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g**2
-                    self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] = (self.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page, which of its blocks are main text; pages of like length go together."""
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """For each page, which of its blocks are main text; pages of like length go together, long ones in windows."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order, at = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k])), 0
         while at < len(order):
+            if len(pages[order[at]]) > BATCH_BLOCKS:
+                out[order[at]] = self._in_windows(pages[order[at]]) > 0
+                at += 1
+                continue
             to = at + 1
             while to < len(order) and (to - at + 1) * len(pages[order[to]]) <= BATCH_BLOCKS:
                 to += 1
-            x, mask, _ = padded([(pages[k], np.zeros(len(pages[k]))) for k in order[at:to]])
+            x, mask, _ = padded([(vectors(pages[k]), np.zeros(len(pages[k]))) for k in order[at:to]])
             for k, row in zip(order[at:to], self.margins(x, mask) > 0):
                 out[k] = row[: len(pages[k])]
             at = to
         return out
 
+    def _in_windows(self, blocks: list[Block]) -> np.ndarray:
+        """The margins of one page: each direction reads it window by window and carries its state on, so memory does not grow with the page's vectors."""
+        out = np.full(len(blocks), self.p["t"][0], np.float32)
+        starts = range(0, len(blocks), BATCH_BLOCKS)
+        for k, d in enumerate("fb"):
+            state = [np.zeros((1, HIDDEN), np.float32)] * 2
+            for at in starts if d == "f" else reversed(starts):
+                x = vectors(blocks, at, at + BATCH_BLOCKS)
+                hidden = self._pass(x[None], np.ones((1, len(x)), np.float32), d, None, state)[0]
+                out[at : at + len(x)] += hidden @ self.p["o"][k * HIDDEN : (k + 1) * HIDDEN] + (x @ self.p["s"] if d == "f" else 0)
+        return out
+
 
 def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = max(len(y) for _, y in pages)
@@ -380,101 +408,142 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return x, mask, y
 
 
-def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
-    """A page from a random layout and its main text."""
-    pick = lambda *x: x[rng.integers(len(x))]
+#: Stands before each block of main text while a page is made up.
+_MARK = "\ue000"
+
+
+def _marked_page(rng: np.random.Generator) -> str:
+    """A page from a random layout, _MARK before each block of its main text.
+
+    What holds the main text says little: it may be any tag, with made-up names, usual ones or none,
+    nested or missing, and what surrounds it stands in the same tags. Names tell adverts and comments
+    apart, which read like prose; menus, footers and forms often have none.
+    """
+    draw = random.Random(int(rng.integers(1 << 62)))
+    pick = lambda *x: draw.choice(x)
     syllables = "ta re mi so lu ne ka do vi pe an er on st th in es ou".split()
-    word = lambda: "".join(pick(*syllables) for _ in range(rng.integers(1, 5)))
-    junk = ("", "", "", "", "***", "!!", "###", " |")
+    word = lambda: "".join(draw.choices(syllables, k=draw.randrange(1, 5)))
+    many = lambda low, high: range(draw.randrange(low, high))
+    noise = pick("", "", "", "", "***", "!!", "###", " |")
 
     def sentence(low: int, high: int, noise: str = "") -> str:
-        out = " ".join(word() + noise for _ in range(rng.integers(low, high)))
+        out = " ".join(word() + noise for _ in many(low, high))
         return (out.upper() if noise == "!!" else out.capitalize()) + pick(".", ".", ".", "", "!")
 
-    main: list[str] = []
-    noise = pick(*junk)
+    def named(tag: str, *usual: str, sure: bool = False) -> str:
+        """An opening tag with one of the usual names, a made-up one, or none; sure: one of the usual names."""
+        kind = draw.random()
+        name = pick(*usual) if usual and (sure or kind < 0.3) else f"{word()}{pick('', '-', '_')}{word()}" if kind < 0.65 else ""
+        return f"<{tag} {pick('class', 'class', 'id')}={pick(chr(34) + name + chr(34), name.split()[0])}>" if name else f"<{tag}>"
+
+    def box(tags: str, inside: str, *usual: str, sure: bool = False) -> str:
+        tag = pick(*tags.split())
+        return f"{named(tag, *usual, sure=sure)}{inside}</{tag}>"
 
     def keep(text: str, tag: str) -> str:
-        main.append(" ".join(text.split()))
-        inside = html.escape(text, quote=False)
-        if rng.random() < 0.2:
+        inside = _MARK + html.escape(text, quote=False)
+        if draw.random() < 0.2:
             first, _, rest = inside.partition(" ")
-            inside = f"<{pick('b', 'em', 'span', 'a href=/x')}>{first}</{pick('b')}> {rest}" if rng.random() < 0.3 else f"<b>{first}</b> {rest}"
-        return f"<{tag}>{inside}" + ("" if tag == "p" and rng.random() < 0.2 else f"</{tag.split()[0]}>")
+            mark = pick("b", "em", "span", "strong", "a href=/x")
+            inside = f"<{mark}>{first}</{mark.split()[0]}> {rest}" if draw.random() < 0.7 else f"<b>{first} {rest}"
+        return f"<{tag}>{inside}" + ("" if tag == "p" and draw.random() < 0.2 else f"</{tag.split()[0]}>")
 
-    def links(n: int) -> str:
-        return "".join(f'<li><a href="/{word()}">{pick(word(), sentence(1, 4))}</a></li>' for _ in range(n))
+    def links(low: int, high: int) -> str:
+        return "".join(f'<li><a href="/{word()}">{pick(word(), sentence(1, 4))}</a></li>' for _ in many(low, high))
 
     def menu() -> str:
-        return pick("<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<div id="navigation"><ul>{}</ul></div>', '<ul class="nav">{}</ul>', "<header><nav><ul>{}</ul></nav></header>").format(links(rng.integers(2, 12)))
+        inside = pick(f"<ul>{links(2, 12)}</ul>", "".join(f'<a href="/{word()}">{word()}</a>{pick(" ", " | ", "<br>")}' for _ in many(2, 9)))
+        return pick(f"<nav>{inside}</nav>", f"<header><nav>{inside}</nav></header>", box("div section ul header", inside, "menu", "navigation", "nav", "top nav", "breadcrumb"))
 
     def advert() -> str:
-        return pick('<div class="ad">{}</div>', '<div class="ads">{}</div>', '<div class="advert banner">{}</div>', '<div class="advertisement"><p>{}</p></div>', '<aside class="sponsored">{}</aside>', '<div class="promo"><p>{}</p></div>').format(sentence(3, 40))
+        inside = sentence(3, 40)
+        return box("div section aside", pick(inside, f"<p>{inside}</p>"), "ad", "ad", "ads", "advert banner", "advertisement", "sponsored", "promo", sure=True)
 
     def aside() -> str:
-        return pick('<aside><h3>{}</h3><ul>{}</ul></aside>', '<div class="sidebar"><h2>{}</h2><ul>{}</ul></div>', '<div class="related"><h4>{}</h4><ul>{}</ul></div>').format(sentence(1, 4), links(rng.integers(2, 7)))
+        heading = pick("h2", "h3", "h4")
+        inside = f"<{heading}>{sentence(1, 4)}</{heading}><ul>{links(2, 7)}</ul>"
+        return pick(f"<aside>{inside}</aside>", box("div section", inside, "sidebar", "related", "popular", "more"))
+
+    def form() -> str:
+        fields = pick("<p>{}</p><button>{}</button>", "<label>{}</label><input name=e><button>{}</button>", "<label>{}</label><select><option>{}</option></select>", "<label>{}</label><textarea>{}</textarea><button>OK</button>", "<textarea>{}</textarea><button>{}</button>")
+        return f"{named('form', 'contact', 'search', 'newsletter')}{fields.format(sentence(2, 20), word())}</form>"
 
     def notice() -> str:
-        return pick('<div class="cookie"><p>{}</p><button>{}</button></div>', '<div id="consent" class="notice"><p>{}</p><a href="#">{}</a></div>', '<div class="newsletter"><form><label>{}</label><input name="e"><button>{}</button></form></div>', '<form action="/s"><p>{}</p><button>{}</button></form>', '<form action="/s"><label>{}</label><select><option>{}</option></select></form>', '<form><label>{}</label><textarea>{}</textarea><button>OK</button></form>', '<form class="contact"><textarea>{}</textarea><button>{}</button></form>', "<noscript><p>{}</p><img src=x>{}</noscript>", "<template><div>{}</div><p>{}</p></template>", '<div class="share"><svg><title>{}</title></svg><a href="#">{}</a></div>').format(sentence(4, 25), word())
+        inside = pick("<p>{}</p><button>{}</button>", '<p>{}</p><a href="#">{}</a>', "{} <button>{}</button>").format(sentence(4, 25), word())
+        return pick(box("div section", inside, "cookie", "cookies consent", "notice", "newsletter", sure=True), f"<noscript><p>{sentence(2, 15)}</p><img src=x></noscript>", f"<template><div>{sentence(2, 9)}</div></template>")
+
+    def share() -> str:
+        return box("div ul p", f'<svg><title>{word()}</title></svg><a href="#">{word()}</a> <a href="#">{word()}</a>', "share", "social", "tools")
 
     def comments() -> str:
-        one = pick("<li><b>{}</b><p>{}</p></li>", '<div class="comment"><span>{}</span><p>{}</p></div>', "<p>{}: {}</p>")
-        heading = pick("", "<h2>{}</h2>", "<h3>{}</h3>", "<h4>{}</h4>").format(pick("Comments", f"{rng.integers(2, 90)} comments", "Discussion", sentence(1, 4)))
-        return pick('<section class="comments">{}</section>', '<section id="comments">{}</section>', '<div id="comments">{}</div>', '<div class="discussion comments">{}</div>', '<ol class="comment-list">{}</ol>').format(heading + "".join(one.format(word(), sentence(5, 60)) for _ in range(rng.integers(1, 6))))
-
-    def article() -> str:
-        paragraph = pick("p", "p", "p", "p", "p", "div", 'div class="para"')
-        body = [keep(sentence(1, 9, noise), pick("h1", "h1", "h2"))] if rng.random() < 0.9 else []
-        for _ in range(rng.integers(1, 16)):
-            kind = rng.random()
+        one = pick("<li><b>{}</b><p>{}</p></li>", '<div class="comment"><span>{}</span><p>{}</p></div>', '<article class="comment"><h4>{}</h4><p>{}</p></article>', "<p>{}: {}</p>")
+        heading = pick("", "<h2>{}</h2>", "<h3>{}</h3>", "<h4>{}</h4>").format(pick("Comments", f"{draw.randrange(2, 90)} comments", "Discussion", sentence(1, 4)))
+        inside = heading + "".join(one.format(word(), sentence(5, 60)) for _ in many(1, 6))
+        return box("section div ol", inside, "comments", "comments", "comment-list", "discussion comments", "responses comments", "reader comments", sure=True)
+
+    def body() -> str:
+        paragraph = pick("p", "p", "p", "p", "p", "div", "br", named("div", "para", "text")[1:-1])
+        out = [keep(sentence(1, 9, noise), pick("h1", "h1", "h2"))] if draw.random() < 0.85 else []
+        for _ in many(1, 16):
+            kind = draw.random()
             if kind < 0.75:
-                body.append(keep(sentence(1, pick(4, 20, 150), noise), paragraph if rng.random() < 0.9 else pick("pre", "dd", "p")))
+                text = sentence(1, pick(4, 20, 150), noise)
+                out.append(f"{_MARK}{html.escape(text, quote=False)}<br><br>" if paragraph == "br" else keep(text, paragraph if draw.random() < 0.9 else pick("pre", "dd", "p")))
             elif kind < 0.8:
-                body.append(keep(sentence(1, 6, noise), pick("h2", "h3")))
-            elif kind < 0.85:
-                body.append(f"<blockquote>{keep(sentence(4, 40, noise), 'p')}</blockquote>")
+                out.append(keep(sentence(1, 6, noise), pick("h2", "h3")))
+            elif kind < 0.84:
+                out.append(f"<blockquote>{keep(sentence(4, 40, noise), 'p')}</blockquote>")
+            elif kind < 0.88:
+                out.append("<ul>" + "".join(keep(sentence(1, 12, noise), "li") for _ in many(1, 5)) + "</ul>")
             elif kind < 0.9:
-                body.append("<ul>" + "".join(keep(sentence(1, 12, noise), "li") for _ in range(rng.integers(1, 5))) + "</ul>")
+                cells = "".join("<tr>" + "".join(keep(sentence(1, 7, noise), pick("td", "td", "th")) for _ in range(2)) + "</tr>" for _ in many(1, 4))
+                out.append(f"<table>{cells}</table>")
             elif kind < 0.92:
-                cells = "".join("<tr>" + "".join(keep(sentence(1, 7, noise), pick("td", "td", "th")) for _ in range(2)) + "</tr>" for _ in range(rng.integers(1, 4)))
-                body.append(f"<table>{cells}</table>")
-            elif kind < 0.93:
-                body.append(f"<figure><img src=x>{keep(sentence(2, 12, noise), 'figcaption')}</figure>")
+                out.append(f"<figure><img src=x>{keep(sentence(2, 12, noise), 'figcaption')}</figure>")
             elif kind < 0.95:
-                main.append(first := sentence(2, 20, noise))
-                main.append(second := sentence(2, 20, noise))
-                body.append(f"<p><b>{html.escape(first, quote=False)}<br>" + (f"<p>{html.escape(second, quote=False)}</p>"))
+                out.append(f"<p><b>{_MARK}{html.escape(sentence(2, 20, noise), quote=False)}<br><p>{_MARK}{html.escape(sentence(2, 20, noise), quote=False)}</p>")
             else:
-                body.append(pick(advert, aside, notice)())
-        if rng.random() < 0.35:
-            body.append(comments())
-        return pick("<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main" class="post">{}</div>', '<div class="article-body">{}</div>').format("".join(body))
-
-    title = sentence(1, 9)
+                out.append(pick(advert, aside, notice, share)())
+        if draw.random() < 0.3:
+            out.append(comments())
+        inside = "".join(out)
+        for _ in range(pick(0, 1, 1, 1, 2, 3)):
+            tag = pick("article", "article", "main", "div", "div", "div", "section", "section", "td", f"{word()}-{word()}")
+            whole = named(tag, "content", "main", "post", "entry", "story", "article-body", "text", "page") + inside + f"</{tag}>"
+            inside = f"<table><tr>{whole}</tr></table>" if tag == "td" else whole
+        return inside
+
+    title = html.escape(sentence(1, 9, noise), quote=False)
     head = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style></head><body>'
-    before = [f() for f in (menu, advert, notice, aside) if rng.random() < 0.6] + ([f'<header><a href="/">{word()}</a><p>{sentence(1, 6)}</p></header>'] if rng.random() < 0.3 else [])
-    rng.shuffle(before)
-    middle = article()
-    after = [f() for f in (comments, aside, advert, notice) if rng.random() < 0.45]
-    foot = pick("<footer>&copy; {} &middot; {}</footer>", "<footer><p>&copy; {}</p><p>{}</p></footer>", '<div class="footer">{} {}</div>', '<div id="footer"><p>{}</p><p>{}</p></div>').format(word(), sentence(1, 20))
-    return head + "".join(before) + middle + "".join(after) + foot + "</body></html>", " ".join(x for x in main if x)
-
-
-def training_page(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of a made-up page and which of them are its main text, matched in order."""
-    page, main = made_up_page(rng)
-    blocks, left, labels = parse(page), main, []
-    for b in blocks:
-        mine = left.startswith(b.text) and (len(left) == len(b.text) or left[len(b.text)] == " ")
-        outside = any(set(x.split()) & _OUTSIDE for x in b.place.near)
-        labels.append(float(mine and not outside))
-        if labels[-1]:
-            left = left[len(b.text) + 1 :]
-    return vectors(blocks), np.array(labels, dtype=np.float32)
+    before = [f() for f in (menu, advert, notice, aside, form) if draw.random() < 0.5]
+    if draw.random() < 0.3:
+        before.append(pick("<header>{}</header>", "<header>{}</header>", box("div section", "{}", "header", "masthead", "top", sure=True)).format(f'<a href="/">{word()}</a><p>{sentence(1, 6)}</p>'))
+    draw.shuffle(before)
+    after = [f() for f in (share, comments, aside, advert, notice, form) if draw.random() < 0.4]
+    line = f"&copy; {word()}{pick('.example', '')} &middot; {sentence(1, 20)}"
+    foot = pick(f"<footer>{line}</footer>", f"<footer><p>{line}</p></footer>", box("div section p", line, "footer", "bottom", "legal"), box("div", f"<p>{line}</p><p>{sentence(1, 9)}</p>", "footer", sure=True), "")
+    inside = body()
+    page = "".join(before) + inside + "".join(after) + foot
+    for _ in range(pick(0, 0, 1, 1, 2)):
+        page = box("div div section", page, "wrapper", "page", "container", "site")
+    return head + page + "</body></html>"
 
 
-#: Names that only the surroundings of made-up pages have.
-_OUTSIDE = frozenset("form noscript template share nav menu navigation header ad ads advert advertisement sponsored promo aside sidebar related cookie consent newsletter form comments comment discussion footer title".split())
+def made_up_page(rng: np.random.Generator) -> tuple[str, str]:
+    """A page from a random layout and its main text."""
+    page = _marked_page(rng)
+    return page.replace(_MARK, ""), " ".join(b.text.removeprefix(_MARK) for b in parse(page) if b.text.startswith(_MARK))
+
+
+def training_page(rng: np.random.Generator, masked: float = MASKED) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of a made-up page and which of them are its main text; a share of the path's measures, drawn for each page, is blank."""
+    blocks = parse(_marked_page(rng))
+    labels = np.array([b.text.startswith(_MARK) for b in blocks], dtype=np.float32)
+    for b in blocks:
+        b.text = b.text.removeprefix(_MARK) or "."
+    out = vectors(blocks)
+    out[:, :PATH_DIM] *= rng.random(PATH_DIM) >= masked
+    return out, labels
 
 
 @functools.lru_cache(maxsize=2)
@@ -485,7 +554,7 @@ def trained(seed: int = SEED, pages: int = TRAIN_PAGES) -> Labeller:
 
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
     parsed = [parse(x or "") for x in pages]
-    return [" ".join(b.text for b, k in zip(blocks, keep) if k) for blocks, keep in zip(parsed, labeller.label([vectors(b) for b in parsed]))]
+    return [" ".join(b.text for b, k in zip(blocks, keep) if k) for blocks, keep in zip(parsed, labeller.label(parsed))]
 
 
 def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:

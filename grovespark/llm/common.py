@@ -6,7 +6,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches: rows and bytes, so that a batch of very long texts still fits a worker.
 BATCH_ROWS = 1000
@@ -20,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Make Arrow batches small enough for texts of any length."""
+    """Make Arrow batches small enough for texts of any length.
+
+    The settings stay with the session: batches are cut when a plan runs, long after it was made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -60,6 +64,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a table that is broadcast; tables with more are joined as Spark sees fit.
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df staged, and marked for a broadcast if it has no more than so many rows."""
+    out = staged(df, name)
+    return F.broadcast(out) if out.count() <= rows else out
+
+
+def own(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of df, or those of these names, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession

@@ -1,145 +1,170 @@
-"""Benchmark decontamination: n-gram seeds propose passages, Smith-Waterman alignment scores them.
-
-Seeds are all word 3-grams of the benchmark items, however frequent in the corpus: a seed may be so
-only because the item itself was copied often. Documents that share two with an item on nearby
-diagonals are aligned with it, word by word, so edited and paraphrased copies score by what they
-keep. Each document is judged by itself, so one pass over the texts does it and nothing of them is
-shuffled.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores the passages.
+
+An item's seeds are those of its word 3-grams that few items have, and of each stretch of it the two
+that fewest have. How often a seed stands in the documents plays no part: it may be frequent only
+because its item was copied often. One pass over the texts keeps the places of seeds, told by a Bloom
+filter of them; an equality join with the seeds gives each place its items. Documents that share two
+seeds with an item on nearby diagonals are aligned with it, word by word, so edited and paraphrased
+copies score by what they keep. Words and seeds go by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, fresh, table
+from grovespark.llm.common import bounded_batches, fresh, own, small, staged, table
+from grovespark.llm.simhash import SEED, row_keys, sieve, sieved
 
 GRAM = 3
-#: Seeds that a document must share with an item within BAND words of one diagonal.
+#: Items of fewer words are too common a phrase to be told from prose, and are not looked for.
+MIN_WORDS = 4
+#: A seed is rare if so many items have it at most; of each STRETCH seeds of an item the rarest PER_STRETCH count anyway.
+RARE_ITEMS = 10
+STRETCH = 6
+PER_STRETCH = 2
+#: Seeds that a document must share with an item within BAND words of one diagonal; of an item with one seed, that one.
 MIN_SEEDS = 2
 BAND = 16
 #: Alignment score over the item's words from which a passage counts as a copy; a match +1, all else -1.
 MIN_SCORE = 0.5
-#: Items in one broadcast block; more items take more passes over the documents.
-BLOCK_ITEMS = 20_000
-#: Characters of the items of a block, on average at most.
-BLOCK_CHARS = 8 << 20
-#: Places of items that the hits of a text are compared with at a time.
-PLACES = 1 << 20
+#: Bits of the filter of seeds: so many for each, at most MOST_BITS (8 MB); a fuller one lets more through to the join.
+BITS_PER_SEED = 1024
+MOST_BITS = 1 << 26
+#: Rows of seeds, and of items, that are broadcast; more are joined by a shuffle.
+BROADCAST_SEEDS = 500_000
+BROADCAST_ITEMS = 10_000
+#: Items that one row of work has a document aligned with.
+ROW_ITEMS = 1000
 #: Cells of one batch of alignments.
 BATCH_CELLS = 1 << 20
+#: Words whose hashes a Python worker remembers.
+CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"\w+")
+_MIX = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-class Grams:
-    """The 3-grams of a block of items: where each occurs, and a fast test of all windows of a text."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        #: by number within the block; rows of one item_id and different texts are items of their own
-        self.items = {k: words_of(t) for k, (_, t) in enumerate(items)}
-        self.item_id = [i for i, _ in items]
-        self.vocab = {w: k for k, w in enumerate(sorted({w for x in self.items.values() for w in x}))}
-        self.base = len(self.vocab) + 1
-        places: list[tuple[int, int, int]] = []
-        for item, words in self.items.items():
-            ids = [self.vocab[w] for w in words]
-            n = min(GRAM, len(ids))  # an item of one or two words is one seed
-            if n:
-                places += [(self.key(ids[i : i + n]), item, i) for i in range(len(ids) - n + 1)]
-        places.sort()
-        self.keys = np.array([p[0] for p in places], dtype=np.int64)
-        self.unique = np.unique(self.keys)
-        self.item_of = np.array([p[1] for p in places], dtype=np.int64)
-        self.place_of = np.array([p[2] for p in places], dtype=np.int64)
-        self.seeds: dict[int, int] = Counter(item for _, item in {p[:2] for p in places})
-        self.short = {len(x) for x in self.items.values() if 0 < len(x) < GRAM}
-
-    def key(self, ids: list[int]) -> int:
-        """Digits of the words' numbers plus one, so shorter grams differ from longer ones; from two million
-        words on it wraps at 64 bits as in windows(), where grams that then meet only cost an alignment."""
-        out = 0
-        for i in ids:
-            out = out * self.base + i + 1
-        return (out + (1 << 63)) % (1 << 64) - (1 << 63)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((self.vocab.get(w, -1) for w in words), np.int64, len(words))
-
-    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, keys) of all windows of a text that are a gram of some item."""
-        ids = self.ids(words)
-        at, keys = [], []
-        for n in {GRAM} | self.short:
-            if len(ids) < n:
-                continue
-            key, good = np.zeros(len(ids) - n + 1, dtype=np.int64), np.ones(len(ids) - n + 1, dtype=bool)
-            for k in range(n):
-                part = ids[k : len(ids) - n + 1 + k]
-                key, good = key * self.base + part + 1, good & (part >= 0)
-            where = np.flatnonzero(good)
-            where = where[self._known(key[where])]
-            at.append(where)
-            keys.append(key[where])
-        return (np.concatenate(at), np.concatenate(keys)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.unique):
-            return np.zeros(len(keys), dtype=bool)
-        return self.unique[np.minimum(np.searchsorted(self.unique, keys), len(self.unique) - 1)] == keys
-
-
-    def candidates(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(number, first, last) of items: the least and the last diagonal of each band where a text shares MIN_SEEDS seeds with an item.
-
-        A band is 2 * BAND diagonals wide and the next one starts BAND further, so seeds within BAND of
-        each other share one. Items of fewer seeds need all they have.
-        """
-        at, keys = self.windows(words)
-        left = np.searchsorted(self.keys, keys, "left")
-        count = np.searchsorted(self.keys, keys, "right") - left
-        upto = np.cumsum(count)
-        parts, k = [], 0
-        while k < len(keys):  # so many hits at a time that their places fit PLACES
-            to = max(k + 1, int(np.searchsorted(upto, upto[k] - count[k] + PLACES, "right")))
-            n = count[k:to]
-            place = np.arange(n.sum()) + np.repeat(left[k:to] - np.cumsum(n) + n, n)
-            diagonal = np.repeat(at[k:to], n) - self.place_of[place]
-            band = np.concatenate([diagonal // (2 * BAND) * 2, (diagonal + BAND) // (2 * BAND) * 2 - 1])
-            parts.append(_least_and_last((np.tile(self.item_of[place], 2), band, np.tile(self.keys[place], 2)), np.tile(diagonal, 2), np.tile(diagonal, 2)))
-            k = to
-        if not parts:
-            return []
-        (item, band, _), first, last = parts[0] if len(parts) == 1 else _least_and_last(tuple(np.concatenate([p[0][c] for p in parts]) for c in range(3)), *(np.concatenate([p[c] for p in parts]) for c in (1, 2)))
-        starts = _starts((item, band))
-        seeds = np.diff(np.append(starts, len(item)))
-        rows = zip(item[starts].tolist(), seeds.tolist(), np.minimum.reduceat(first, starts).tolist(), np.maximum.reduceat(last, starts).tolist())
-        return sorted({(i, low, high) for i, n, low, high in rows if n >= min(MIN_SEEDS, self.seeds[i])})
-
-
-def _starts(keys: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Where a run of equal keys starts."""
-    new = np.ones(len(keys[0]), dtype=bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return np.flatnonzero(new)
-
-
-def _least_and_last(keys: tuple[np.ndarray, ...], low: np.ndarray, high: np.ndarray) -> tuple:
-    """(keys, least low, greatest high) of each distinct key, sorted."""
-    order = np.lexsort(keys[::-1])
-    keys = tuple(k[order] for k in keys)
-    starts = _starts(keys)
-    return tuple(k[starts] for k in keys), np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+class _Hashes(dict):
+    """The signed 64-bit hash of each word."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = xxh64_intdigest(word.encode("utf-8", "replace"), SEED)
+        self[word] = found = found - (1 << 64) if found >> 63 else found
+        return found
+
+
+_hashes = _Hashes()
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    """The hashes of the words of a text, in order."""
+    words = words_of(text)
+    return np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+
+
+def grams_of(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each GRAM words that follow each other."""
+    n = len(hashes) - GRAM + 1
+    out = np.zeros(max(n, 0), np.int64)
+    for k in range(GRAM if n > 0 else 0):
+        out = (out ^ (out >> np.int64(31))) * _MIX + hashes[k : k + n]
+    return out
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words): a row for each item_id and text of MIN_WORDS words or more, numbered; words are hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([hashes_of(t).tolist() for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), words], names=["item_id", "words"])
+
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
+    found = texts.mapInArrow(run, "item_id long, words array<long>").where(F.size("words") >= MIN_WORDS)
+    return staged(found.withColumn("item", F.monotonically_increasing_id()), "items")  # numbers are fixed once written
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """(gram, item, place, need): the seeds of items (item, words), where each stands, and how many different ones of its item must be met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [grams_of(np.array(w, np.int64)) for w in batch.column("words").to_pylist()]
+            sizes = np.array([len(g) for g in grams], np.int64)
+            cols = [pa.array(np.concatenate([*grams, np.empty(0, np.int64)])), batch.column("item").take(pa.array(np.repeat(np.arange(len(grams)), sizes))), pa.array(np.concatenate([*map(np.arange, sizes), np.empty(0, np.int64)]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["gram", "item", "place"])
+
+    grams = items.select("item", "words").mapInArrow(run, "gram long, item long, place int")
+    often = grams.distinct().groupBy("gram").agg(F.count_distinct("item").alias("items"))
+    ranked = grams.join(often, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("item", F.expr(f"place div {STRETCH}")).orderBy("items", "place")))
+    some = ranked.where((F.col("items") <= RARE_ITEMS) | (F.col("rank") <= PER_STRETCH)).select("gram", "item", "place")
+    need = some.groupBy("item").agg(F.least(F.count_distinct("gram"), F.lit(MIN_SEEDS)).cast("int").alias("need"))
+    return some.join(need, "item").select("gram", "item", "place", "need")
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """A Bloom filter of the seeds: its length, a power of two of MOST_BITS at most, depends on their number."""
+    bits = 1 << 16
+    count = seeds.count()
+    while bits < min(BITS_PER_SEED * count, MOST_BITS):
+        bits *= 2
+    slot = seeds.select(F.expr(f"gram & {bits - 1}L").alias("slot"))
+    maps = slot.groupBy(F.expr("slot div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in maps.toLocalIterator():  # MOST_BITS in all
+        out[4096 * row["bucket"] : 4096 * (row["bucket"] + 1)] = np.frombuffer(row["map"], np.uint8)
+    return out
+
+
+def _hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, key, gram, at): where the documents (doc_id, text) may have a seed."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds))  # 8 MB at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        low = np.int64(8 * len(known) - 1)
+        for batch in batches:
+            rows, grams, places = [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                found = grams_of(hashes_of(text))
+                slot = found & low
+                at = np.flatnonzero(known[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                rows.append(np.full(len(at), k))
+                grams.append(found[at])
+                places.append(at)
+            row = pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
+            cols = [batch.column("doc_id").take(row), batch.column("key").take(row), pa.array(np.concatenate([*grams, np.empty(0, np.int64)])), pa.array(np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "gram", "at"])
+
+    return row_keys(docs, "text").mapInArrow(run, "doc_id long, key string, gram long, at long")
+
+
+def candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, key, item, first, last): the least and the last diagonal of each band where a document shares enough seeds with an item.
+
+    A band is 2 * BAND diagonals wide and the next one starts BAND further, so seeds within BAND of
+    each other share one. Places of seeds are joined with these and counted by partial aggregates.
+    """
+    met = _hits(docs, seeds).join(seeds, "gram").withColumn("diagonal", F.col("at") - F.col("place"))
+    wide = 2 * BAND
+    band = F.explode(F.array(F.floor(F.col("diagonal") / wide) * 2, F.floor((F.col("diagonal") + BAND) / wide) * 2 - 1)).alias("band")
+    each = met.select("doc_id", "key", "item", "need", "gram", "diagonal", band).groupBy("doc_id", "key", "item", "band")
+    found = each.agg(F.min("gram").alias("low"), F.max("gram").alias("high"), F.first("need").alias("need"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
+    return found.where("need = 1 OR low != high").select("doc_id", "key", "item", "first", "last").distinct()
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
@@ -166,71 +191,89 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     return list(zip(best.tolist(), end.tolist()))
 
 
-def _block_matches(docs: DataFrame, items: list[tuple[int, str]], min_score: float) -> DataFrame:
-    grams = docs.sparkSession.sparkContext.broadcast(Grams(items))  # of BLOCK_ITEMS items at most
+def _scored(docs: DataFrame, met: DataFrame, items: DataFrame, min_score: float) -> DataFrame:
+    """(doc_id, key, item_id, score, end_word) of the candidates (doc_id, key, item, first, last) that pass.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = grams.value
+    Of the documents, only those with a candidate are shuffled; one with very many is aligned by several rows.
+    """
+    met = met.join(items, "item")
+    rows = met.groupBy("doc_id", "key").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / ROW_ITEMS))
+    rows = rows.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "parts")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    dealt = met.join(rows, same("doc_id", "d") & (F.col("key") == F.col("k"))).withColumn("part", F.pmod(F.xxhash64("item", "first"), F.col("parts")))
+    work = dealt.groupBy("d", "k", "part").agg(F.collect_list(F.struct("item_id", "words", "first", "last")).alias("items"))
+    work = staged(work, "work")
+    texts = sieved(row_keys(docs, "text"), "doc_id", "key", sieve(rows.select(F.col("d").alias("doc_id"), F.col("k").alias("key"))), "met").where("met").select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"])
+    work = texts.join(work, same("doc_id", "d") & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs, names, out = [], [], []
             longest = 0
 
             def flush() -> None:
                 if pairs:
-                    for (doc, item, low, n), (value, end) in zip(names, align(pairs)):
+                    for (doc, key, item, low, n), (value, end) in zip(names, align(pairs)):
                         if value >= min_score * n:
-                            out.append((doc, item, value / n, low + end))
+                            out.append((doc, key, item, value / n, low + end))
                 pairs.clear()
                 names.clear()
 
-            for doc, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
-                words = words_of(text)
-                found = block.candidates(words)
-                ids = block.ids(words) if found else None
-                for number, first, last in found:
-                    item = block.ids(block.items[number])
+            for row in batch.to_pylist():
+                words = hashes_of(row["text"])
+                for found in row["items"]:
+                    item = np.array(found["words"], np.int64)
                     # a copy of half the score drifts by half the item's words at most, to either side
-                    low = max(0, first - len(item) // 2 - BAND)
-                    passage = ids[low : last + len(item) + len(item) // 2 + BAND]
+                    low = max(0, found["first"] - len(item) // 2 - BAND)
+                    passage = words[low : found["last"] + len(item) + len(item) // 2 + BAND]
                     longest = max(longest, len(passage)) if pairs else len(passage)
                     pairs.append((item, passage))
-                    names.append((doc, block.item_id[number], low, len(item)))
+                    names.append((row["doc_id"], row["key"], found["item_id"], low, len(item)))
                     if len(pairs) * longest > BATCH_CELLS:
                         flush()
             flush()
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "end_word"])
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "key", "item_id", "score", "end_word"])
+
+    return work.mapInArrow(run, "doc_id long, key string, item_id long, score double, end_word long")
 
-    return docs.mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
+
+def _matched(docs: DataFrame, benchmark: DataFrame, min_score: float) -> DataFrame:
+    """matches(), with the key of the text that each row was found in."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items = _items(benchmark)
+    seeds = small(seeds_of(items), "seeds", BROADCAST_SEEDS)
+    met = staged(candidates(docs, seeds), "candidates")
+    items = F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items
+    return _scored(docs, met, items, min_score)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, item_id, score, end_word): the best passage of each document (doc_id, text) for each item (item_id, text) it copies.
 
     score is the alignment's score over the item's words (1: all of it, word for word), end_word the
-    word after the passage. Null and empty texts and items match nothing. Items that repeat an item_id
-    with other texts are all looked for, the best of them counts. Rows that repeat a doc_id give one
-    row, so do those without any, under a null one.
+    word after the passage. Null and empty texts and items match nothing, nor do items of fewer than
+    MIN_WORDS words. Items that repeat an item_id with other texts are all looked for, the best of them
+    counts. Rows that repeat a doc_id give one row, so do those without any, under a null one.
     """
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
-    size = items.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    blocks = max(1, -(-size["items"] // BLOCK_ITEMS), -(-size["chars"] // BLOCK_CHARS))
-    out = None
-    for k in range(blocks):
-        block = [(r["item_id"], r["text"]) for r in items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()]
-        part = _block_matches(docs, sorted(set(block)), min_score)
-        out = part if out is None else out.union(part)
     best = F.max(F.struct("score", (-F.col("end_word")).alias("end"))).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.end")).alias("end_word"))
+    return _matched(docs, benchmark, min_score).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.end")).alias("end_word"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that copy no item, with their own columns."""
-    name = fresh(docs, "id")[0]
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
+    """The documents that copy no item, with their own columns.
+
+    A row is judged by its own text, whatever other rows have its doc_id, or none. Texts of clean
+    documents are not shuffled, but for a few that a Bloom filter of the others cannot tell from them.
+    """
+    bad = staged(_matched(docs, benchmark, MIN_SCORE).select("doc_id", "key").distinct(), "contaminated")
+    doc, digest, met, of, by = fresh(docs, "doc", "digest", "met", "of", "by")
+    keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(digest, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = sieved(keyed, doc, digest, sieve(bad), met)
+    named = bad.select(F.col("doc_id").alias(of), F.col("key").alias(by))
+    clean = keyed.where(met).join(named, F.col(doc).eqNullSafe(F.col(of)) & (F.col(digest) == F.col(by)), "left_anti")
+    return keyed.where(~F.col(met)).select(*own(docs)).unionByName(clean.select(*own(docs)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ vocabulary: each block reads the documents of its own languages once.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import itemgetter
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, staged, table
+from grovespark.llm.common import bounded_batches, small, staged, table
 
 #: Documents of a language that a kept term stands in.
 MIN_DOCS = 10
@@ -34,7 +35,9 @@ SCALE = 1_000_000_000
 BLOCK_TERMS = 500_000
 #: Distinct terms, or counts, that a worker gathers before it sends them on.
 GATHERED = 400_000
-COUNT_CELLS = 4_000_000
+COUNT_CELLS = 16_000_000
+#: Occurrences that a worker counts before it sends the counts on, so that 32 bits hold them.
+COUNT_TERMS = 1 << 30
 #: Cells (source, term) of one matrix of the pair sums.
 MATRIX_CELLS = 1 << 18
 
@@ -89,28 +92,39 @@ class TermAutomaton:
         if terms:
             self.found.make_automaton()
 
-    def count(self, texts: list[bytes]) -> np.ndarray:
-        """Occurrences of each term in all these texts together."""
+    def find(self, texts: list[bytes]) -> np.ndarray:
+        """The number of the term of each occurrence in these texts, one after the other."""
         if not self.terms:
             return np.zeros(0, np.int64)
         # one delimiter between two terms serves both of them
         line = b" ".join([b"", *(t.translate(_NORMAL) for t in texts), b""]).decode("utf-8", "replace")
-        return np.bincount(np.fromiter(map(itemgetter(1), self.found.iter(line)), np.int64), minlength=len(self.terms))
+        return np.fromiter(map(itemgetter(1), self.found.iter(line)), np.int64)
+
+
+#: The automata of one block, by language, that this worker has built; those of an earlier block are let go.
+_built: dict[str, dict[str, TermAutomaton]] = {}
+
+
+def _automata(name: str) -> dict[str, TermAutomaton]:
+    if name not in _built:
+        _built.clear()
+        _built[name] = {}
+    return _built[name]
 
 
 def _recounted(rows: DataFrame, block: dict[str, list[str]]) -> DataFrame:
     """(lang, source, term, count) of the terms of a block, by language, over the rows of its languages."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)  # of BLOCK_TERMS terms on average
+    shared, name = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex  # of BLOCK_TERMS terms on average
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata: dict[str, TermAutomaton] = {}
+        automata, met = _automata(name), 0
         counts: dict[tuple[str, str], np.ndarray] = {}
 
         def sent() -> Iterator[pa.RecordBatch]:
             for (lang, source), all_of in counts.items():
                 some = np.flatnonzero(all_of)
                 terms = pa.array(automata[lang].terms, pa.string()).take(pa.array(some))
-                cols = [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), terms, pa.array(all_of[some], pa.int64())]
+                cols = [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), terms, pa.array(all_of[some].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "count"])
             counts.clear()
 
@@ -121,10 +135,14 @@ def _recounted(rows: DataFrame, block: dict[str, list[str]]) -> DataFrame:
             for key, texts in groups.items():
                 if key[0] not in automata:
                     automata[key[0]] = TermAutomaton(shared.value[key[0]])
-                new = automata[key[0]].count(texts)
-                counts[key] = counts[key] + new if key in counts else new
-                if sum(map(len, counts.values())) > COUNT_CELLS:
-                    yield from sent()
+                if key not in counts:
+                    counts[key] = np.zeros(len(automata[key[0]].terms), np.int32)
+                found = automata[key[0]].find(texts)
+                np.add.at(counts[key], found, 1)
+                met += len(found)
+            if met > COUNT_TERMS or sum(map(len, counts.values())) > COUNT_CELLS:
+                yield from sent()
+                met = 0
         yield from sent()
 
     some = rows.where(F.col("lang").isin(sorted(block)))
@@ -137,7 +155,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, block_terms: int = BLO
     kept = staged(document_frequencies(docs).where(F.col("docs") >= min_docs).select("lang", "term"), "kept")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     before = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)  # a row for each language
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("v").over(before), F.lit(0)))
+    sizes = small(sizes.withColumn("before", F.coalesce(F.sum("v").over(before), F.lit(0))), "sizes")
     # a term's place within its language is drawn from its hash: no sort, and blocks of about the same size
     place = F.col("before") + F.floor(F.col("v") * (F.pmod(F.xxhash64("term"), F.lit(1 << 20)) / (1 << 20)))
     return kept.join(sizes, "lang").select("lang", "term", F.floor(place / block_terms).cast("int").alias("block"))
@@ -200,10 +218,10 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     kept = staged(kept_terms(docs, min_docs, block_terms), "blocks")
     counts = postings(docs, kept)
     sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    vocabulary = small(kept.groupBy("lang").agg(F.count("*").alias("v")), "vocabulary")
     occurring = _text_rows(docs.select("lang", "source", F.lit("").alias("text"))).select("lang", "source").distinct()
     groups = occurring.join(sums, ["lang", "source"], "left").join(vocabulary, "lang", "left").fillna(0, ["n", "v"])
-    groups = staged(groups.withColumn("sources", F.count("*").over(Window.partitionBy("lang"))), "groups")
+    groups = small(groups.withColumn("sources", F.count("*").over(Window.partitionBy("lang"))), "groups")
     with_p = staged(counts.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("count"), F.col("n"), F.col("v"))), "frequencies")
 
     buckets = F.ceil(F.col("v") * F.col("sources") / MATRIX_CELLS).cast("int")
@@ -217,7 +235,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     pairs = sums.select("lang", both, "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
 
     whole = counts.groupBy("lang", "term").agg(F.sum("count").alias("total"))
-    size = counts.groupBy("lang").agg(F.sum("count").alias("all")).join(vocabulary, "lang")
+    size = small(counts.groupBy("lang").agg(F.sum("count").alias("all")).join(vocabulary, "lang"), "languages")
     language = whole.join(size, "lang").select("lang", "term", _p(F.col("total"), F.col("all"), F.col("v")).alias("q"))
     high = with_p.join(language, ["lang", "term"]).where("p > q")
     terms = high.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))

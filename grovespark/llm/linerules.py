@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import staged, table
+from grovespark.llm.common import own, staged, table
 
 MIN_WORDS = 20
 #: Percent of words in repeated windows above which a text fails.
@@ -126,7 +126,7 @@ def lost_words(docs: DataFrame, limit: int = MAX_DOCS_PER_LINE, percent: int = M
 
 def _judged(docs: DataFrame, limit: int, percent: int) -> DataFrame:
     """(row, what base() and the lines say): each document whole in one column, so that no name of its own can clash."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source")
+    packed = docs.select(F.struct(*own(docs)).alias("row"), "doc_id", "text", "source")
     text = F.coalesce(F.col("text"), F.lit(""))
     rules = base(packed).withColumn("_key", F.struct(F.coalesce(F.col("source"), F.lit("")).alias("h"), F.xxhash64(text).alias("t")))
     depleted = F.coalesce(100 * (F.col("_n_words") - F.col("_lost")) < MIN_SURVIVING_PERCENT * F.col("_n_words"), F.lit(False))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, table
+from grovespark.llm.common import bounded_batches, own, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "secret", "ssn", "local_phone")
@@ -188,7 +188,7 @@ def mask(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("text", rewrite("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*own(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

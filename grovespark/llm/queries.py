@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from grovespark.llm import blocks, bytebpe, decontam, divergence, fm, lexical, linerules, packing, pii, simhash, urllists, warc, wordpiece
 
 
@@ -22,7 +20,6 @@ def queries() -> dict:
         "op11_source_divergence": divergence.query,
         "op12_byte_bpe": bytebpe.query,
         "op13_lexical_search": lexical.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 

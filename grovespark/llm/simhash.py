@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, fresh, staged, table
+from grovespark.llm.common import bounded_batches, fresh, own, staged, table
 
 SHINGLE = 3
 SEED = 42
@@ -187,7 +187,7 @@ def first_of_components(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> D
     named = marks.select(F.col("doc_id").alias(of), F.col("key").alias(by), F.col("mark").alias(mark))
     some = keyed.where(met).join(named, F.col(doc).eqNullSafe(F.col(of)) & (F.col(digest) == F.col(by)), "left")
     once = some.where(F.col(mark) == "once").dropDuplicates([doc, digest])
-    return keyed.where(~F.col(met)).select(*docs.columns).unionByName(some.where(F.col(mark).isNull()).select(*docs.columns)).unionByName(once.select(*docs.columns))
+    return keyed.where(~F.col(met)).select(*own(docs)).unionByName(some.where(F.col(mark).isNull()).select(*own(docs))).unionByName(once.select(*own(docs)))
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:

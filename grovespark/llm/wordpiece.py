@@ -104,8 +104,9 @@ def default_tokenizer() -> str:
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens, longest_word_tokens) of each row of docs (doc_id, text).
 
-    A word is a run of what is not ASCII white space; its pieces cover a space and its bytes. Null and
-    empty texts count zero.
+    A word is a run of what is not ASCII white space; its pieces cover a space and its bytes. A word
+    that no sequence of pieces covers, which longest matches cannot go on in, is one unknown piece, as in
+    WordPiece. Null and empty texts count zero.
     """
     path = tokenizer or default_tokenizer()
     bounded_batches(docs.sparkSession)
@@ -118,7 +119,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 words = (text or "").encode("utf-8", "replace").split()
                 new = set(words).difference(known)
                 for w in new:
-                    known[w] = count(b" " + w)
+                    known[w] = count(b" " + w) or 1  # none covers it: one unknown piece
                 counts = list(map(known.__getitem__, words))
                 if len(known) > CACHE_WORDS:  # words met early are the frequent ones and stay
                     for w in new:

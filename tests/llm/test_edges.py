@@ -28,7 +28,7 @@ def docs(spark):
     df = spark.createDataFrame(rows, DOC)
     for extra in ("kept", "score", "length", "n", "key", "spans", "component_id", "fp", "sig", *"_id _doc _rows _words _key _kept _lost _hashes _n_words _again quality row met mark slot map id doc digest of by bucket node item_id".split()):
         df = df.withColumn(extra, F.lit("extra"))
-    return df
+    return df.withColumn("a.b", F.lit("extra")).withColumn("back`tick", F.lit("extra"))
 
 
 @pytest.fixture(scope="module")
