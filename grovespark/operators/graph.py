@@ -6,7 +6,11 @@ together, so the number of rounds is that of the worst graph, not their sum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovespark.functions.loops import written
@@ -121,15 +125,94 @@ def bfs(vertices: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached
 
 
+#: Vertices (by number) that one row of work of core_numbers has, and neighbours from which on a vertex is one of its own.
+CORE_BLOCK = 20_000
+HEAVY = 100_000
+
+
+def core_numbers(vertices: DataFrame, edges: DataFrame, block: int = CORE_BLOCK, heavy: int = HEAVY) -> DataFrame:
+    """(graph_id, v, core): the largest k for which v is in the k-core.
+
+    A core number is the largest h such that h neighbours have h or more; degrees are a first bound, and
+    bounds that are lowered so until nothing changes are the core numbers, in any order of the steps
+    (Lue et al., 2016). A round lowers all vertices of a block as far as they go while those of other
+    blocks stay, by peeling it. So a graph within one block takes one round, others as many as changes
+    cross from block to block; finished graphs take part no more. A vertex of very many neighbours is
+    lowered by counts of these, never gathered.
+    """
+    deg = written(degrees(vertices.select(*V).distinct(), edges))
+    adj = adjacency(edges).join(deg.select("graph_id", F.col("v").alias("src"), F.col("degree").alias("own")), ["graph_id", "src"])
+    adj = written(adj.select("graph_id", F.when(F.col("own") <= heavy, F.floor(F.col("src") / block)).alias("block"), "src", "dst"))
+    now = deg.select(*V, F.col("degree").cast("int").alias("core"))
+    units = adj.groupBy("graph_id").agg(F.count_distinct(F.coalesce("block", -F.col("src") - 1)).alias("k"))
+    crossed = not units.where("k > 1").isEmpty()
+    while True:
+        heard = adj.join(now.select("graph_id", F.col("v").alias("dst"), "core"), ["graph_id", "dst"])
+        rows = heard.where("block IS NOT NULL").groupBy("graph_id", "block").agg(F.collect_list(F.struct("src", "dst", "core")).alias("all"))
+        lowered = rows.select("graph_id", "all").mapInArrow(_peeled, "graph_id string, v int, core int")
+        counts = heard.where("block IS NULL").groupBy("graph_id", "src", "core").agg(F.count("*").alias("n"))
+        more = F.sum("n").over(Window.partitionBy("graph_id", "src").orderBy(F.desc("core")))
+        hubs = counts.withColumn("h", F.least(F.col("core"), more)).groupBy("graph_id", F.col("src").alias("v")).agg(F.max("h").cast("int").alias("core"))
+        new = lowered.unionAll(hubs).withColumnRenamed("core", "new")
+        step = written(now.join(new, V, "left").select(*V, F.least("core", F.coalesce("new", "core")).alias("core"), F.coalesce(F.col("new") < F.col("core"), F.lit(False)).alias("moved")))
+        now = step.select(*V, "core")
+        if not crossed or step.where("moved").isEmpty():
+            return now
+
+
+def _peeled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greatest bounds within blocks, whose rows are (vertex, neighbour, bound of that): vertices are taken off by rising k, a neighbour outside once k passes its bound."""
+    for batch in batches:
+        graphs, vs, cores = [], [], []
+        for graph_id, all_ in zip(batch.column("graph_id").to_pylist(), batch.column("all")):
+            src, dst, bound = (all_.values.field(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "core"))
+            names, own = np.unique(src, return_inverse=True)
+            place = np.searchsorted(names, dst)
+            inside = names[np.minimum(place, len(names) - 1)] == dst
+            left = np.bincount(own, minlength=len(names))
+            order = np.argsort(own[inside], kind="stable")
+            beside, starts = place[inside][order].tolist(), np.searchsorted(own[inside][order], np.arange(len(names) + 1)).tolist()
+            ends = sorted(zip(bound[~inside].tolist(), own[~inside].tolist()))
+            found, at = [-1] * len(names), 0
+            # vertices by what is left around them; a count only falls, so stale places are passed over
+            buckets: dict[int, list[int]] = {}
+            for v, k in enumerate(left.tolist()):
+                buckets.setdefault(k, []).append(v)
+            around, k, gone = left.tolist(), 0, 0
+            while gone < len(names):
+                while at < len(ends) and ends[at][0] < k:
+                    v = ends[at][1]
+                    at += 1
+                    if found[v] < 0:
+                        around[v] -= 1
+                        buckets.setdefault(max(around[v], k - 1), []).append(v)
+                # all with fewer than k left have core k - 1
+                for low in (k - 1, *([0] if k == 1 else [])):
+                    todo = buckets.pop(low, [])
+                    while todo:
+                        v = todo.pop()
+                        if found[v] >= 0 or around[v] >= k:
+                            continue
+                        found[v] = k - 1
+                        gone += 1
+                        for w in beside[starts[v] : starts[v + 1]]:
+                            if found[w] < 0:
+                                around[w] -= 1
+                                if around[w] < k:
+                                    todo.append(w)
+                                else:
+                                    buckets.setdefault(around[w], []).append(w)
+                k += 1
+            graphs += [graph_id] * len(names)
+            vs.append(names)
+            cores += found
+        yield pa.RecordBatch.from_arrays([pa.array(graphs, pa.string()), pa.array(np.concatenate([*vs, np.empty(0, np.int32)]).astype(np.int32)), pa.array(cores, pa.int32())], names=["graph_id", "v", "core"])
+
+
 def k_core(vertices: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) left after vertices of degree below k are taken off until none is; graphs without any such vertex stay whole."""
-    kept, left = written(vertices.select(*V).distinct()), written(edges)
-    while True:
-        low = written(degrees(kept, left).where(F.col("degree") < k).select(*V))
-        if low.isEmpty():
-            return kept, left
-        kept = written(kept.join(low, V, "left_anti"))
-        left = written(induced(left, kept))
+    kept = written(core_numbers(vertices, edges).where(F.col("core") >= k).select(*V))
+    return kept, induced(edges, kept)
 
 
 def core_components(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:

@@ -64,6 +64,15 @@ def small_treedepth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return small_roots(vertices, edges).drop("root")
 
 
+def batch_treedepth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, n, td) of graphs of any size: those of at most SMALL vertices by the table, the others by the solver."""
+    size = vertices.groupBy("graph_id").agg(F.count_distinct("v").alias("n"))
+    large = size.where(F.col("n") > SMALL).select("graph_id")
+    part = lambda df, how: df.join(large, "graph_id", how)
+    solved = kernels.solve(part(vertices, "left_semi"), part(edges, "left_semi")).select("graph_id", "n", "td")
+    return small_treedepth(part(vertices, "left_anti"), part(edges, "left_anti")).unionByName(solved)
+
+
 def small_roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """small_treedepth with root, the least vertex that some best tree of the deepest component may start with."""
     ids = vertices.groupBy("graph_id").agg(F.array_sort(F.collect_set("v")).alias("vs"))
@@ -108,15 +117,7 @@ def greedy_upper(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def core_lower(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, lower): one more than the largest k with a k-core."""
-    kept, left, k = vertices, edges, 0
-    lower = None
-    while True:
-        kept, left = graph.k_core(kept, left, k)
-        here = written(kept.select("graph_id").distinct().withColumn("lower", F.lit(k + 1)))
-        if here.isEmpty():
-            return lower
-        lower = here if lower is None else written(lower.union(here).groupBy("graph_id").agg(F.max("lower").alias("lower")))
-        k += 1
+    return graph.core_numbers(vertices, edges).groupBy("graph_id").agg((F.max("core") + 1).alias("lower"))
 
 
 def fixpoint(vertices: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:

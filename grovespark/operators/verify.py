@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovespark.functions.loops import written
 
+#: Joins of one plan when edges climb.
+JOINS = 8
+
 
 def ancestors(tree: DataFrame) -> DataFrame:
     """(graph_id, v, ancestor, up, top): every vertex with itself and all above it; top if that is a root.
@@ -30,29 +35,82 @@ def ancestors(tree: DataFrame) -> DataFrame:
     return written(pairs.join(roots, ["graph_id", "ancestor"], "left").select("graph_id", "v", "ancestor", "up", F.coalesce("top", F.lit(False)).alias("top")))
 
 
-def is_tree(tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
-    """(graph_id, is_tree): every vertex reaches a root, no vertex has two parents; several roots are fine. above: the ancestors, if known."""
-    reached = (ancestors(tree) if above is None else above).where("top").groupBy("graph_id").agg(F.count_distinct("v").alias("k"))
-    return tree.groupBy("graph_id").agg(F.count("*").alias("n"), F.count_distinct("v").alias("d")).join(reached, "graph_id", "left").select("graph_id", ((F.col("n") == F.coalesce("k", F.lit(0))) & (F.col("n") == F.col("d"))).alias("is_tree"))
+@dataclass
+class Climb:
+    """What a forest's vertices reach: placed(graph_id, v, depth), depth 1 for roots and null where no root is reached, and for each k the vertex 2**k above, jumps[k](graph_id, v, far)."""
+
+    placed: DataFrame
+    jumps: list[DataFrame]
+
+
+def climb(tree: DataFrame) -> Climb:
+    """Depths of a forest by pointer doubling: round k knows the vertex 2**k above each, and the depth of those that have none.
+
+    Each table has a row a vertex at most, so a forest of depth d costs its vertices times log2(d).
+    Vertices on a cycle stay until 2**k passes the size of their graph. Graphs where a vertex has two
+    parents are not climbed.
+    """
+    rows = tree.groupBy("graph_id", "v").agg(F.min("parent").alias("parent"), F.count("*").alias("k"))
+    broken = rows.where("k > 1").select("graph_id").distinct()
+    rows = written(rows.join(broken, "graph_id", "left_anti").select("graph_id", "v", "parent"))
+    most = rows.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    done = rows.where("parent = 0").select("graph_id", "v", F.lit(1).cast("long").alias("depth"))
+    jump = rows.where("parent != 0").select("graph_id", "v", F.col("parent").alias("far"))
+    jumps, step = [], 1
+    while True:
+        # far is at depth 2**k at most where it is known by now; all others are 2**k higher than their far
+        at = done.select("graph_id", F.col("v").alias("far"), "depth")
+        met = jump.join(at, ["graph_id", "far"], "left")
+        next_ = jump.select("graph_id", F.col("v").alias("far"), F.col("far").alias("next"))
+        now = written(met.join(next_, ["graph_id", "far"], "left").select("graph_id", "v", "far", (F.col("depth") + step).alias("depth"), "next"))
+        jumps.append(now.select("graph_id", "v", "far"))
+        done = done.unionAll(now.where("depth IS NOT NULL").select("graph_id", "v", "depth"))
+        jump = now.where("depth IS NULL AND next IS NOT NULL").select("graph_id", "v", F.col("next").alias("far"))
+        step *= 2
+        if step > most or jump.isEmpty():
+            break
+    placed = tree.select("graph_id", "v").distinct().join(done, ["graph_id", "v"], "left")
+    return Climb(written(placed), jumps)
+
 
+def is_tree(tree: DataFrame, up: Climb | None = None) -> DataFrame:
+    """(graph_id, is_tree): every vertex reaches a root, no vertex has two parents; several roots are fine. up: the climb, if known."""
+    reached = (climb(tree) if up is None else up).placed.groupBy("graph_id").agg(F.count("depth").alias("k"))
+    return tree.groupBy("graph_id").agg(F.count("*").alias("n")).join(reached, "graph_id").select("graph_id", (F.col("n") == F.col("k")).alias("is_tree"))
 
-def tree_depth(tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
-    """(graph_id, depth) in vertices."""
-    return (ancestors(tree) if above is None else above).where("top").groupBy("graph_id").agg((F.max("up") + 1).cast("int").alias("depth"))
 
+def tree_depth(tree: DataFrame, up: Climb | None = None) -> DataFrame:
+    """(graph_id, depth) in vertices, of those that reach a root; no row for graphs without any."""
+    return (climb(tree) if up is None else up).placed.groupBy("graph_id").agg(F.max("depth").cast("int").alias("depth")).where("depth IS NOT NULL")
 
-def uncovered_edges(edges: DataFrame, tree: DataFrame, above: DataFrame | None = None) -> DataFrame:
-    """Edges whose ends are not ancestor and descendant."""
-    pairs = (ancestors(tree) if above is None else above).select("graph_id", F.least("v", "ancestor").alias("u"), F.greatest("v", "ancestor").alias("v")).distinct()
-    return edges.join(pairs, ["graph_id", "u", "v"], "left_anti")
+
+def uncovered_edges(edges: DataFrame, tree: DataFrame, up: Climb | None = None) -> DataFrame:
+    """Edges whose ends are not ancestor and descendant.
+
+    The deeper end of each edge climbs by the difference of depths, one join for each power of two in it,
+    and must arrive at the other.
+    """
+    up = climb(tree) if up is None else up
+    at = lambda c: up.placed.select("graph_id", F.col("v").alias(c), F.col("depth").alias(f"d{c}"))
+    both = edges.select("graph_id", "u", "v").join(at("u"), ["graph_id", "u"], "left").join(at("v"), ["graph_id", "v"], "left")
+    lower = F.col("du") > F.col("dv")
+    now = both.select("graph_id", "u", "v", F.when(lower, F.col("u")).otherwise(F.col("v")).alias("at"), F.when(lower, F.col("v")).otherwise(F.col("u")).alias("to"), F.abs(F.col("du") - F.col("dv")).alias("left"))
+    for k, jump in enumerate(up.jumps):
+        jump = jump.select("graph_id", F.col("v").alias("from"), F.col("far"))
+        on = (F.col("e.graph_id") == F.col("j.graph_id")) & (F.when((F.col("e.left").bitwiseAND(1 << k)) != 0, F.col("e.at")) == F.col("j.from"))
+        now = now.alias("e").join(jump.alias("j"), on, "left").select("e.graph_id", "e.u", "e.v", F.coalesce("j.far", "e.at").alias("at"), "e.to", "e.left")
+        if k % JOINS == JOINS - 1:
+            now = written(now)
+    return now.where(~F.coalesce(F.col("at") == F.col("to"), F.lit(False)) | F.col("left").isNull()).select("graph_id", "u", "v")
 
 
 def verify(vertices: DataFrame, edges: DataFrame, tree: DataFrame, declared: DataFrame) -> DataFrame:
     """(graph_id, ok, reason, declared, actual): vertex sets equal, a forest, all edges covered, depth as declared. Optimality is not checked."""
-    key, above = ["graph_id"], ancestors(tree)
-    extra = vertices.select("graph_id", "v").join(tree, ["graph_id", "v"], "left_anti").union(tree.select("graph_id", "v").join(vertices, ["graph_id", "v"], "left_anti")).select("graph_id").distinct().withColumn("_v", F.lit(True))
-    bad = uncovered_edges(edges, tree, above).select("graph_id").distinct().withColumn("_e", F.lit(True))
-    all_ = vertices.select("graph_id").distinct().join(extra, key, "left").join(is_tree(tree, above), key, "left").join(bad, key, "left").join(tree_depth(tree, above), key, "left").join(declared.select("graph_id", F.col("depth").alias("declared")), key, "left")
+    key, up = ["graph_id"], climb(tree)
+    both = vertices.select("graph_id", "v", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(tree.select("graph_id", "v", F.lit(0), F.lit(1)))
+    extra = both.groupBy("graph_id", "v").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a != b").select("graph_id").distinct().withColumn("_v", F.lit(True))
+    bad = uncovered_edges(edges, tree, up).select("graph_id").distinct().withColumn("_e", F.lit(True))
+    all_ = vertices.select("graph_id").distinct().join(extra, key, "left").join(is_tree(tree, up), key, "left").join(bad, key, "left").join(tree_depth(tree, up), key, "left").join(declared.select("graph_id", F.col("depth").alias("declared")), key, "left")
     reason = (
         F.when(F.col("_v"), "vertices").when(~F.coalesce("is_tree", F.lit(False)), "tree").when(F.col("_e"), "edge")
         .when(~F.col("declared").eqNullSafe(F.col("depth")), "depth")

@@ -51,6 +51,14 @@ def _solved(vertices, edges):
     return verify.verify(vertices, edges, kernels.trees(solved), solved.select("graph_id", F.col("td").alias("depth"))).select("graph_id", "ok")
 
 
+def _below_roots(vertices, edges):
+    """Depth of the trees that start with the roots of closed forms, by solving what is left without them."""
+    roots = written(treedepth.closed_roots(vertices, edges))
+    left = vertices.join(roots.withColumnRenamed("root", "v"), ["graph_id", "v"], "left_anti").join(roots, "graph_id", "left_semi")
+    below = kernels.solve(left, graph.induced(edges, left)).select("graph_id", "td")
+    return roots.join(below, "graph_id", "left").select("graph_id", (F.coalesce("td", F.lit(0)) + 1).alias("td"))
+
+
 def _tree_digest(vertices, edges):
     """Depth of each solver's tree, and edges that it does not cover."""
     vertices, edges = positive(vertices, edges)
@@ -147,7 +155,7 @@ def _by_component(vertices, edges):
 
 QUERIES = {
     "td_region": _on(treedepth.small_treedepth, tables.region_graphs),
-    "td_small_batch": _on(treedepth.small_treedepth, tables.order_graphs),
+    "td_small_batch": _on(treedepth.batch_treedepth, tables.order_graphs),
     "canonical_edges": _on(lambda v, e: graph.canonical_edges(graph.adjacency(e), "src", "dst")),
     "adjacency": _on(lambda v, e: graph.adjacency(e)),
     "degree": _on(graph.degrees),
@@ -196,8 +204,11 @@ QUERIES = {
     "td_core_lower": _on(treedepth.core_lower, tables.region_graphs),
     "td_greedy_upper": _on(treedepth.greedy_upper, tables.region_graphs),
     "td_tree": lambda spark, d: kernels.tree_treedepth(*_bfs_tree(*tables.region_graphs(spark, d))).select("graph_id", "td"),
-    "small_roots": _on(lambda v, e: treedepth.small_roots(v, e).select("graph_id", "n", "td", "root"), tables.region_graphs),
-    "closed_roots": _on(treedepth.closed_roots, tables.order_graphs),
+    "small_roots": _on(lambda v, e: treedepth.small_roots(v, e).select("graph_id", "n", "td", "root"), tables.order_graphs),
+    "closed_roots": _on(_below_roots, tables.order_graphs),
+    "core_numbers": _on(graph.core_numbers),
+    "copart_core_numbers": _on(graph.core_numbers, tables.copart_graph),
+    "td_core_lower_windows": _on(treedepth.core_lower),
     "td_brute_force": _on(kernels.brute_force, tables.region_graphs),
     "td_fixpoint": _on(treedepth.fixpoint, tables.region_graphs),
     "td_solve": _on(lambda v, e: kernels.solve(v, e).select("graph_id", "n", "td"), tables.region_graphs),
@@ -257,31 +268,31 @@ x{i + 1} AS MATERIALIZED (SELECT graph_id, v, y / sqrt(sum(y * y) OVER (PARTITIO
     return G + out + " SELECT graph_id, v, round(x, 6) AS score FROM x8"
 
 
-def _mask_dp(prefix: str, vertices: str, edges: str, where: str = "", greedy: bool = False) -> str:
-    """Treedepth of graphs of at most five vertices by definition, over masks of vertices by size; greedy: the first vertex of most neighbours goes instead of the best."""
+def _mask_dp(prefix: str, vertices: str, edges: str, where: str = "", greedy: bool = False, most: int = 5) -> str:
+    """Treedepth of graphs of at most so many vertices by definition, over masks of vertices by size; fc has the component of each mask's least vertex; greedy: the first vertex of most neighbours goes instead of the best."""
     pick = " JOIN hub ON hub.graph_id = s.graph_id AND hub.mask = s.mask AND hub.i = vi.i" if greedy else ""
     parts = f"""{prefix},
 vi AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v) - 1 AS i FROM {vertices}),
 nn AS (SELECT graph_id, count(*) AS n FROM vi GROUP BY 1),
 nb AS (SELECT a.graph_id, a.i, bit_or(1 << b.i) AS nb FROM {edges} e JOIN vi a ON a.graph_id = e.graph_id AND a.v = src JOIN vi b ON b.graph_id = e.graph_id AND b.v = dst GROUP BY 1, 2),
 m AS (SELECT graph_id, unnest(range(1, 1 << n)) AS mask FROM nn),
-f0 AS (SELECT graph_id, mask, mask & -mask AS c FROM m)"""
-    for k in range(4):
-        parts += f""",
-f{k + 1} AS MATERIALIZED (SELECT f.graph_id, f.mask, f.c | coalesce(bit_or(nb & f.mask), 0) AS c FROM f{k} f LEFT JOIN nb ON nb.graph_id = f.graph_id AND (f.c >> nb.i) & 1 = 1 GROUP BY f.graph_id, f.mask, f.c)"""
+fl AS (
+  SELECT graph_id, mask, mask & -mask AS c FROM m
+  UNION SELECT f.graph_id, f.mask, f.c | coalesce(bit_or(nb & f.mask), 0) FROM fl f LEFT JOIN nb ON nb.graph_id = f.graph_id AND (f.c >> nb.i) & 1 = 1 GROUP BY f.graph_id, f.mask, f.c),
+fc AS MATERIALIZED (SELECT graph_id, mask, max(c) AS c FROM fl GROUP BY 1, 2)"""
     if greedy:
         parts += """,
 dg AS (SELECT m.graph_id, m.mask, vi.i, bit_count(coalesce(nb.nb, 0) & m.mask) AS d FROM m JOIN vi ON vi.graph_id = m.graph_id AND (m.mask >> vi.i) & 1 = 1 LEFT JOIN nb ON nb.graph_id = vi.graph_id AND nb.i = vi.i),
 hub AS MATERIALIZED (SELECT graph_id, mask, i FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, mask ORDER BY d DESC, i) AS k FROM dg) WHERE k = 1)"""
     parts += ", t1 AS (SELECT graph_id, mask, 1 AS t FROM m WHERE bit_count(mask) = 1)"
-    for k in range(2, 6):
+    for k in range(2, most + 1):
         parts += f""",
-s{k} AS (SELECT * FROM f4 WHERE bit_count(mask) = {k}),
+s{k} AS (SELECT * FROM fc WHERE bit_count(mask) = {k}),
 t{k} AS MATERIALIZED (
   SELECT * FROM t{k - 1}
   UNION ALL SELECT s.graph_id, s.mask, 1 + min(t.t) FROM s{k} s JOIN vi ON vi.graph_id = s.graph_id AND (s.mask >> vi.i) & 1 = 1{pick} JOIN t{k - 1} t ON t.graph_id = s.graph_id AND t.mask = xor(s.mask, (1 << vi.i)::BIGINT) WHERE s.c = s.mask GROUP BY 1, 2
   UNION ALL SELECT s.graph_id, s.mask, greatest(a.t, b.t) FROM s{k} s JOIN t{k - 1} a ON a.graph_id = s.graph_id AND a.mask = s.c JOIN t{k - 1} b ON b.graph_id = s.graph_id AND b.mask = xor(s.mask, s.c) WHERE s.c <> s.mask)"""
-    return parts + " SELECT nn.graph_id, nn.n::INT AS n, t.t::INT AS td FROM nn JOIN t5 t ON t.graph_id = nn.graph_id AND t.mask = (1 << nn.n) - 1 JOIN f4 ON f4.graph_id = nn.graph_id AND f4.mask = t.mask" + where
+    return parts + " SELECT nn.graph_id, nn.n::INT AS n, t.t::INT AS td FROM nn JOIN t" + str(most) + " t ON t.graph_id = nn.graph_id AND t.mask = (1 << nn.n) - 1 JOIN fc ON fc.graph_id = nn.graph_id AND fc.mask = t.mask" + where
 
 
 REGIONS = G + ", rv AS (SELECT * FROM gv WHERE graph_id LIKE 'region%'), re AS (SELECT * FROM adj WHERE graph_id LIKE 'region%')"
@@ -293,8 +304,10 @@ NUMBERED = G + ", num AS (SELECT graph_id, v, row_number() OVER (PARTITION BY gr
 TIMINGS = "WITH r AS (SELECT o_orderpriority AS run, (o_custkey % 500)::VARCHAR AS instance, (o_orderkey % 23)::INT - 1 AS td, (o_orderkey % 1024)::DOUBLE / 8 AS seconds FROM orders)"
 ORDERS = """WITH RECURSIVE
 ol AS (SELECT DISTINCT l_orderkey::VARCHAR AS graph_id, l_suppkey::INT AS v, s_nationkey AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
-ov AS (SELECT graph_id, v, k FROM ol WHERE graph_id IN (SELECT graph_id FROM ol GROUP BY 1 HAVING count(*) <= 5)),
-oe AS (SELECT a.graph_id, a.v AS src, b.v AS dst FROM ov a JOIN ov b ON a.graph_id = b.graph_id AND a.v <> b.v AND abs(a.k - b.k) <= 4)"""
+ov AS (SELECT graph_id, v, k FROM ol),
+oe AS MATERIALIZED (SELECT a.graph_id, a.v AS src, b.v AS dst FROM ov a JOIN ov b ON a.graph_id = b.graph_id AND a.v <> b.v AND abs(a.k - b.k) <= 4)"""
+#: Suppliers of the largest order.
+MOST = 16
 COPART = """WITH RECURSIVE
 p AS (SELECT DISTINCT l_orderkey AS o, l_partkey::INT AS p FROM lineitem),
 pe AS (SELECT 'copart' AS graph_id, a.p AS u, b.p AS v FROM p a JOIN p b ON a.o = b.o AND a.p < b.p GROUP BY 2, 3 HAVING count(*) >= 2),
@@ -359,12 +372,12 @@ SELECT graph_id, n AS group_size, orbits FROM (SELECT graph_id, count(*) AS n FR
 
 ORACLES = {
     "td_solve": _mask_dp(REGIONS, "rv", "re"),
-    "small_td_table": "SELECT n, split_part(graph_id, '_', 2)::BIGINT AS edge_mask, td FROM (" + _mask_dp(SMALL, "sv", "se", " WHERE f4.c = f4.mask") + ")",
+    "small_td_table": "SELECT n, split_part(graph_id, '_', 2)::BIGINT AS edge_mask, td FROM (" + _mask_dp(SMALL, "sv", "se", " WHERE fc.c = fc.mask") + ")",
     "minimal_separators_region": SEPARATORS.replace("{}", "true"),
     "fm_separators_region": SEPARATORS.replace("{}", "whole = parts"),
     "automorphism_count": AUTOMORPHISMS,
     "td_region": _mask_dp(REGIONS, "rv", "re"),
-    "td_small_batch": _mask_dp(ORDERS, "ov", "oe"),
+    "td_small_batch": _mask_dp(ORDERS, "ov", "oe", most=MOST),
     "td_brute_force": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS, "rv", "re") + ")",
     "td_fixpoint": "SELECT graph_id, td FROM (" + _mask_dp(REGIONS, "rv", "re") + ")",
     "canonical_edges": G + " SELECT * FROM ge",
@@ -456,7 +469,35 @@ te AS (SELECT graph_id, v AS src, parent AS dst FROM up UNION ALL SELECT graph_i
 }
 ORACLES["separator_batches"] = "SELECT graph_id, (k // 2)::INT AS batch, count(*) AS n FROM (SELECT graph_id, row_number() OVER (PARTITION BY graph_id) - 1 AS k FROM (" + ORACLES["minimal_separators_region"] + ")) GROUP BY 1, 2"
 ORACLES["td_window"] = "SELECT graph_id, td <= 2 AS low, td >= 3 AS high FROM (" + ORACLES["td_small_batch"] + ")"
-ORACLES["rooted_bounds"] = ORACLES["td_small_batch"].rsplit(" SELECT nn.graph_id", 1)[0] + """,
-own AS (SELECT vi.graph_id, vi.v, vi.i, arg_max(f4.mask, bit_count(f4.mask)) AS mask FROM vi JOIN f4 ON f4.graph_id = vi.graph_id AND f4.c = f4.mask AND (f4.mask >> vi.i) & 1 = 1 GROUP BY 1, 2, 3)
-SELECT own.graph_id, own.v, (1 + coalesce(t.t, 0))::INT AS lower, (1 + coalesce(t.t, 0))::INT AS upper FROM own LEFT JOIN t5 t ON t.graph_id = own.graph_id AND t.mask = xor(own.mask, (1 << own.i)::BIGINT)"""
+OWN = ORACLES["td_small_batch"].rsplit(" SELECT nn.graph_id", 1)[0] + f""",
+own AS (SELECT vi.graph_id, vi.v, vi.i, arg_max(fc.mask, bit_count(fc.mask)) AS mask FROM vi JOIN fc ON fc.graph_id = vi.graph_id AND fc.c = fc.mask AND (fc.mask >> vi.i) & 1 = 1 GROUP BY 1, 2, 3),
+rb AS (SELECT own.graph_id, own.v, own.mask, (1 + coalesce(t.t, 0))::INT AS depth FROM own LEFT JOIN t{MOST} t ON t.graph_id = own.graph_id AND t.mask = xor(own.mask, (1 << own.i)::BIGINT))"""
+ORACLES["rooted_bounds"] = OWN + " SELECT graph_id, v, depth AS lower, depth AS upper FROM rb"
+#: Of the components of the greatest depth the first; of its vertices the first that starts a best tree.
+ORACLES["small_roots"] = OWN + """,
+cd AS (SELECT graph_id, mask, min(depth) AS td FROM rb GROUP BY 1, 2),
+deep AS (SELECT graph_id, max(td) AS td, arg_min(mask, (64 - td)::BIGINT * 4294967296 + (mask & -mask)) AS mask FROM cd GROUP BY 1)
+SELECT deep.graph_id, nn.n::INT AS n, deep.td, min(rb.v)::INT AS root FROM deep JOIN nn USING (graph_id) JOIN rb ON rb.graph_id = deep.graph_id AND rb.mask = deep.mask AND rb.depth = deep.td WHERE nn.n <= 5 GROUP BY 1, 2, 3"""
+ORACLES["closed_roots"] = OWN + """,
+dg AS (SELECT ov.graph_id, ov.v, count(dst) AS d FROM ov LEFT JOIN oe ON oe.graph_id = ov.graph_id AND src = ov.v GROUP BY 1, 2),
+sh AS (SELECT graph_id, count(*) AS n, sum(d) // 2 AS m, min(d) AS low, max(d) AS high FROM dg GROUP BY 1),
+whole AS (SELECT graph_id, max(depth) AS most, min(depth) AS td, count(DISTINCT mask) AS parts FROM rb GROUP BY 1)
+SELECT graph_id, td FROM sh JOIN whole USING (graph_id) WHERE parts = 1 AND (m = n * (n - 1) // 2 OR m = n - 1 OR (m = n AND low = 2 AND high = 2))"""
 ORACLES["articulation_copies"] = "SELECT * FROM (" + ORACLES["articulation"] + ") WHERE graph_id NOT LIKE 'w%'"
+
+
+def _cores(prefix: str, rounds: int, layers: int) -> str:
+    """Core numbers by peeling for one k after another, unrolled; more rounds and layers than these graphs need."""
+    out, before = prefix, "SELECT graph_id, v FROM gv"
+    for k in range(1, layers + 1):
+        out += f", p{k}_0 AS ({before})"
+        for i in range(rounds):
+            out += f""",
+p{k}_{i + 1} AS MATERIALIZED (SELECT c.graph_id, c.v FROM p{k}_{i} c JOIN adj ON adj.graph_id = c.graph_id AND src = c.v JOIN p{k}_{i} d ON d.graph_id = c.graph_id AND d.v = dst GROUP BY 1, 2 HAVING count(*) >= {k})"""
+        before = f"SELECT * FROM p{k}_{rounds}"
+    return out + f", cn AS (SELECT gv.graph_id, gv.v, ({' + '.join(f'(EXISTS (SELECT 1 FROM p{k}_{rounds} p WHERE p.graph_id = gv.graph_id AND p.v = gv.v))::INT' for k in range(1, layers + 1))})::INT AS core FROM gv)"
+
+
+ORACLES["core_numbers"] = _cores(G, 25, 14) + " SELECT * FROM cn"
+ORACLES["copart_core_numbers"] = _cores(COPART, 40, 12) + " SELECT * FROM cn"
+ORACLES["td_core_lower_windows"] = _cores(G, 25, 14) + " SELECT graph_id, (max(core) + 1)::INT AS lower FROM cn GROUP BY 1"

@@ -65,14 +65,14 @@ def region_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return vertices.where("graph_id != 'trade'"), edges.where("graph_id != 'trade'")
 
 
-def order_graphs(spark: SparkSession, sf_dir: str, most: int = 5) -> tuple[DataFrame, DataFrame]:
-    """A graph per order of at most most suppliers: these are the vertices, joined if their nations' numbers differ by 4 or less."""
+def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph per order: its suppliers, joined if their nations' numbers differ by 4 or less."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("graph_id"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     lines = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-    few = lines.groupBy("graph_id").agg(F.array_sort(F.collect_set(F.struct(F.col("s_suppkey").cast("int").alias("v"), F.col("s_nationkey").alias("k")))).alias("x")).where(F.size("x") <= most)
-    few = written(few)
-    vertices = few.select("graph_id", F.explode("x.v").alias("v"))
-    pairs = few.select("graph_id", F.explode("x").alias("p"), "x").select("graph_id", "p", F.explode("x").alias("q")).where("p.v < q.v AND abs(p.k - q.k) <= 4")
+    orders = lines.groupBy("graph_id").agg(F.array_sort(F.collect_set(F.struct(F.col("s_suppkey").cast("int").alias("v"), F.col("s_nationkey").alias("k")))).alias("x"))  # the lines of one order
+    orders = written(orders)
+    vertices = orders.select("graph_id", F.explode("x.v").alias("v"))
+    pairs = orders.select("graph_id", F.explode("x").alias("p"), "x").select("graph_id", "p", F.explode("x").alias("q")).where("p.v < q.v AND abs(p.k - q.k) <= 4")
     return vertices, pairs.select("graph_id", F.col("p.v").alias("u"), F.col("q.v").alias("v"))
 
 
