@@ -274,6 +274,51 @@ def elimination_parents(nb: list[int], mask: int, weight: float, rng: random.Ran
     return max(height.values()), {v: min(bits(beside), key=when.__getitem__) if beside else -1 for v, beside in gone}
 
 
+def closed_form(nb: list[int], mask: int) -> tuple[int, int] | None:
+    """(treedepth, a vertex to start a best tree with, as a mask) of a connected set that is complete, a tree or a cycle, or has two vertices at most."""
+    n, low = mask.bit_count(), mask & -mask
+    if n <= 2:
+        return n, low
+    degree = {v: (nb[v] & mask).bit_count() for v in bits(mask)}
+    m, most = sum(degree.values()) // 2, max(degree.values())
+    if m == n * (n - 1) // 2:
+        return n, low
+    if m == n - 1:
+        if most == n - 1:
+            return 2, 1 << max(degree, key=lambda v: (degree[v], -v))
+        t, root = tree_ranks(nb, mask)
+        return t, 1 << root
+    return (1 + (n - 1).bit_length(), low) if most == 2 else None
+
+
+def lower_bound(nb: list[int], mask: int) -> int:
+    """Of a connected set of no closed form: by its edges, its cores and the depth of a depth-first search."""
+    degree = {v: (nb[v] & mask).bit_count() for v in bits(mask)}
+    n, m, least = len(degree), sum(degree.values()) // 2, min(degree.values())
+    parents = dfs_parents(nb, mask, min(degree, key=lambda v: (degree[v], v)))
+    lower = max(m // n + 2 if m > n else 3, least + 1, depth_of(parents).bit_length())
+    inner, k = mask, least + 1
+    while inner := core(nb, inner, k):
+        lower, k = max(lower, k + 1), k + 1
+    return lower
+
+
+def own_tree(nb: list[int], mask: int, orders: int = 10) -> tuple[int, dict[int, int]]:
+    """(depth, parents) of a good tree of a connected set, always the same one: the best one where there is a closed form, else of some elimination orders."""
+    if closed_form(nb, mask):
+        parents: dict[int, int] = {}
+        todo = [(mask, -1)]
+        while todo:
+            part, up = todo.pop()
+            root = closed_form(nb, part)[1]
+            v = root.bit_length() - 1
+            parents[v] = up
+            todo += [(c, v) for c in components(nb, part & ~root)]
+        return closed_form(nb, mask)[0], parents
+    rng = random.Random(mask.bit_count())
+    return min((elimination_parents(nb, mask, (0.1, 0.3, 0.6, 1.0, 2.0)[k % 5], rng) for k in range(orders)), key=lambda x: x[0])
+
+
 #: From how many sets on they are tested as arrays.
 ARRAYS = 40
 
@@ -400,31 +445,14 @@ class Solver:
         return lower < upper and (self.window is None or lower < self.window[1] and upper > self.window[0] <= self.window[1])
 
     def _first(self, mask: int) -> list:
-        nb, n = self.nb, mask.bit_count()
-        low = mask & -mask
-        if n <= 2:
-            return [n, n, low]
+        nb, got = self.nb, closed_form(self.nb, mask)
+        if got:
+            return [got[0], got[0], got[1]]
         degree = {v: (nb[v] & mask).bit_count() for v in bits(mask)}
-        m, most, least = sum(degree.values()) // 2, max(degree.values()), min(degree.values())
         hub = max(degree, key=lambda v: (degree[v], -v))
-        if m == n * (n - 1) // 2:
-            return [n, n, low]
-        if m == n - 1:
-            if most == n - 1:
-                return [2, 2, 1 << hub]
-            t, root = tree_ranks(nb, mask)
-            return [t, t, 1 << root]
-        if most == 2:
-            t = 1 + (n - 1).bit_length()
-            return [t, t, low]
-        lower = max(m // n + 2 if m > n else 3, least + 1)
-        parents = dfs_parents(nb, mask, min(degree, key=lambda v: (degree[v], v)))
-        lower = max(lower, depth_of(parents).bit_length())
-        inner, k = mask, least + 1
-        while inner := core(nb, inner, k):
-            lower, k = max(lower, k + 1), k + 1
+        lower = lower_bound(nb, mask)
         # taking off the hub gives the first upper bound, its components bounded the same way
-        self.state[mask] = [lower, n, 1 << hub]
+        self.state[mask] = [lower, mask.bit_count(), 1 << hub]
         worst = max(self.bounds(c)[1] for c in components(nb, mask & ~(1 << hub)))
         return [min(lower, worst + 1), worst + 1, 1 << hub]
 

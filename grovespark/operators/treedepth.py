@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grovespark.functions import bitgraph as bg
 from grovespark.functions.loops import written
+from grovespark.operators import fixpoint as states
 from grovespark.operators import graph, kernels
 
 SMALL = 5
@@ -120,62 +121,6 @@ def core_lower(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.core_numbers(vertices, edges).groupBy("graph_id").agg((F.max("core") + 1).alias("lower"))
 
 
-def fixpoint(vertices: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(graph_id, td) as a fixpoint over tables of states, choices and children, for graphs of up to 62 vertices.
-
-    A state is a connected vertex set as a mask. Each round gives every new state of every graph its
-    fully minimal separators in one Arrow pass; their components that have no closed form are the
-    next round's states. Values then go up: the best choice of |sep| plus its worst child.
-    """
-    import pyarrow as pa
-
-    rows = kernels.packed(vertices, edges)
-
-    def seed(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                at = {v: i for i, v in enumerate(row["vs"])}
-                nb = bg.build(len(at), ((at[e["u"]], at[e["v"]]) for e in row["es"] or ()))
-                out += [(row["graph_id"], nb, part) for part in bg.components(nb, (1 << len(nb)) - 1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.list_(pa.int64()), pa.int64()))], names=["graph_id", "nb", "state"])
-
-    def expand(batches):
-        for batch in batches:
-            out = []
-            for g, nb, state in zip(*(batch.column(c).to_pylist() for c in ("graph_id", "nb", "state"))):
-                low, up, _ = bg.Solver(nb).bounds(state)
-                if low == up:
-                    out.append((g, state, 0, state, low))
-                    continue
-                for sep in bg.minimal_separators(nb, state):
-                    if bg.is_fully_minimal(nb, state, sep):
-                        out += [(g, state, sep, c, None) for c in bg.components(nb, state & ~sep)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["graph_id", "state", "sep", "child", "td"])
-
-    roots = written(rows.mapInArrow(seed, "graph_id string, nb array<long>, state long"))
-    shape = roots.groupBy("graph_id").agg(F.first("nb").alias("nb"))
-    front, known, steps = roots, roots.select("graph_id", "state"), None
-    for _ in range(rounds):
-        if front.isEmpty():
-            break
-        step = written(front.mapInArrow(expand, "graph_id string, state long, sep long, child long, td int"))
-        steps = step if steps is None else steps.union(step)
-        fresh = written(step.where("sep != 0").select("graph_id", F.col("child").alias("state")).distinct().join(known, ["graph_id", "state"], "left_anti"))
-        known = known.union(fresh)
-        front = fresh.join(shape, "graph_id").select("graph_id", "nb", "state")
-    else:
-        raise RuntimeError("states are left after the last round")
-    value = written(steps.where("sep = 0").select("graph_id", "state", "td"))
-    choices = written(steps.where("sep != 0"))
-    while True:
-        kids = choices.join(value.select("graph_id", F.col("state").alias("child"), F.col("td").alias("t")), ["graph_id", "child"], "left")
-        ready = kids.groupBy("graph_id", "state", "sep").agg(F.max("t").alias("t"), F.bool_and(F.col("t").isNotNull()).alias("all"))
-        best = ready.groupBy("graph_id", "state").agg(F.min(F.bit_count("sep") + F.col("t")).alias("td"), F.bool_and("all").alias("all")).where("all")
-        fresh = written(best.select("graph_id", "state", F.col("td").cast("int").alias("td")).join(value, ["graph_id", "state"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        value = value.union(fresh)
-    return roots.join(value, ["graph_id", "state"]).groupBy("graph_id").agg(F.max("td").alias("td"))
+def fixpoint(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, td) by the fixpoint over states, choices and children; fixpoint.solve() gives its forests too."""
+    return states.solve(vertices, edges).treedepth()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grovespark.functions.loops import new_folder, written
-from grovespark.operators import centrality, graph, kernels, reporting, sets, treedepth, verify
+from grovespark.operators import centrality, fixpoint, graph, kernels, reporting, separators, sets, treedepth, verify
 from grovespark.plans import tables
 from grovespark.sources import files
 from grovespark.plans.tables import GRAPHS_SQL, SETS_SQL
@@ -62,10 +62,29 @@ def _below_roots(vertices, edges):
 def _tree_digest(vertices, edges):
     """Depth of each solver's tree, and edges that it does not cover."""
     vertices, edges = positive(vertices, edges)
-    solved = written(kernels.solve(vertices, edges))
-    tree = kernels.trees(solved)
-    bad = verify.uncovered_edges(edges, tree).groupBy("graph_id").agg(F.count("*").alias("uncovered"))
-    return verify.tree_depth(tree).join(bad, "graph_id", "left").join(verify.is_tree(tree), "graph_id").select("graph_id", F.col("depth").cast("int").alias("depth"), F.coalesce("uncovered", F.lit(0)).cast("long").alias("uncovered"), "is_tree")
+    return _digest(edges, kernels.trees(written(kernels.solve(vertices, edges))))
+
+
+def _forest_digest(vertices, edges):
+    """The same of the forest that the fixpoint's choices make."""
+    vertices, edges = positive(vertices, edges)
+    return _digest(edges, fixpoint.solve(vertices, edges).forest())
+
+
+def _digest(edges, tree):
+    up = verify.climb(tree)
+    bad = verify.uncovered_edges(edges, tree, up).groupBy("graph_id").agg(F.count("*").alias("uncovered"))
+    return verify.tree_depth(tree, up).join(bad, "graph_id", "left").join(verify.is_tree(tree, up), "graph_id").select("graph_id", F.col("depth").cast("int").alias("depth"), F.coalesce("uncovered", F.lit(0)).cast("long").alias("uncovered"), "is_tree")
+
+
+def _pulled(vertices, edges):
+    """Minimal separators by calls of five or more, as they are found."""
+    now = separators.Pull.start(vertices, edges)
+    found = now.done
+    while now.has_next():
+        batch, now = now.next(5)
+        found = found.unionAll(batch)
+    return separators.named(now.graphs, found).select("graph_id", _spelled("sep"))
 
 
 def _certificates(vertices, edges):
@@ -211,6 +230,9 @@ QUERIES = {
     "td_core_lower_windows": _on(treedepth.core_lower),
     "td_brute_force": _on(kernels.brute_force, tables.region_graphs),
     "td_fixpoint": _on(treedepth.fixpoint, tables.region_graphs),
+    "td_fixpoint_orders": _on(treedepth.fixpoint, tables.order_graphs),
+    "fixpoint_forests": _on(lambda v, e: fixpoint.solve(*positive(v, e)).forest()),
+    "fixpoint_forests_orders": _on(_forest_digest, tables.order_graphs),
     "td_solve": _on(lambda v, e: kernels.solve(v, e).select("graph_id", "n", "td"), tables.region_graphs),
     "solve_trade": _on(lambda v, e: kernels.results(kernels.solve(v, e)), tables.trade_graphs),
     "solve_windows": _on(lambda v, e: kernels.results(kernels.solve(v, e, 20)), tables.window_graphs),
@@ -223,6 +245,9 @@ QUERIES = {
     "automorphism_count": _on(lambda v, e: kernels.automorphism_summary(v, e).select("graph_id", F.col("group_size").cast("long").alias("group_size"), "orbits"), tables.region_graphs),
     "minimal_separators": _on(lambda v, e: kernels.separators(v, e).withColumn("sep", _spelled("sep"))),
     "fm_separators": _on(lambda v, e: kernels.fully_minimal_separators(v, e).withColumn("sep", _spelled("sep"))),
+    "separator_rounds": _on(lambda v, e: separators.minimal(v, e).withColumn("sep", _spelled("sep"))),
+    "separator_rounds_region": _on(lambda v, e: separators.fully_minimal(v, e).select("graph_id", _spelled("sep")), tables.region_graphs),
+    "separator_pull": _on(_pulled, tables.region_graphs),
     "orbits": _on(lambda v, e: kernels.orbits(v, e).drop("generators").withColumn("group_size", F.col("group_size").cast("long")), tables.region_graphs),
     "separator_batches": _on(lambda v, e: kernels.separator_batches(v, e, 2).groupBy("graph_id", "batch").agg(F.count("*").alias("n")), tables.region_graphs),
     "td_window": _on(lambda v, e: kernels.solve(v, e, window=(2, 3)).selectExpr("graph_id", "ub <= 2 AS low", "lb >= 3 AS high"), tables.order_graphs),
@@ -467,6 +492,10 @@ te AS (SELECT graph_id, v AS src, parent AS dst FROM up UNION ALL SELECT graph_i
     "orbits": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT low.graph_id, a.v, b.v AS representative, n AS group_size FROM low JOIN vi a ON a.graph_id = low.graph_id AND a.i = low.x JOIN vi b ON b.graph_id = low.graph_id AND b.i = low.low JOIN (SELECT graph_id, count(*) AS n FROM good GROUP BY 1) c ON c.graph_id = low.graph_id",
     "automorphisms": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT good.graph_id, string_agg(vi.v::VARCHAR, ' ' ORDER BY r.x) AS image FROM good, r JOIN vi ON vi.graph_id = good.graph_id AND vi.i = p[r.x + 1] GROUP BY good.graph_id, p",
 }
+ORACLES["separator_rounds_region"] = ORACLES["fm_separators_region"]
+ORACLES["separator_pull"] = ORACLES["minimal_separators_region"]
+ORACLES["td_fixpoint_orders"] = "SELECT graph_id, td FROM (" + ORACLES["td_small_batch"] + ")"
+ORACLES["fixpoint_forests_orders"] = "SELECT graph_id, td AS depth, 0::BIGINT AS uncovered, true AS is_tree FROM (" + ORACLES["td_small_batch"] + ")"
 ORACLES["separator_batches"] = "SELECT graph_id, (k // 2)::INT AS batch, count(*) AS n FROM (SELECT graph_id, row_number() OVER (PARTITION BY graph_id) - 1 AS k FROM (" + ORACLES["minimal_separators_region"] + ")) GROUP BY 1, 2"
 ORACLES["td_window"] = "SELECT graph_id, td <= 2 AS low, td >= 3 AS high FROM (" + ORACLES["td_small_batch"] + ")"
 OWN = ORACLES["td_small_batch"].rsplit(" SELECT nn.graph_id", 1)[0] + f""",
