@@ -131,6 +131,101 @@ def is_fully_minimal(nb: list[int], inside: int, sep: int, leaf_tolerant: bool =
     return len(parts) > 1
 
 
+#: Vertices from which on separators are found in batches, and rows of one batch.
+BATCHED = 14
+BATCH_ROWS = 4096
+
+
+class Cuts:
+    """The fully minimal separators of a connected set, with the components beside each, found for many sets at a time.
+
+    Sets are rows of a matrix with a column a vertex, so a step of all their floods is one product with
+    the matrix of neighbours. The search is that of minimal_separators.
+    """
+
+    def __init__(self, nb: list[int], inside: int, stop=None):
+        self.names, self.stop = np.array(bits(inside)), stop
+        place = {v: k for k, v in enumerate(self.names.tolist())}
+        n = len(place)
+        self.near = np.zeros((n, n), np.float32)
+        for v, k in place.items():
+            for w in bits(nb[v] & inside):
+                self.near[k, place[w]] = 1
+        self.sees = self.near > 0
+
+    def parts(self, removed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, component, its neighbours) of what is left of the whole without each row of removed: one component of each row at a time, those of the first vertices first."""
+        rest, rows = ~removed, np.arange(len(removed))
+        while True:
+            some = rest.any(axis=1)
+            if not some.any():
+                return
+            rest, rows = rest[some], rows[some]
+            found = np.zeros_like(rest)
+            found[np.arange(len(rest)), rest.argmax(axis=1)] = True
+            reach, front = np.zeros_like(rest), found
+            while front.any():
+                met = front.astype(np.float32) @ self.near > 0
+                reach |= met
+                front = met & rest & ~found
+                found = found | front
+            yield rows, found, reach & ~found
+            rest = rest & ~found
+
+    def minimal(self) -> Iterator[np.ndarray]:
+        """The minimal separators, as matrices of new ones."""
+        seen = {bytes(-(-len(self.names) // 8))}  # without the empty one
+
+        def fresh(removed: np.ndarray) -> np.ndarray:
+            out = []
+            for at in range(0, len(removed), BATCH_ROWS):
+                if self.stop:
+                    self.stop()
+                for _, _, sep in self.parts(removed[at : at + BATCH_ROWS]):
+                    keys = np.packbits(sep, axis=1)
+                    new = []
+                    for k, key in enumerate(keys.view(f"V{keys.shape[1]}")[:, 0].tolist()):
+                        if key not in seen:
+                            seen.add(key)
+                            new.append(k)
+                    out.append(sep[new])
+            return np.concatenate([*out, np.zeros((0, len(self.names)), bool)])
+
+        own = np.eye(len(self.names), dtype=bool) | self.sees
+        front = fresh(own[~own.all(axis=1)])
+        while len(front):
+            yield front
+            new = []
+            for at in range(0, len(front), BATCH_ROWS):
+                row, v = np.nonzero(front[at : at + BATCH_ROWS])
+                new.append(fresh(front[at + row] | self.sees[v]))
+            front = np.concatenate(new)
+
+    def masks(self, rows: np.ndarray) -> list[int]:
+        """Rows as sets of the graph's vertices."""
+        wide = np.zeros((len(rows), int(self.names[-1]) + 1), bool)
+        wide[:, self.names] = rows
+        return [int.from_bytes(x.tobytes(), "little") for x in np.packbits(wide, axis=1, bitorder="little")]
+
+    def fully_minimal(self) -> Iterator[tuple[int, list[int], int]]:
+        """(separator, components beside it, size of the largest)."""
+        for front in self.minimal():
+            for at in range(0, len(front), BATCH_ROWS):
+                seps = front[at : at + BATCH_ROWS]
+                good, largest, found = np.ones(len(seps), bool), np.zeros(len(seps), np.int64), []
+                for rows, part, sees in self.parts(seps):
+                    good[rows] &= (sees == seps[rows]).all(axis=1)
+                    largest[rows] = np.maximum(largest[rows], part.sum(axis=1))
+                    found.append((rows, part))
+                parts: dict[int, list[int]] = {k: [] for k in np.flatnonzero(good).tolist()}
+                for rows, part in found:
+                    whole = good[rows]
+                    for k, mask in zip(rows[whole].tolist(), self.masks(part[whole])):
+                        parts[k].append(mask)
+                for k, mask in zip(parts, self.masks(seps[good])):
+                    yield mask, parts[k], int(largest[k])
+
+
 def dfs_parents(nb: list[int], inside: int, root: int) -> dict[int, int]:
     """Parents (root: -1) of a depth-first search that visits larger neighbours first."""
     parent, stack = {}, [(root, -1)]
@@ -410,6 +505,68 @@ def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
     return parents
 
 
+class Bounds:
+    """Bounds of the sets met so far, and those of a set by its parts.
+
+    Sets are rows of 64-bit words, so one set is compared with all of them at once. A part is no deeper
+    than the whole, and the whole no deeper than the part with all else on top.
+    """
+
+    def __init__(self, n: int):
+        self.width, self.row, self.many = max(1, (n + 63) // 64), {}, 0
+        self.words, self.outside = np.zeros((self.width, 1024), np.uint64), np.zeros(1024, np.int32)
+        self.lower, self.upper = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+
+    def _split(self, mask: int) -> list[np.uint64]:
+        return [np.uint64(mask >> 64 * k & _WORD) for k in range(self.width)]
+
+    def put(self, mask: int, lower: int, upper: int) -> None:
+        k = self.row.get(mask)
+        if k is None:
+            k = self.row[mask] = self.many
+            self.many += 1
+            if k == len(self.lower):
+                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+                self.lower, self.upper, self.outside = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lower, self.upper, self.outside))
+            self.words[:, k], self.outside[k] = self._split(mask), -mask.bit_count()
+        self.lower[k], self.upper[k] = lower, upper
+
+    def parts(self, mask: int, least: int = 0) -> np.ndarray:
+        """Rows of the sets within mask whose treedepth is at least so much."""
+        rows = np.flatnonzero(self.lower[: self.many] >= least) if least else slice(self.many)
+        out = None
+        for words, rest in zip(self.words, self._split(~mask)):
+            met = words[rows] & rest
+            out = met if out is None else out | met
+        return np.flatnonzero(out == 0) if isinstance(rows, slice) else rows[out == 0]
+
+    def best(self, mask: int) -> tuple[int, int, int]:
+        """(lower, upper, the part that gives the upper one); 0 and no part if none is known."""
+        found = self.parts(mask)
+        if not len(found):
+            return 0, BEYOND, 0
+        above = self.upper[found] + self.outside[found]
+        k = int(above.argmin())
+        return int(self.lower[found].max()), int(above[k]) + mask.bit_count(), self.mask(int(found[k]))
+
+    def mask(self, row: int) -> int:
+        return sum(int(w) << 64 * k for k, w in enumerate(self.words[:, row]))
+
+    def deep(self, mask: int, least: int) -> bool:
+        return len(self.parts(mask, least)) > 0
+
+    def tightest(self, mask: int, least: int, many: int) -> list[tuple[int, int]]:
+        """(set, lower) of the smallest parts of mask of at least such a treedepth."""
+        found = self.parts(mask, least)
+        found = found[np.argsort(-self.outside[found], kind="stable")[:many]]
+        return [(self.mask(k), int(self.lower[k])) for k in found.tolist()]
+
+
+#: Vertices from which on a set's bounds are kept for those it is a part of, and parts that rule out separators.
+KEPT = 5
+TIGHT = 24
+
+
 class Solver:
     """Exact treedepth of connected sets, with proved bounds for each set met.
 
@@ -427,7 +584,7 @@ class Solver:
         self.window = window
         self.state: dict[int, list] = {}  # mask: lower, upper, what to take off
         self.separators: dict[int, list[tuple[int, list[int], int]]] = {}
-        self.deep: dict[int, list[int]] = {}  # treedepth: sets proved to have it at least, none a part of a later one
+        self.known = Bounds(len(nb))
 
     def check(self) -> None:
         if self.until is not None and time.monotonic() > self.until:
@@ -437,8 +594,19 @@ class Solver:
         got = self.state.get(mask)
         if got is None:
             got = self.state[mask] = self._first(mask)
+            if got[0] < got[1]:
+                lower, upper, part = self.known.best(mask)
+                got[0] = max(got[0], lower)
+                if upper < got[1]:
+                    got[1], got[2] = upper, mask & ~part
+            self._note(mask)
         return got
 
+    def _note(self, mask: int) -> None:
+        """Keep a set's bounds for the sets that it is a part of."""
+        if mask.bit_count() >= KEPT:
+            self.known.put(mask, *self.state[mask][:2])
+
     def open(self, mask: int) -> bool:
         """Whether there is more to find: bounds apart and, with a window (low, high), neither a lower bound of at least high nor an upper one of at most low."""
         lower, upper, _ = self.bounds(mask)
@@ -460,10 +628,14 @@ class Solver:
         """(size, components beside it, separator) of fully minimal separators, balanced ones first."""
         if mask not in self.separators:
             ranked = []
-            for sep in minimal_separators(self.nb, mask, stop=self.check):
-                if is_fully_minimal(self.nb, mask, sep):
-                    parts, size = sorted(components(self.nb, mask & ~sep), key=int.bit_count, reverse=True), sep.bit_count()
-                    ranked.append((parts[0].bit_count() + size, size, sep, parts))
+            if mask.bit_count() >= BATCHED:
+                for sep, parts, largest in Cuts(self.nb, mask, self.check).fully_minimal():
+                    ranked.append((largest + sep.bit_count(), sep.bit_count(), sep, sorted(parts, key=int.bit_count, reverse=True)))
+            else:
+                for sep in minimal_separators(self.nb, mask, stop=self.check):
+                    if is_fully_minimal(self.nb, mask, sep):
+                        parts, size = sorted(components(self.nb, mask & ~sep), key=int.bit_count, reverse=True), sep.bit_count()
+                        ranked.append((parts[0].bit_count() + size, size, sep, parts))
             self.separators[mask] = [(size, parts, sep) for _, size, sep, parts in sorted(ranked)]
         return self.separators[mask]
 
@@ -481,13 +653,14 @@ class Solver:
         if got[0] > k:
             return False
         self.check()
-        if any(not t & ~mask for low, sets in self.deep.items() if low > k for t in sets):
+        if self.known.deep(mask, k + 1):
             got[0] = max(got[0], k + 1)
+            self._note(mask)
             return False
         # of the parts the depth itself is found, since it narrows the choice below
         fits = all(any(self.within(c, j) for j in range(self.bounds(c)[0], k + 1)) for c in sorted(self.thinned(mask), key=lambda c: -self.bounds(c)[0]))
         # what a separator takes from a part lowers it by no more than one each, so few of its vertices lie outside a deep part
-        tight = [(~t, k - low) for low in range(k, max(k - NEAR, 0), -1) for t in self.deep.get(low, ()) if not t & ~mask]
+        tight = [(~t, k - low) for t, low in self.known.tightest(mask, max(k - NEAR + 1, 1), TIGHT)]
         for size, parts, sep in self.cuts(mask) if fits else ():
             if size >= k or any((sep & rest).bit_count() > room for rest, room in tight) or any(self.bounds(c)[0] + size > k for c in parts):
                 continue
@@ -495,9 +668,10 @@ class Solver:
                 top = size + max(self.bounds(c)[1] for c in parts)
                 if top < got[1]:
                     got[1], got[2] = top, sep
+                    self._note(mask)
                 return True
         got[0] = max(got[0], k + 1)
-        self.deep.setdefault(k + 1, []).append(mask)
+        self._note(mask)
         return False
 
     def improve(self, mask: int, parent: dict[int, int]) -> None:
@@ -518,6 +692,7 @@ class Solver:
             got = self.bounds(sets[v])
             if height[v] < got[1]:
                 got[1], got[2] = height[v], 1 << v
+                self._note(sets[v])
 
     def _orders(self, mask: int, many: int, seed: int) -> None:
         """Upper bounds by elimination orders of several weights."""
@@ -558,6 +733,7 @@ class Solver:
             parent = grown(self.nb, mask, got[0], step)
             if parent is None:
                 got[0] += 1
+                self._note(mask)
             else:
                 self.improve(mask, parent)
 

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grovespark.functions.loops import new_folder, written
-from grovespark.operators import centrality, fixpoint, graph, kernels, reporting, separators, sets, treedepth, verify
+from grovespark.operators import centrality, containment, fixpoint, graph, kernels, reporting, separators, sets, treedepth, verify
 from grovespark.plans import tables
-from grovespark.sources import files
+from grovespark.sources import datasource, files
 from grovespark.plans.tables import GRAPHS_SQL, SETS_SQL
 
 
@@ -133,6 +133,17 @@ def _inserted(spark, d):
     return sets.insert(half(0), half(1)).select(_spelled("vset"), "lb", "ub", "root")
 
 
+def _indexed(spark, d):
+    """An index that the stored sets came into by three inserts, what these reported, and the queries."""
+    stored, asked = tables.supplier_sets(spark, d)
+    index = containment.Index.create(stored.where("set_id % 7 = 1"), new_folder(spark, "index"))
+    said = None
+    for k in range(3):
+        part = index.insert(stored.where(f"pmod(set_id div 2, 3) = {k}")).withColumn("batch", F.lit(k))
+        said = part if said is None else said.unionAll(part)
+    return index, said, asked
+
+
 def _numbered(vertices, edges):
     """The graphs with vertices 1 to n."""
     at = vertices.select("graph_id", "v", F.row_number().over(Window.partitionBy("graph_id").orderBy("v")).alias("k"))
@@ -157,6 +168,30 @@ def _tree_files(spark, d):
     return tree.join(declared, "graph_id").select("graph_id", F.col("v").cast("int").alias("v"), "parent", "depth")
 
 
+def _gr_source(spark, d, damaged=False):
+    """The windows' and nations' graphs written by the data source and read again; damaged: with ends that are no vertices in those of an even number of vertices."""
+    datasource.register(spark)
+    folder = new_folder(spark, "gr")
+    rows = datasource.rows_of(*_numbered(*tables.all_graphs(spark, d)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows.repartition(parts))
+    if damaged:
+        rows = rows.withColumn("v", F.when(F.col("n") % 2 == 0, F.transform("v", lambda x: x + F.col("n"))).otherwise(F.col("v")))
+    rows.write.format("gr").mode("append").save(folder)
+    return spark.read.format("gr").option("partitions", parts).load(folder)
+
+
+def _tree_source(spark, d):
+    """Chains over the windows' and nations' vertices, by the data source."""
+    datasource.register(spark)
+    folder, parts = new_folder(spark, "tree"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _numbered(*tables.all_graphs(spark, d))[0].groupBy("graph_id").agg(F.max("v").alias("depth"))
+    chain = n.select("graph_id", "depth", F.expr("transform(sequence(1, depth), k -> k - 1)").alias("parent"), F.lit(None).cast("string").alias("fault"))
+    chain.repartition(parts).write.format("tree").mode("append").save(folder)
+    rows = spark.read.format("tree").option("partitions", parts).load(folder)
+    return rows.select("graph_id", "depth", F.posexplode("parent").alias("k", "parent")).select("graph_id", (F.col("k") + 1).alias("v"), "parent", "depth")
+
+
 def _timings(make):
     """Reports over made-up timings: orders as solved instances of five runs."""
 
@@ -209,9 +244,16 @@ QUERIES = {
     "has_superset": _sets(sets.has_superset),
     "set_is_ascending": _ascending,
     "set_insert": _inserted,
+    "index_insert": lambda spark, d: _indexed(spark, d)[1],
+    "index_search": lambda spark, d: (lambda i: i[0].search(i[2]))(_indexed(spark, d)),
+    "index_subsets": lambda spark, d: (lambda i: i[0].subsets(i[2], 2))(_indexed(spark, d)),
+    "index_supersets": lambda spark, d: (lambda i: i[0].supersets(i[2]))(_indexed(spark, d)),
     "super_ids": _on(lambda v, e: graph.super_ids(graph.vertex_set(_even(v))).select("graph_id", "id")),
     "gr_files": _gr_files,
     "tree_files": _tree_files,
+    "gr_source": lambda spark, d: datasource.tables_of(_gr_source(spark, d))[1],
+    "gr_source_faults": lambda spark, d: _gr_source(spark, d, True).select("graph_id", F.col("fault").isNotNull().alias("fault")),
+    "tree_source": _tree_source,
     "timings_by_run": _timings(lambda r: _rounded(reporting.by_run(r).withColumnRenamed("mean_s", "score")).withColumnRenamed("score", "mean_s")),
     "timings_mismatches": _timings(lambda r: reporting.mismatches(r).groupBy("run", "instance", "td", "least").agg(F.count("*").alias("n"))),
     "timings_fastest": _timings(reporting.fastest),
@@ -492,6 +534,17 @@ te AS (SELECT graph_id, v AS src, parent AS dst FROM up UNION ALL SELECT graph_i
     "orbits": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT low.graph_id, a.v, b.v AS representative, n AS group_size FROM low JOIN vi a ON a.graph_id = low.graph_id AND a.i = low.x JOIN vi b ON b.graph_id = low.graph_id AND b.i = low.low JOIN (SELECT graph_id, count(*) AS n FROM good GROUP BY 1) c ON c.graph_id = low.graph_id",
     "automorphisms": AUTOMORPHISMS.split("SELECT graph_id, n AS group_size")[0] + "SELECT good.graph_id, string_agg(vi.v::VARCHAR, ' ' ORDER BY r.x) AS image FROM good, r JOIN vi ON vi.graph_id = good.graph_id AND vi.i = p[r.x + 1] GROUP BY good.graph_id, p",
 }
+#: Sets come in three inserts; the first row of a word names its entry.
+INSERTED = S + """, ins AS (SELECT set_id, word, ((set_id // 2) % 3 + 3) % 3 AS batch FROM te),
+ent AS (SELECT *, first_value(set_id) OVER (PARTITION BY word ORDER BY batch, set_id) AS entry FROM ins)"""
+ORACLES["index_insert"] = INSERTED + " SELECT set_id, entry, set_id = entry AS new, batch::INT AS batch FROM ent"
+ORACLES["index_search"] = INSERTED + " SELECT query_id, entry FROM q LEFT JOIN (SELECT DISTINCT word, entry FROM ent) USING (word)"
+ORACLES["index_subsets"] = INSERTED + " SELECT query_id, m.set_id AS entry, asked - n AS gap FROM m JOIN ent ON ent.set_id = m.set_id AND ent.entry = m.set_id WHERE n = stored AND asked - n <= 2"
+ORACLES["index_supersets"] = INSERTED + " SELECT query_id, m.set_id AS entry FROM m JOIN ent ON ent.set_id = m.set_id AND ent.entry = m.set_id WHERE n = asked"
+ALL_NUMBERED = G + ", num AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v)::INT AS k FROM gv)"
+ORACLES["gr_source"] = ORACLES["gr_files"].replace(NUMBERED, ALL_NUMBERED)
+ORACLES["tree_source"] = ORACLES["tree_files"].replace(NUMBERED, ALL_NUMBERED)
+ORACLES["gr_source_faults"] = G + " SELECT gv.graph_id, count(*) % 2 = 0 AND gv.graph_id IN (SELECT graph_id FROM ge) AS fault FROM gv GROUP BY 1"
 ORACLES["separator_rounds_region"] = ORACLES["fm_separators_region"]
 ORACLES["separator_pull"] = ORACLES["minimal_separators_region"]
 ORACLES["td_fixpoint_orders"] = "SELECT graph_id, td FROM (" + ORACLES["td_small_batch"] + ")"

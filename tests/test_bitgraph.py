@@ -225,3 +225,39 @@ def test_grown_sets_as_arrays_and_as_lists(monkeypatch, arrays):
         assert bg.grown(nb, whole, td - 1, lambda: None) is None
         parents = bg.grown(nb, whole, td, lambda: None)
         assert len(parents) == n and bg.depth_of(parents) == td
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_cuts_in_batches_equal_one_by_one(seed, monkeypatch):
+    rng = random.Random(seed)
+    n, p = rng.randint(3, 24), rng.random() * 0.4 + 0.1
+    nb = bg.build(n, [(a, b) for a in range(n) for b in range(a) if rng.random() < p])
+    monkeypatch.setattr(bg, "BATCH_ROWS", rng.choice([3, 4096]))
+    for part in bg.components(nb, (1 << n) - 1):
+        want = {s: sorted(bg.components(nb, part & ~s)) for s in bg.minimal_separators(nb, part) if bg.is_fully_minimal(nb, part, s)}
+        found = list(bg.Cuts(nb, part).fully_minimal())
+        assert {s: sorted(x) for s, x, _ in found} == want and len(found) == len(want)
+        assert all(most == max(map(int.bit_count, x)) for _, x, most in found)
+
+
+def test_bounds_by_parts():
+    rng, known = random.Random(1), bg.Bounds(130)
+    sets = {}
+    for _ in range(3000):
+        mask = sum(1 << v for v in rng.sample(range(130), rng.randint(1, 6)))
+        low = rng.randint(1, 4)
+        sets[mask] = (low, low + rng.randint(0, 3))
+        known.put(mask, *sets[mask])
+    for _ in range(200):
+        mask = sum(1 << v for v in rng.sample(range(130), rng.randint(20, 70)))
+        within = {t: x for t, x in sets.items() if not t & ~mask}
+        lower, upper, part = known.best(mask)
+        if not within:
+            assert (lower, part) == (0, 0)
+            continue
+        assert lower == max(a for a, _ in within.values()) and upper == min(b + (mask & ~t).bit_count() for t, (_, b) in within.items())
+        assert upper == within[part][1] + (mask & ~part).bit_count()
+        for k in range(1, 6):
+            assert known.deep(mask, k) == any(a >= k for a, _ in within.values())
+            some = known.tightest(mask, k, 5)
+            assert all(within[t][0] == low >= k for t, low in some) and len(some) == min(5, sum(a >= k for a, _ in within.values()))
