@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Sequence
 
 import numpy as np
 
@@ -337,15 +337,13 @@ class OutOfTime(Exception):
     pass
 
 
-class TooLarge(Exception):
-    pass
-
-
 #: Elimination orders tried for an upper bound, and steps of growing before separators take over.
 ORDERS = 60
 GROW_STEPS = 50_000_000
 #: Seconds that each way of solving a part has in the first round, and by how much they rise.
 FIRST_SECONDS, RISE = 0.2, 3
+#: Edges for each vertex up to which a graph is sparse, the share of the time that growing has there, and rounds before it has.
+SPARSE, GROW_SHARE, EVEN_TURNS = 2.3, 0.9, 2
 #: How far below the depth asked for the known depth of a part may be to rule out separators.
 NEAR = 4
 #: More than any height or weight in an elimination order.
@@ -451,8 +449,8 @@ class _Shelf:
 _WORD = (1 << 64) - 1
 
 
-def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
-    """Parents of an elimination tree of depth at most limit for a connected set, or None if there is none.
+def growing(nb: list[int], mask: int, limit: int) -> Generator[None, None, dict[int, int] | None]:
+    """Parents of an elimination tree of depth at most limit for a connected set, or None if there is none; stops at each step, so that it can be left and gone on with.
 
     Round i holds all connected sets of treedepth at most i with few enough neighbours, limit - i at
     most, to hang below these. A set of the next round is a vertex and sets beside it that do not touch
@@ -473,7 +471,7 @@ def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
             news = sum(x[1].bit_count() <= room for x in new[w])
             shelf = _Shelf(old[w], words)
             for f in range(news):
-                check()
+                yield
                 part, edge = old[w][f]
                 more = _Shelf([old[w][k] for k in shelf.fitting(f + 1, part | edge, edge, room)], words)
                 todo = [(part, edge, 0)]
@@ -483,7 +481,7 @@ def grown(nb: list[int], mask: int, limit: int, check) -> dict[int, int] | None:
                     if ((beside | own) & ~whole).bit_count() <= room and whole not in root and whole not in made:
                         made[whole] = w
                     if at < len(more.items):
-                        check()
+                        yield
                         todo += [(union | more.items[k][0], beside | more.items[k][1], k + 1) for k in more.fitting(at, union | beside, beside, room)]
             new[w] = []
         root |= made
@@ -585,6 +583,7 @@ class Solver:
         self.state: dict[int, list] = {}  # mask: lower, upper, what to take off
         self.separators: dict[int, list[tuple[int, list[int], int]]] = {}
         self.known = Bounds(len(nb))
+        self.growth: dict[int, list] = {}  # mask: growing that goes on, steps that are left
 
     def check(self) -> None:
         if self.until is not None and time.monotonic() > self.until:
@@ -711,31 +710,47 @@ class Solver:
         self.until = began + seconds if whole is None else min(whole, began + seconds)
         try:
             step()
-        except (OutOfTime, TooLarge):
+        except OutOfTime:
             pass
         finally:
             self.until = whole
         self.check()
 
-    def _grow(self, mask: int) -> None:
-        """Raise the lower bound by growing sets until a tree is found."""
-        got, steps = self.bounds(mask), GROW_STEPS
-
-        def step() -> None:
-            nonlocal steps
-            steps -= 1
-            if steps % 256 == 0:
-                self.check()
-                if steps <= 0:
-                    raise TooLarge
-
+    def _growing(self, mask: int) -> Generator[None, None, None]:
+        """Raise the lower bound by growing sets until a tree is found; a limit that separators have passed meanwhile is given up."""
+        got = self.bounds(mask)
         while self.open(mask):
-            parent = grown(self.nb, mask, got[0], step)
-            if parent is None:
-                got[0] += 1
-                self._note(mask)
-            else:
-                self.improve(mask, parent)
+            limit = got[0]
+            steps = growing(self.nb, mask, limit)
+            while got[0] == limit and self.open(mask):
+                try:
+                    next(steps)
+                except StopIteration as end:
+                    if end.value is None:
+                        got[0] = max(got[0], limit + 1)
+                        self._note(mask)
+                    else:
+                        self.improve(mask, end.value)
+                    break
+                yield
+
+    def _grow(self, mask: int, seconds: float | None = None) -> None:
+        """Go on with the growing of a set for so long at most, where the last call left it; sets that took too many steps are left alone."""
+        if mask not in self.growth:
+            self.growth[mask] = [self._growing(mask), GROW_STEPS]
+        this = self.growth[mask]
+        until = None if seconds is None else time.monotonic() + seconds
+        while this[1] > 0:
+            for _ in range(256):
+                if next(this[0], self) is self:
+                    del self.growth[mask]
+                    return
+            this[1] -= 256
+            if until is not None and time.monotonic() > until:
+                break
+            self.check()
+        if this[1] <= 0:
+            this[0].close()  # its sets are let go
 
     def _cut(self, mask: int) -> None:
         """Raise the lower bound by branching on separators until a tree is found."""
@@ -772,9 +787,12 @@ class Solver:
 
         Every part of a set bounds it from below, and dense parts are small, so these are solved first.
         In rounds of rising time the whole is tried by separators, then the least open part and the whole by
-        growing, for as long together.
+        growing. After EVEN_TURNS rounds growing takes most of the time in sparse graphs, where few sets can
+        be grown, and separators elsewhere.
         """
         got = self.bounds(mask)
+        edges = sum((self.nb[v] & mask).bit_count() for v in bits(mask)) // 2
+        later = GROW_SHARE if edges <= SPARSE * mask.bit_count() else 1 - GROW_SHARE
         try:
             parts = []
             if self.open(mask):
@@ -783,13 +801,14 @@ class Solver:
                 parts = self.dense_parts(mask)
             seconds, turn, low = FIRST_SECONDS, 1, 1
             while self.open(mask):
-                self._try(seconds, lambda: self._cut(mask))  # noqa: B023
+                share = 0.5 if turn <= EVEN_TURNS else later
+                self._try(2 * seconds * (1 - share), lambda: self._cut(mask))  # noqa: B023
                 for part in parts[:]:
                     now = self.bounds(part)
                     now[0] = max(now[0], low)
                     self._orders(part, ORDERS // 4, turn)
                     if self.open(part) and self.open(mask):
-                        self._try(seconds / 2, lambda: self._grow(part))  # noqa: B023
+                        self._grow(part, 2 * seconds * share)
                     low = max(low, now[0])
                     got[0] = max(got[0], low)
                     if self.open(part):
@@ -798,7 +817,7 @@ class Solver:
                     if self.open(mask):
                         self._extend(part, mask)
                 if self.open(mask):
-                    self._try(seconds / 2 if parts else seconds, lambda: self._grow(mask))  # noqa: B023
+                    self._grow(mask, seconds * share / 2 if parts else 2 * seconds * share)
                 seconds, turn = seconds * RISE, turn + 1
                 self._orders(mask, ORDERS, turn)
         except OutOfTime:
