@@ -237,6 +237,52 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return split.select(F.split("graph_id", "\x00")[0].alias("graph_id"), F.split("graph_id", "\x00")[1].cast("int").alias("v"))
 
 
+def blocks(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree(graph_id, v, parent, block), edges(graph_id, u, v, block)): biconnected components, named by a vertex of each, for graphs larger than any task.
+
+    A breadth-first forest has a tree edge above each vertex but the roots. Every other edge closes a
+    cycle with the ways of its ends up to where these meet, and all tree edges of a cycle are in one
+    block. Both ends climb together, pairs that have met each other on the way go on as one; rounds
+    follow the depth of the forest, rows the edges. Tree edges that a cycle joins are then components
+    (after Tarjan and Vishkin, 1985).
+    """
+    edges = written(edges)
+    roots = components(vertices, edges).where("v = component").select(*V)
+    tree = written(bfs(vertices, edges, roots).select(*V, "depth", "parent"))
+    at = lambda c: tree.select("graph_id", F.col("v").alias(c), F.col("depth").alias(f"d{c}"), F.col("parent").alias(f"p{c}"))
+    placed = edges.join(at("u"), ["graph_id", "u"]).join(at("v"), ["graph_id", "v"])
+    tied = (F.col("pu").eqNullSafe(F.col("v"))) | (F.col("pv").eqNullSafe(F.col("u")))
+    turned = F.when(F.col("du") > F.col("dv"), F.struct(F.col("u").alias("a"), F.col("v").alias("b"))).when(F.col("du") < F.col("dv"), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    ends = placed.where(~tied).select("graph_id", F.coalesce(turned, F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).alias("x"), (F.col("du") == F.col("dv")).alias("level"))
+    front, joined = written(ends.select("graph_id", "x.a", "x.b", "level").distinct()), None
+    up = tree.where("parent IS NOT NULL").select("graph_id", "v", "parent")
+    while not front.isEmpty():
+        # a is one deeper than b, or as deep: the deeper end climbs first, later both do
+        one = front.join(up.select("graph_id", F.col("v").alias("a"), F.col("parent").alias("pa")), ["graph_id", "a"])
+        both = one.join(up.select("graph_id", F.col("v").alias("b"), F.col("parent").alias("pb")), ["graph_id", "b"], "left")
+        step = written(both.select("graph_id", "a", "b", "level", "pa", F.when(F.col("level"), F.col("pb")).alias("pb")))
+        top = F.when(F.col("level"), F.col("pa") == F.col("pb")).otherwise(F.lit(False))
+        # below the meeting place the tree edges above a and above pa are of one cycle; at it those above a and b
+        links = step.select("graph_id", F.explode(F.when(top, F.array(F.struct("a", F.col("b").alias("c")))).when(F.col("level"), F.array(F.struct("a", F.col("pa").alias("c")), F.struct(F.col("b").alias("a"), F.col("pb").alias("c")))).otherwise(F.array(F.struct("a", F.col("pa").alias("c"))))).alias("l"))
+        links = written(links.select("graph_id", F.least("l.a", "l.c").alias("u"), F.greatest("l.a", "l.c").alias("v")).distinct())
+        joined = links if joined is None else joined.unionAll(links)
+        low, high = F.col("pa"), F.coalesce("pb", "b")
+        front = written(step.where(~top).select("graph_id", F.least(low, high).alias("a"), F.greatest(low, high).alias("b"), F.lit(True).alias("level")).where("a != b").distinct())
+    if joined is None:
+        joined = edges.limit(0)
+    named = components(up.select(*V), joined.distinct()).withColumnRenamed("component", "block")
+    tree = written(tree.join(named, V, "left").select(*V, "parent", "block"))
+    # an edge belongs where the tree edge above its deeper end does
+    lower = placed.select("graph_id", "u", "v", F.when(F.col("du") >= F.col("dv"), F.col("u")).otherwise(F.col("v")).alias("w"))
+    return tree, lower.join(named.withColumnRenamed("v", "w"), ["graph_id", "w"]).select("graph_id", "u", "v", "block")
+
+
+def articulation_rounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, v) whose removal splits a component: those whose edges lie in several blocks."""
+    both = blocks(vertices, edges)[1].select("graph_id", F.explode(F.array("u", "v")).alias("v"), "block")
+    return both.groupBy(*V).agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low != high").select(*V)
+
+
 def contract(vertices: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each graph with its set of members drawn together into the least of them; loops and repeats vanish."""
     into = members.groupBy("graph_id").agg(F.min("v").alias("_into"))

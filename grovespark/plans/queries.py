@@ -224,6 +224,9 @@ QUERIES = {
     "without_vertices": _on(lambda v, e: graph.without(v, e, _least(v, 3))),
     "articulation": _on(kernels.articulation_kernel),
     "articulation_copies": _on(graph.articulation_points, tables.trade_graphs),
+    "articulation_rounds": _on(graph.articulation_rounds),
+    "copart_articulation": _on(graph.articulation_rounds, tables.copart_graph),
+    "copart_blocks": _on(lambda v, e: graph.blocks(v, e)[1].groupBy("graph_id", "block").agg(F.count("*").alias("edges")).groupBy("graph_id", "edges").agg(F.count("*").alias("blocks")), tables.copart_graph),
     "bfs_tree": _on(lambda v, e: graph.bfs(v, e, _least(v))),
     "dfs_tree": _on(kernels.dfs_tree, tables.region_graphs),
     "two_core": _on(lambda v, e: graph.k_core(v, e, 2)[0]),
@@ -541,6 +544,8 @@ ORACLES["index_insert"] = INSERTED + " SELECT set_id, entry, set_id = entry AS n
 ORACLES["index_search"] = INSERTED + " SELECT query_id, entry FROM q LEFT JOIN (SELECT DISTINCT word, entry FROM ent) USING (word)"
 ORACLES["index_subsets"] = INSERTED + " SELECT query_id, m.set_id AS entry, asked - n AS gap FROM m JOIN ent ON ent.set_id = m.set_id AND ent.entry = m.set_id WHERE n = stored AND asked - n <= 2"
 ORACLES["index_supersets"] = INSERTED + " SELECT query_id, m.set_id AS entry FROM m JOIN ent ON ent.set_id = m.set_id AND ent.entry = m.set_id WHERE n = asked"
+ORACLES["articulation_rounds"] = ORACLES["articulation"]
+ORACLES["copart_articulation"] = ORACLES["articulation"].replace(G, COPART)
 ALL_NUMBERED = G + ", num AS (SELECT graph_id, v, row_number() OVER (PARTITION BY graph_id ORDER BY v)::INT AS k FROM gv)"
 ORACLES["gr_source"] = ORACLES["gr_files"].replace(NUMBERED, ALL_NUMBERED)
 ORACLES["tree_source"] = ORACLES["tree_files"].replace(NUMBERED, ALL_NUMBERED)

@@ -162,3 +162,41 @@ def test_verification_by_climbing(spark, parents, pairs, ok, depth):
 def test_two_parents_are_no_tree(spark):
     tree = spark.createDataFrame([("g", 1, 0), ("g", 2, 1), ("g", 2, 3), ("g", 3, 1)], "graph_id string, v int, parent int")
     assert not verify.is_tree(tree).first()["is_tree"]
+
+
+def brute_blocks(n, pairs):
+    """Sets of edges: two at a vertex are together if their other ends are connected without it."""
+    pairs = sorted({tuple(sorted(p)) for p in pairs})
+    nb = bg.build(n + 1, pairs)
+    low = {p: p for p in pairs}
+
+    def top(p):
+        while low[p] != p:
+            p = low[p]
+        return p
+
+    for i, p in enumerate(pairs):
+        for q in pairs[:i]:
+            for x in set(p) & set(q):
+                a, b = sum(p) - x, sum(q) - x
+                if bg.flood(nb, 1 << a, ((1 << n + 1) - 1) & ~(1 << x)) >> b & 1:
+                    low[top(p)] = top(q)
+    out = {}
+    for p in pairs:
+        out.setdefault(top(p), set()).add(p)
+    return {frozenset(x) for x in out.values()}
+
+
+def test_blocks_and_articulation(spark):
+    graphs = some_graphs(6, 25) | {"path": (12, [(k, k + 1) for k in range(1, 12)]), "cycle": (11, [(k, k % 11 + 1) for k in range(1, 12)]), "ways": beside(3), "alone": (2, [])}
+    graphs["two cycles"] = (7, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 3), (6, 7)])
+    v, e = batch(spark, graphs)
+    tree, found = graph.blocks(v, e)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["graph_id"], r["block"]), set()).add((r["u"], r["v"]))
+    assert {(g, frozenset(x)) for (g, _), x in got.items()} == {(g, b) for g, x in graphs.items() for b in brute_blocks(*x)}
+    assert tree.count() == v.count() and sum(map(len, got.values())) == e.count()
+    want = {tuple(r) for r in kernels.articulation_kernel(v, e).collect()}
+    assert {tuple(r) for r in graph.articulation_rounds(v, e).collect()} == want and len(want) > 30
+    assert graph.articulation_rounds(*graph.empty(spark)).isEmpty()
