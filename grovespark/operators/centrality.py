@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ STEPS = 8
 #: Vertices to start shortest paths from that one row of work has.
 SOURCES = 256
 DAMPING = 0.85
+#: Edges of a graph that goes through a power iteration as one row.
+PACKED_EDGES = 500_000
 #: Steps between two scalings: a step multiplies by a graph's size at most, so numbers stay finite.
 SCALE_STEPS = 8
 
@@ -59,7 +62,36 @@ def betweenness(vertices: DataFrame, edges: DataFrame, sources: int = SOURCES) -
     return rows.mapInArrow(run, "graph_id string, v int, score double").groupBy("graph_id", "v").agg(F.sum("score").alias("score"))
 
 
-def _power(vertices: DataFrame, edges: DataFrame, steps: int, damping: float | None) -> DataFrame:
+def _power(vertices: DataFrame, edges: DataFrame, steps: int, damping: float | None, most: int = PACKED_EDGES) -> DataFrame:
+    """Graphs of at most most edges go through one pass, a row of work each, larger ones through a join and two aggregates a step."""
+    large = written(edges.groupBy("graph_id").agg(F.count("*").alias("m")).where(F.col("m") > most).select("graph_id"))
+    part = lambda df, how: df.join(F.broadcast(large) if large.count() <= 10_000 else large, "graph_id", how)
+    rows = packed(part(vertices, "left_anti"), part(edges, "left_anti"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, vs, xs = [], [], []
+            for graph_id, ids, es in zip(batch.column("graph_id").to_pylist(), batch.column("vs"), batch.column("es")):
+                ids = ids.values.to_numpy()
+                u, v = (np.searchsorted(ids, es.values.field(c).to_numpy()) for c in "uv") if es.is_valid else (np.empty(0, np.int64),) * 2
+                x = np.full(len(ids), 1 / np.sqrt(len(ids)))
+                for k in range(1, steps + 1):
+                    new = np.bincount(u, x[v], len(ids)) + np.bincount(v, x[u], len(ids))
+                    x = new if damping is None else damping * new + (1 - damping) * x.sum()
+                    if k % SCALE_STEPS == 0 or k == steps:
+                        norm = np.sqrt((x * x).sum())
+                        x = x / norm if norm > 0 else np.zeros_like(x)
+                names += [graph_id] * len(ids)
+                vs.append(ids)
+                xs.append(x)
+            cols = [pa.array(names, pa.string()), pa.array(np.concatenate([*vs, np.empty(0, np.int32)]).astype(np.int32)), pa.array(np.concatenate([*xs, np.empty(0)]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["graph_id", "v", "score"])
+
+    small = rows.mapInArrow(run, "graph_id string, v int, score double")
+    return small if large.isEmpty() else small.unionByName(_power_rounds(part(vertices, "left_semi"), part(edges, "left_semi"), steps, damping))
+
+
+def _power_rounds(vertices: DataFrame, edges: DataFrame, steps: int, damping: float | None) -> DataFrame:
     adj = written(adjacency(edges))
     count = vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
     x = vertices.join(count, "graph_id").select("graph_id", "v", F.sqrt(1 / F.col("n")).alias("x"))

@@ -83,12 +83,56 @@ def validate(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+#: Edges of a graph that one row of work of components has.
+COMPONENT_EDGES = 200_000
+
+
+def components(vertices: DataFrame, edges: DataFrame, most: int = COMPONENT_EDGES) -> DataFrame:
     """(graph_id, v, component): the least vertex reachable.
 
-    Labels travel along edges and then jump to their own label, so the number of rounds is
-    logarithmic in practice; each round is two joins and a partial minimum.
+    Edges are dealt in parts of about most of a graph, and each part is drawn together by itself to its
+    own least vertices. Most graphs are one part and so done. Of the others the parts' results, a row a
+    vertex at most each, are the edges of what is left to do in rounds.
     """
+    edges = written(edges.select("graph_id", "u", "v"))
+    sizes = edges.groupBy("graph_id").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = edges.join(sizes, "graph_id").withColumn("part", F.when(F.col("parts") == 1, 0).otherwise(F.expr("cast(pmod(xxhash64(u div 1024, v div 65536), parts) AS int)")))
+    rows = dealt.groupBy("graph_id", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("u", "v")).alias("all"))
+    drawn = written(rows.mapInArrow(_drawn, "graph_id string, parts int, v int, low int"))
+    label = drawn.where("parts = 1").select(*V, F.col("low").alias("component"))
+    rest = written(drawn.where("parts > 1 AND v != low").select("graph_id", F.col("low").alias("u"), "v"))
+    if not rest.isEmpty():
+        label = label.unionAll(_in_rounds(vertices_of(rest), rest))
+    return written(vertices.select(*V).distinct().join(label, V, "left").select(*V, F.coalesce("component", "v").alias("component")))
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(graph_id, parts, v, low): the least vertex that the edges of a row lead each of its vertices to."""
+    for batch in batches:
+        graphs, parts, vs, lows = [], [], [], []
+        for graph_id, n, all_ in zip(batch.column("graph_id").to_pylist(), batch.column("parts").to_pylist(), batch.column("all")):
+            low: dict[int, int] = {}
+
+            def top(v: int) -> int:
+                while (up := low[v]) != v:
+                    low[v] = v = low[up]
+                return v
+
+            for u, v in zip(all_.values.field("u").to_pylist(), all_.values.field("v").to_pylist()):
+                low.setdefault(u, u)
+                low.setdefault(v, v)
+                a, b = top(u), top(v)
+                if a != b:
+                    low[max(a, b)] = min(a, b)
+            graphs += [graph_id] * len(low)
+            parts += [n] * len(low)
+            vs += low
+            lows += [top(v) for v in low]
+        yield pa.RecordBatch.from_arrays([pa.array(graphs, pa.string()), *(pa.array(x, pa.int32()) for x in (parts, vs, lows))], names=["graph_id", "parts", "v", "low"])
+
+
+def _in_rounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() by rounds: labels travel along edges and then jump to their own label, so there are logarithmically many in practice; a round is two joins and a partial minimum."""
     adj = written(adjacency(edges))
     label = written(vertices.distinct().withColumn("component", F.col("v")))
     while True:

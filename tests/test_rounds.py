@@ -7,7 +7,7 @@ import pytest
 
 from grovespark.functions import bitgraph as bg
 from grovespark.functions.loops import written
-from grovespark.operators import fixpoint, graph, kernels, separators, verify
+from grovespark.operators import centrality, fixpoint, graph, kernels, separators, verify
 from grovespark.plans import queries, tables
 
 SF = "/root/testdata/sf0.001"
@@ -200,3 +200,22 @@ def test_blocks_and_articulation(spark):
     want = {tuple(r) for r in kernels.articulation_kernel(v, e).collect()}
     assert {tuple(r) for r in graph.articulation_rounds(v, e).collect()} == want and len(want) > 30
     assert graph.articulation_rounds(*graph.empty(spark)).isEmpty()
+
+
+@pytest.mark.parametrize("most", [200_000, 10, 1])
+def test_components_in_parts(spark, most):
+    graphs = some_graphs(9, 40) | {"path": (60, [(k, k + 1) for k in range(1, 60)]), "alone": (2, [])}
+    want = set()
+    for g, (n, pairs) in graphs.items():
+        nb = bg.build(n + 1, pairs)
+        want |= {(g, v, bg.bits(c)[0]) for c in bg.components(nb, (1 << n + 1) - 2) for v in bg.bits(c)}
+    assert {tuple(r) for r in graph.components(*batch(spark, graphs), most).collect()} == want
+
+
+@pytest.mark.parametrize("damping", [None, 0.85])
+def test_power_steps_in_rows_and_in_rounds(spark, damping):
+    v, e = batch(spark, some_graphs(10, 30) | {"alone": (3, [])})
+    spelled = lambda df: {(r["graph_id"], r["v"]): round(r["score"], 9) for r in df.collect()}
+    whole = spelled(centrality._power(v, e, 11, damping))
+    assert whole == spelled(centrality._power_rounds(v, e, 11, damping)) == spelled(centrality._power(v, e, 11, damping, 20))
+    assert len(whole) == v.count()
