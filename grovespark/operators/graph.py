@@ -356,26 +356,59 @@ def without_twins(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     return kept, induced(edges, kept)
 
 
-def non_dominated(vertices: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+#: Partners of one vertex that one row of work of non_dominated meets.
+PARTNERS = 10_000
+
+
+def non_dominated(vertices: DataFrame, edges: DataFrame, members: DataFrame | None = None, partners: int = PARTNERS) -> DataFrame:
     """(graph_id, v) of members (all vertices if None) that no other member dominates.
 
     v is dominated by w if all its neighbours but w are w's neighbours, and w has more neighbours, or
-    as many and a smaller number. Shared neighbours are counted over paths v-x-w; w without any
-    can only dominate a leaf next to it or a vertex without neighbours.
+    as many and a smaller number. Among twins, told by 128-bit signatures of their neighbourhoods, the
+    least dominates the others, and only it need be compared. A leaf is judged by what is counted around
+    its neighbour. Any other vertex is compared with what is next to its neighbour of fewest neighbours,
+    and that one itself, so no hub's neighbours are paired unless they have hubs alone beside them; then
+    they are dealt to several rows. Pairs that the neighbour of next fewest neighbours leaves are counted.
     """
-    among = vertices if members is None else members
-    deg = degrees(vertices, edges).join(among, V, "left_semi")
-    adj = adjacency(edges)
-    paths = adj.select("graph_id", F.col("dst").alias("v"), F.col("src").alias("x")).join(adj.select("graph_id", F.col("src").alias("x"), F.col("dst").alias("w")), ["graph_id", "x"]).where("v != w")
-    shared = paths.groupBy("graph_id", "v", "w").agg(F.count("*").alias("both"))
-    beside = adj.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("w"), F.lit(1).alias("next"))
-    near = shared.join(beside, ["graph_id", "v", "w"], "full").select("graph_id", "v", "w", F.coalesce("both", F.lit(0)).alias("both"), F.coalesce("next", F.lit(0)).alias("next"))
-    judged = near.join(deg.withColumnRenamed("degree", "dv"), V).join(deg.select("graph_id", F.col("v").alias("w"), F.col("degree").alias("dw")), ["graph_id", "w"])
-    better = (F.col("dv") < F.col("dw")) | ((F.col("dv") == F.col("dw")) & (F.col("w") < F.col("v")))
-    beaten = judged.where((F.col("both") == F.col("dv") - F.col("next")) & better).select(*V)
-    tops = deg.groupBy("graph_id").agg(F.max("degree").alias("top"), F.min("v").alias("first"))
-    alone = deg.where("degree = 0").join(tops, "graph_id").where("top > 0 OR v > first").select(*V)
-    return among.join(beaten.union(alone), V, "left_anti")
+    among = (vertices if members is None else members).select(*V).distinct()
+    adj = written(adjacency(edges))
+    mix = lambda k, c: F.xxhash64(F.lit(k), F.col(c))
+    signs = adj.groupBy("graph_id", F.col("src").alias("v")).agg(F.count("*").alias("degree"), F.bit_xor(mix(1, "dst")).alias("a"), F.bit_xor(mix(2, "dst")).alias("b"))
+    signs = written(vertices.select(*V).distinct().join(signs, V, "left").select(*V, F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")))
+    own = signs.join(among, V, "left_semi")
+    keys = F.array(F.struct(F.lit(0).alias("kind"), F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("a").bitwiseXOR(mix(1, "v")).alias("a"), F.col("b").bitwiseXOR(mix(2, "v")).alias("b")))
+    keyed = own.select(*V, "degree", F.explode(keys).alias("key"))
+    least = keyed.groupBy("graph_id", "degree", "key").agg(F.min("v").alias("low"), F.count("*").alias("n")).where("n > 1")
+    twins_ = keyed.join(least, ["graph_id", "degree", "key"]).where("v != low").select(*V).distinct()
+    alone = own.where("degree = 0").join(own.groupBy("graph_id").agg(F.max("degree").alias("top")), "graph_id").where("top > 0").select(*V)
+    left = written(own.join(twins_, V, "left_anti").select(*V, "degree"))
+
+    # (v, x): beside, with the neighbours of both
+    beside = adj.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("x")).join(left, V).join(signs.select("graph_id", F.col("v").alias("x"), F.col("degree").alias("dx")), ["graph_id", "x"])
+    first = written(beside.groupBy(*V, "degree").agg(F.min(F.struct("dx", "x")).alias("near")).select(*V, "degree", F.col("near.x").alias("x"), F.col("near.dx").alias("dx")))
+    mine = left.select("graph_id", F.col("v").alias("w"), F.col("degree").alias("dw"))
+    better = (F.col("dw") > F.col("degree")) | ((F.col("dw") == F.col("degree")) & (F.col("w") < F.col("v")))
+    around = adj.select("graph_id", F.col("src").alias("x"), F.col("dst").alias("w")).join(mine, ["graph_id", "w"])
+
+    leaves = first.where("degree = 1")
+    tops = around.groupBy("graph_id", "x").agg(F.max("dw").alias("top"))
+    lost = leaves.join(tops, ["graph_id", "x"], "left").join(mine.select("graph_id", F.col("w").alias("x"), F.col("w"), F.col("dw")), ["graph_id", "x"], "left").where((F.col("top") > 1) | (F.col("w").isNotNull() & better)).select(*V)
+
+    more = first.where("degree > 1")
+    second = beside.join(more.select(*V, F.col("x").alias("x1")), V).where("x != x1").groupBy(*V).agg(F.min(F.struct("dx", "x")).alias("near"))
+    more = written(more.join(second.select(*V, F.col("near.x").alias("x2")), V))
+    slices = lambda d: F.ceil(d / partners).cast("int")
+    asked = more.withColumn("salt", F.explode(F.sequence(F.lit(0), slices(F.col("dx")) - 1)))
+    sized = around.join(more.groupBy("graph_id", "x").agg(F.max("dx").alias("dx")), ["graph_id", "x"])
+    met = asked.join(sized.withColumn("salt", F.pmod(F.xxhash64("w"), slices(F.col("dx"))).cast("int")).drop("dx"), ["graph_id", "x", "salt"])
+    met = met.select(*V, "degree", "w", "dw", "x2").unionByName(more.join(mine.withColumn("x", F.col("w")), ["graph_id", "x"]).select(*V, "degree", "w", "dw", "x2"))
+    met = met.where((F.col("v") != F.col("w")) & better)
+    known = adj.select("graph_id", F.col("src").alias("x2"), F.col("dst").alias("w"))
+    met = written(met.where("w = x2").unionByName(met.where("w != x2").join(known, ["graph_id", "x2", "w"], "left_semi")))
+    # neighbours of v, but w, that w has too
+    shared = met.select(*V, "degree", "w").join(adj.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("y")), V).join(adj.select("graph_id", F.col("src").alias("w"), F.col("dst").alias("y"), F.lit(1).alias("has")), ["graph_id", "w", "y"], "left")
+    beaten = shared.where("y != w").groupBy(*V, "w").agg(F.count("*").alias("all"), F.count("has").alias("both")).where("all = both").select(*V).distinct()
+    return among.join(twins_.unionAll(alone).unionAll(lost).unionAll(beaten).distinct(), V, "left_anti")
 
 
 def super_ids(sets: DataFrame) -> DataFrame:

@@ -219,3 +219,19 @@ def test_power_steps_in_rows_and_in_rounds(spark, damping):
     whole = spelled(centrality._power(v, e, 11, damping))
     assert whole == spelled(centrality._power_rounds(v, e, 11, damping)) == spelled(centrality._power(v, e, 11, damping, 20))
     assert len(whole) == v.count()
+
+
+@pytest.mark.parametrize("partners", [10_000, 1])
+def test_domination_by_definition(spark, partners):
+    graphs = some_graphs(12, 16, 40) | {"star": (9, [(1, k) for k in range(2, 10)] + [(3, 4), (5, 6)]), "ways": beside(3), "alone": (4, [(1, 2)]), "none": (3, []), "complete": (5, [(a, b) for a in range(1, 6) for b in range(1, a)])}
+    graphs["hubs"] = (14, [(h, v) for v in range(4, 15) for h in (1, 2, 3) if v >> (h - 1) & 1])
+    v, e = batch(spark, graphs)
+    for some in (None, v.where("v % 3 != 0")):
+        want = set()
+        for g, (n, pairs) in graphs.items():
+            nb = bg.build(n + 1, pairs)
+            own = [x for x in range(1, n + 1) if some is None or x % 3]
+            over = lambda x, w: not nb[x] & ~(1 << w) & ~nb[w] and (nb[w].bit_count(), -w) > (nb[x].bit_count(), -x)  # noqa: B023, E731
+            want |= {(g, x) for x in own if not any(w != x and over(x, w) for w in own)}
+        assert {tuple(r) for r in graph.non_dominated(v, e, some, partners).collect()} == want
+    assert graph.non_dominated(*graph.empty(spark)).isEmpty()
