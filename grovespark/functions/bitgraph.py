@@ -914,3 +914,81 @@ def generators(nb: list[int], n: int) -> tuple[list[list[int]], int]:
                     images = led_to(v)
         size *= len(images)
     return found, size
+
+
+#: Orders that the search for a canonical one tries at most.
+LEAVES = 64
+
+
+def _refine(near: list[list[int]], colour: list[int]) -> list[int]:
+    """Colours split by those of the neighbours until nothing splits; colours are numbered in an order that depends on the structure alone."""
+    while True:
+        keys = [(colour[v], sorted(map(colour.__getitem__, near[v]))) for v in range(len(near))]
+        names, last, order = [0] * len(near), None, -1
+        for v in sorted(range(len(near)), key=keys.__getitem__):
+            if keys[v] != last:
+                last, order = keys[v], order + 1
+            names[v] = order
+        if order + 1 == len(set(colour)):
+            return names
+        colour = names
+
+
+def canonical(nb: list[int], mask: int, leaves: int = LEAVES) -> tuple[bytes, list[int]]:
+    """(form, order): the graph on a set written down in an order of its vertices; equal graphs get equal forms wherever the search ends.
+
+    Twins are drawn together, as they can change places; what is left is refined by colours, and where
+    vertices of one colour stay, each of the first such cell is set apart in turn and the least outcome
+    taken. A search of more than so many outcomes is cut off: its form is still the graph's, but an
+    equal graph may have another.
+    """
+    vs = list(bits(mask))
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for v in vs:
+        own = nb[v] & mask
+        kinds.setdefault((0, own), []).append(v)
+        kinds.setdefault((1, own | 1 << v), []).append(v)
+    classes, label, met = [], [], 0
+    for (kind, _), members in sorted(kinds.items(), key=lambda x: (-len(x[1]), x[0][0])):
+        if not met >> members[0] & 1 and (len(members) > 1 or kind == 0):
+            met |= sum(1 << v for v in members)
+            classes.append(members)
+            label.append((len(members), kind if len(members) > 1 else 0))
+    at = {members[0]: k for k, members in enumerate(classes)}
+    near = [[at[w] for w in bits(nb[c[0]] & mask) if w in at and w != c[0]] for c in classes]
+    names = {x: k for k, x in enumerate(sorted(set(label)))}
+    best: tuple[list, list[int]] | None = None
+    tried = 0
+
+    def search(colour: list[int]) -> None:
+        nonlocal best, tried
+        cells: dict[int, list[int]] = {}
+        for v, c in enumerate(colour):
+            cells.setdefault(c, []).append(v)
+        open_ = [c for c in sorted(cells) if len(cells[c]) > 1]
+        if not open_:
+            tried += 1
+            order = [cells[c][0] for c in sorted(cells)]
+            place = {v: k for k, v in enumerate(order)}
+            key = [sorted(place[w] for w in near[v]) for v in order]
+            if best is None or key < best[0]:
+                best = (key, order)
+            return
+        for v in cells[open_[0]]:
+            if tried >= leaves:
+                return
+            split = [2 * c + 1 for c in colour]
+            split[v] -= 1
+            search(_refine(near, split))
+
+    search(_refine(near, [names[x] for x in label]))
+    order = [v for k in best[1] for v in classes[k]]
+    rows = [sum((nb[v] >> w & 1) << j for j, w in enumerate(order[:i])) << i * (i - 1) // 2 for i, v in enumerate(order)]
+    n = len(order)
+    return n.to_bytes(4, "little") + sum(rows).to_bytes((n * (n - 1) // 2 + 7) // 8, "little"), order
+
+
+def of_form(form: bytes) -> list[int]:
+    """The graph that a form writes down."""
+    n, cells = int.from_bytes(form[:4], "little"), int.from_bytes(form[4:], "little")
+    return build(n, ((i, j) for i in range(n) for j in bits(cells >> i * (i - 1) // 2 & (1 << i) - 1)))

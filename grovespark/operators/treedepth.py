@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grovespark.functions import bitgraph as bg
 from grovespark.functions.loops import written
 from grovespark.operators import fixpoint as states
-from grovespark.operators import graph, kernels
+from grovespark.operators import forms, graph, kernels
 
 SMALL = 5
 
@@ -66,11 +66,11 @@ def small_treedepth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def batch_treedepth(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, n, td) of graphs of any size: those of at most SMALL vertices by the table, the others by the solver."""
+    """(graph_id, n, td) of graphs of any size: those of at most SMALL vertices by the table, the others by the solver, each form of a component once. Ids are from 1 on."""
     size = vertices.groupBy("graph_id").agg(F.count_distinct("v").alias("n"))
     large = size.where(F.col("n") > SMALL).select("graph_id")
     part = lambda df, how: df.join(large, "graph_id", how)
-    solved = kernels.solve(part(vertices, "left_semi"), part(edges, "left_semi")).select("graph_id", "n", "td")
+    solved = forms.solve(part(vertices, "left_semi"), part(edges, "left_semi")).select("graph_id", "n", "td")
     return small_treedepth(part(vertices, "left_anti"), part(edges, "left_anti")).unionByName(solved)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grovespark.functions.loops import new_folder, written
-from grovespark.operators import centrality, containment, fixpoint, graph, kernels, reporting, separators, sets, treedepth, verify
+from grovespark.operators import centrality, containment, fixpoint, forms, graph, kernels, reporting, separators, sets, treedepth, verify
 from grovespark.plans import tables
 from grovespark.sources import datasource, files
 from grovespark.plans.tables import GRAPHS_SQL, SETS_SQL
@@ -209,7 +209,7 @@ def _by_component(vertices, edges):
 
 QUERIES = {
     "td_region": _on(treedepth.small_treedepth, tables.region_graphs),
-    "td_small_batch": _on(treedepth.batch_treedepth, tables.order_graphs),
+    "td_small_batch": _on(lambda v, e: treedepth.batch_treedepth(*positive(v, e)), tables.order_graphs),
     "canonical_edges": _on(lambda v, e: graph.canonical_edges(graph.adjacency(e), "src", "dst")),
     "adjacency": _on(lambda v, e: graph.adjacency(e)),
     "degree": _on(graph.degrees),
@@ -280,7 +280,9 @@ QUERIES = {
     "fixpoint_forests_orders": _on(_forest_digest, tables.order_graphs),
     "td_solve": _on(lambda v, e: kernels.solve(v, e).select("graph_id", "n", "td"), tables.region_graphs),
     "solve_trade": _on(lambda v, e: kernels.results(kernels.solve(v, e)), tables.trade_graphs),
-    "solve_windows": _on(lambda v, e: kernels.results(kernels.solve(v, e, 20)), tables.window_graphs),
+    "solve_windows": _on(lambda v, e: kernels.results(forms.solve(*positive(v, e))), tables.window_graphs),
+    "td_forms_orders": _on(lambda v, e: forms.solve(*positive(v, e)).select("graph_id", "n", "td"), tables.order_graphs),
+    "forms_orders": _on(lambda v, e: forms.forms(v, e).groupBy("graph_id").agg(F.count("*").alias("components"), F.sum(F.size("vs")).alias("n")), tables.order_graphs),
     "elimination_tree": _on(_tree_digest, tables.region_graphs),
     "verify_tree": _verified,
     "verify_solved": _on(_solved, tables.trade_graphs),
@@ -588,3 +590,5 @@ p{k}_{i + 1} AS MATERIALIZED (SELECT c.graph_id, c.v FROM p{k}_{i} c JOIN adj ON
 ORACLES["core_numbers"] = _cores(G, 25, 14) + " SELECT * FROM cn"
 ORACLES["copart_core_numbers"] = _cores(COPART, 40, 12) + " SELECT * FROM cn"
 ORACLES["td_core_lower_windows"] = _cores(G, 25, 14) + " SELECT graph_id, (max(core) + 1)::INT AS lower FROM cn GROUP BY 1"
+ORACLES["td_forms_orders"] = ORACLES["td_small_batch"]
+ORACLES["forms_orders"] = OWN + " SELECT graph_id, count(DISTINCT mask) AS components, count(*) AS n FROM own GROUP BY 1"

@@ -7,7 +7,7 @@ import pytest
 
 from grovespark.functions import bitgraph as bg
 from grovespark.functions.loops import written
-from grovespark.operators import centrality, fixpoint, graph, kernels, separators, verify
+from grovespark.operators import centrality, fixpoint, forms, graph, kernels, separators, verify
 from grovespark.plans import queries, tables
 
 SF = "/root/testdata/sf0.001"
@@ -235,3 +235,39 @@ def test_domination_by_definition(spark, partners):
             want |= {(g, x) for x in own if not any(w != x and over(x, w) for w in own)}
         assert {tuple(r) for r in graph.non_dominated(v, e, some, partners).collect()} == want
     assert graph.non_dominated(*graph.empty(spark)).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_equal_graphs_have_equal_forms(seed):
+    rng = random.Random(seed)
+    n, p = rng.randint(1, 12), rng.random() * 0.7
+    pairs = [(a, b) for a in range(n) for b in range(a) if rng.random() < p]
+    if seed % 5 == 0:  # cliques that share vertices, as in the tables
+        pairs = [(a, b) for x in [rng.sample(range(n), min(n, 4)) for _ in range(4)] for a in x for b in x if a != b]
+    turn = rng.sample(range(n), n)
+    one, two = bg.build(n, pairs), bg.build(n, [(turn[a], turn[b]) for a, b in pairs])
+    whole = (1 << n) - 1
+    spelled = lambda nb: sorted(bg.canonical(nb, c, 10**6)[0] for c in bg.components(nb, whole))
+    assert spelled(one) == spelled(two)
+    for c in bg.components(one, whole):
+        form, order = bg.canonical(one, c, 1 + seed % 3)
+        back = bg.of_form(form)
+        assert sorted(order) == list(bg.bits(c)) and all((back[i] >> j & 1) == (one[v] >> w & 1) for i, v in enumerate(order) for j, w in enumerate(order))
+
+
+def test_forms_of_all_small_graphs():
+    """As many forms as there are connected graphs of five vertices."""
+    pairs = [(a, b) for a in range(5) for b in range(a)]
+    graphs = [bg.build(5, [p for k, p in enumerate(pairs) if x >> k & 1]) for x in range(1 << 10)]
+    assert len({bg.canonical(nb, 31)[0] for nb in graphs if len(bg.components(nb, 31)) == 1}) == 21
+
+
+def test_each_form_is_solved_once(spark):
+    v, e = queries.positive(*tables.all_graphs(spark, SF))
+    orders = written(forms.forms(*tables.order_graphs(spark, SF)))
+    assert forms.solve_forms(orders).count() == orders.select("form").distinct().count() < orders.count() / 20
+    got = written(forms.solve(v, e))
+    plain = lambda df: {r["graph_id"]: (r["n"], r["m"], r["lb"], r["ub"], r["td"], r["status"]) for r in df.collect()}
+    assert plain(got) == plain(kernels.solve(v, e))
+    assert sorted(checked_by_sql(e, kernels.trees(got))) == sorted((r["graph_id"], r["td"], 0) for r in got.collect())
+    assert forms.solve(*graph.empty(spark)).isEmpty()
