@@ -64,14 +64,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of a table that is broadcast; tables with more are joined as Spark sees fit.
+#: Rows, and characters and array elements in all, of a table that is broadcast; larger ones are joined as Spark sees fit.
 BROADCAST_ROWS = 50_000
+BROADCAST_CELLS = 4_000_000
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table, marked for a broadcast if it has no more than so many rows, and no more than BROADCAST_CELLS in them."""
+    wide = [F.length(F.col(c)) if kind == "string" else F.size(F.col(c)) for c, kind in df.dtypes if kind == "string" or kind.startswith("array")]
+    cells = sum((F.coalesce(F.sum(w), F.lit(0)) for w in wide), F.lit(0))
+    size = df.agg(F.count("*").alias("rows"), cells.alias("cells")).first()
+    return F.broadcast(df) if size["rows"] <= rows and size["cells"] <= BROADCAST_CELLS else df
 
 
 def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df staged, and marked for a broadcast if it has no more than so many rows."""
-    out = staged(df, name)
-    return F.broadcast(out) if out.count() <= rows else out
+    """df staged, and marked for a broadcast if it is small."""
+    return few(staged(df, name), rows)
 
 
 def own(df: DataFrame, names: list[str] | None = None) -> list[Column]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grovespark.llm.common import bounded_batches, fresh, own, small, staged, table
+from grovespark.llm.common import bounded_batches, few, fresh, own, small, staged, table
 from grovespark.llm.simhash import SEED, row_keys, sieve, sieved
 
 GRAM = 3
@@ -245,8 +245,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, min_score: float) -> DataFra
     items = _items(benchmark)
     seeds = small(seeds_of(items), "seeds", BROADCAST_SEEDS)
     met = staged(candidates(docs, seeds), "candidates")
-    items = F.broadcast(items) if items.count() <= BROADCAST_ITEMS else items
-    return _scored(docs, met, items, min_score)
+    return _scored(docs, met, few(items, BROADCAST_ITEMS), min_score)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
