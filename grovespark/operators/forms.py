@@ -16,8 +16,8 @@ from grovespark.functions import bitgraph as bg
 from grovespark.functions.loops import written
 from grovespark.operators.kernels import per_graph
 
-#: Forms that are broadcast to where their graphs are; more are joined as Spark sees fit.
-BROADCAST_FORMS = 10_000
+#: Bytes of solved forms that are broadcast to where their graphs are; more are joined as Spark sees fit.
+BROADCAST_BYTES = 8 << 20
 SOLVED = "form binary, lower int, upper int, parent array<int>"
 
 
@@ -59,7 +59,8 @@ def solve(vertices: DataFrame, edges: DataFrame, seconds: float | None = None) -
     """
     named = written(forms(vertices, edges))
     solved = written(solve_forms(named, seconds))
-    each = named.join(F.broadcast(solved) if solved.count() <= BROADCAST_FORMS else solved, "form")
+    size = solved.agg(F.coalesce(F.sum(F.length("form") + 4 * F.size("parent") + 64), F.lit(0))).first()[0]
+    each = named.join(F.broadcast(solved) if size <= BROADCAST_BYTES else solved, "form")
     parent = F.transform("parent", lambda p: F.when(p == 0, 0).otherwise(F.get("vs", p - 1)))
     rows = each.select("graph_id", "vs", "lower", "upper", F.transform(F.arrays_zip("vs", parent.alias("up")), lambda x: F.struct(x["vs"].alias("v"), x["up"].alias("p"))).alias("tree"))
     m = edges.groupBy("graph_id").agg(F.count("*").cast("int").alias("m"))
