@@ -56,7 +56,8 @@ class Solved:
             rows = trees.join(plain.select(*STATE, "above"), STATE).select("graph_id", "v", F.coalesce("up", "above").alias("parent"))
             names = _in_chunks(self.graphs, split.select("graph_id", "sep").distinct(), members, "graph_id string, sep binary, vs array<int>")
             chains = written(split.join(names, ["graph_id", "sep"]))
-            line = chains.select("graph_id", "above", "vs", F.posexplode("vs").alias("k", "v")).select("graph_id", "v", F.when(F.col("k") == 0, F.col("above")).otherwise(F.get("vs", F.col("k") - 1)).alias("parent"))
+            line = chains.select("graph_id", "above", "vs", F.posexplode("vs").alias("k", "v"))
+            line = line.select("graph_id", "v", F.when(F.col("k") == 0, F.col("above")).otherwise(F.get("vs", F.col("k") - 1)).alias("parent"))
             level = written(rows.unionAll(line))
             out = level if out is None else out.unionAll(level)
             front = written(chains.select(*CHOICE, F.element_at("vs", -1).alias("above")).join(self.choices, CHOICE).select("graph_id", F.col("child").alias("state"), "above"))
@@ -111,12 +112,14 @@ def solve(vertices: DataFrame, edges: DataFrame) -> Solved:
     while not new.isEmpty():
         # only choices that a new value touches, then only states that a finished choice touches
         heard = choices.join(new.select("graph_id", F.col("state").alias("child"), "td"), ["graph_id", "child"]).groupBy(*CHOICE).agg(F.count("*").alias("more"), F.max("td").alias("t"))
-        now = written(waiting.join(heard, CHOICE, "left").select(*CHOICE, "children", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"), F.greatest("worst", F.coalesce("t", F.lit(0))).alias("worst")))
+        got = (F.col("got") + F.coalesce("more", F.lit(0))).alias("got")
+        now = written(waiting.join(heard, CHOICE, "left").select(*CHOICE, "children", got, F.greatest("worst", F.coalesce("t", F.lit(0))).alias("worst")))
         waiting = now.where("got < children")
-        ready = now.where("got = children").select(*STATE, F.struct((size + F.col("worst")).cast("int").alias("cost"), "sep").alias("offer")).groupBy(*STATE).agg(F.count("*").alias("more"), F.min("offer").alias("offer"))
+        offer = F.struct((size + F.col("worst")).cast("int").alias("cost"), "sep").alias("offer")
+        ready = now.where("got = children").select(*STATE, offer).groupBy(*STATE).agg(F.count("*").alias("more"), F.min("offer").alias("offer"))
         both = judged.join(ready, STATE, "left")
         better = F.when(F.col("offer.cost") < F.col("best.cost"), F.col("offer")).otherwise(F.col("best"))
-        state = written(both.select(*STATE, "upper", "wanted", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"), better.alias("best")))
+        state = written(both.select(*STATE, "upper", "wanted", got, better.alias("best")))
         judged = state.where("got < wanted")
         new = state.where("got = wanted").select(*STATE, F.col("best.cost").alias("td"), F.col("best.sep").alias("sep"))
         values = values.unionAll(new)

@@ -250,7 +250,8 @@ def _peeled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             graphs += [graph_id] * len(names)
             vs.append(names)
             cores += found
-        yield pa.RecordBatch.from_arrays([pa.array(graphs, pa.string()), pa.array(np.concatenate([*vs, np.empty(0, np.int32)]).astype(np.int32)), pa.array(cores, pa.int32())], names=["graph_id", "v", "core"])
+        names = np.concatenate([*vs, np.empty(0, np.int32)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(graphs, pa.string()), pa.array(names), pa.array(cores, pa.int32())], names=["graph_id", "v", "core"])
 
 
 def k_core(vertices: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -307,7 +308,9 @@ def blocks(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
         step = written(both.select("graph_id", "a", "b", "level", "pa", F.when(F.col("level"), F.col("pb")).alias("pb")))
         top = F.when(F.col("level"), F.col("pa") == F.col("pb")).otherwise(F.lit(False))
         # below the meeting place the tree edges above a and above pa are of one cycle; at it those above a and b
-        links = step.select("graph_id", F.explode(F.when(top, F.array(F.struct("a", F.col("b").alias("c")))).when(F.col("level"), F.array(F.struct("a", F.col("pa").alias("c")), F.struct(F.col("b").alias("a"), F.col("pb").alias("c")))).otherwise(F.array(F.struct("a", F.col("pa").alias("c"))))).alias("l"))
+        pair = lambda a, c: F.struct(F.col(a).alias("a"), F.col(c).alias("c"))
+        tied = F.when(top, F.array(pair("a", "b"))).when(F.col("level"), F.array(pair("a", "pa"), pair("b", "pb"))).otherwise(F.array(pair("a", "pa")))
+        links = step.select("graph_id", F.explode(tied).alias("l"))
         links = written(links.select("graph_id", F.least("l.a", "l.c").alias("u"), F.greatest("l.a", "l.c").alias("v")).distinct())
         joined = links if joined is None else joined.unionAll(links)
         low, high = F.col("pa"), F.coalesce("pb", "b")
@@ -373,10 +376,13 @@ def non_dominated(vertices: DataFrame, edges: DataFrame, members: DataFrame | No
     among = (vertices if members is None else members).select(*V).distinct()
     adj = written(adjacency(edges))
     mix = lambda k, c: F.xxhash64(F.lit(k), F.col(c))
-    signs = adj.groupBy("graph_id", F.col("src").alias("v")).agg(F.count("*").alias("degree"), F.bit_xor(mix(1, "dst")).alias("a"), F.bit_xor(mix(2, "dst")).alias("b"))
-    signs = written(vertices.select(*V).distinct().join(signs, V, "left").select(*V, F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")))
+    signs = adj.groupBy("graph_id", F.col("src").alias("v"))
+    signs = signs.agg(F.count("*").alias("degree"), F.bit_xor(mix(1, "dst")).alias("a"), F.bit_xor(mix(2, "dst")).alias("b"))
+    signs = vertices.select(*V).distinct().join(signs, V, "left")
+    signs = written(signs.select(*V, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "a", "b"))))
     own = signs.join(among, V, "left_semi")
-    keys = F.array(F.struct(F.lit(0).alias("kind"), F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.lit(1).alias("kind"), F.col("a").bitwiseXOR(mix(1, "v")).alias("a"), F.col("b").bitwiseXOR(mix(2, "v")).alias("b")))
+    key = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    keys = F.array(key(0, F.col("a"), F.col("b")), key(1, F.col("a").bitwiseXOR(mix(1, "v")), F.col("b").bitwiseXOR(mix(2, "v"))))
     keyed = own.select(*V, "degree", F.explode(keys).alias("key"))
     least = keyed.groupBy("graph_id", "degree", "key").agg(F.min("v").alias("low"), F.count("*").alias("n")).where("n > 1")
     twins_ = keyed.join(least, ["graph_id", "degree", "key"]).where("v != low").select(*V).distinct()
@@ -392,7 +398,8 @@ def non_dominated(vertices: DataFrame, edges: DataFrame, members: DataFrame | No
 
     leaves = first.where("degree = 1")
     tops = around.groupBy("graph_id", "x").agg(F.max("dw").alias("top"))
-    lost = leaves.join(tops, ["graph_id", "x"], "left").join(mine.select("graph_id", F.col("w").alias("x"), F.col("w"), F.col("dw")), ["graph_id", "x"], "left").where((F.col("top") > 1) | (F.col("w").isNotNull() & better)).select(*V)
+    lost = leaves.join(tops, ["graph_id", "x"], "left").join(mine.withColumn("x", F.col("w")), ["graph_id", "x"], "left")
+    lost = lost.where((F.col("top") > 1) | (F.col("w").isNotNull() & better)).select(*V)
 
     more = first.where("degree > 1")
     second = beside.join(more.select(*V, F.col("x").alias("x1")), V).where("x != x1").groupBy(*V).agg(F.min(F.struct("dx", "x")).alias("near"))
@@ -406,7 +413,8 @@ def non_dominated(vertices: DataFrame, edges: DataFrame, members: DataFrame | No
     known = adj.select("graph_id", F.col("src").alias("x2"), F.col("dst").alias("w"))
     met = written(met.where("w = x2").unionByName(met.where("w != x2").join(known, ["graph_id", "x2", "w"], "left_semi")))
     # neighbours of v, but w, that w has too
-    shared = met.select(*V, "degree", "w").join(adj.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("y")), V).join(adj.select("graph_id", F.col("src").alias("w"), F.col("dst").alias("y"), F.lit(1).alias("has")), ["graph_id", "w", "y"], "left")
+    to = lambda c: adj.select("graph_id", F.col("src").alias(c), F.col("dst").alias("y"))
+    shared = met.select(*V, "w").join(to("v"), V).join(to("w").withColumn("has", F.lit(1)), ["graph_id", "w", "y"], "left")
     beaten = shared.where("y != w").groupBy(*V, "w").agg(F.count("*").alias("all"), F.count("has").alias("both")).where("all = both").select(*V).distinct()
     return among.join(twins_.unionAll(alone).unionAll(lost).unionAll(beaten).distinct(), V, "left_anti")
 

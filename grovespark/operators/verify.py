@@ -94,7 +94,8 @@ def uncovered_edges(edges: DataFrame, tree: DataFrame, up: Climb | None = None)
     at = lambda c: up.placed.select("graph_id", F.col("v").alias(c), F.col("depth").alias(f"d{c}"))
     both = edges.select("graph_id", "u", "v").join(at("u"), ["graph_id", "u"], "left").join(at("v"), ["graph_id", "v"], "left")
     lower = F.col("du") > F.col("dv")
-    now = both.select("graph_id", "u", "v", F.when(lower, F.col("u")).otherwise(F.col("v")).alias("at"), F.when(lower, F.col("v")).otherwise(F.col("u")).alias("to"), F.abs(F.col("du") - F.col("dv")).alias("left"))
+    deeper, other = (F.when(lower, F.col(a)).otherwise(F.col(b)) for a, b in (("u", "v"), ("v", "u")))
+    now = both.select("graph_id", "u", "v", deeper.alias("at"), other.alias("to"), F.abs(F.col("du") - F.col("dv")).alias("left"))
     for k, jump in enumerate(up.jumps):
         jump = jump.select("graph_id", F.col("v").alias("from"), F.col("far"))
         on = (F.col("e.graph_id") == F.col("j.graph_id")) & (F.when((F.col("e.left").bitwiseAND(1 << k)) != 0, F.col("e.at")) == F.col("j.from"))
