@@ -588,7 +588,14 @@ p{k}_{i + 1} AS MATERIALIZED (SELECT c.graph_id, c.v FROM p{k}_{i} c JOIN adj ON
 
 
 ORACLES["core_numbers"] = _cores(G, 25, 14) + " SELECT * FROM cn"
-ORACLES["copart_core_numbers"] = _cores(COPART, 40, 12) + " SELECT * FROM cn"
+#: Any number of layers: neighbours' numbers in falling order, the largest place that holds as much, again and again; more rounds than these graphs need.
+ORACLES["copart_core_numbers"] = COPART + """,
+it AS (
+  SELECT graph_id, src AS v, count(*) AS c, 0 AS t FROM adj GROUP BY 1, 2
+  UNION ALL SELECT graph_id, v, max(least(c, k)), t + 1 FROM (
+    SELECT adj.graph_id, adj.src AS v, it.c, it.t, row_number() OVER (PARTITION BY adj.graph_id, adj.src ORDER BY it.c DESC) AS k
+    FROM it JOIN adj ON adj.graph_id = it.graph_id AND adj.dst = it.v WHERE it.t < 60) GROUP BY graph_id, v, t)
+SELECT graph_id, v, c::INT AS core FROM it WHERE t = 60"""
 ORACLES["td_core_lower_windows"] = _cores(G, 25, 14) + " SELECT graph_id, (max(core) + 1)::INT AS lower FROM cn GROUP BY 1"
 ORACLES["td_forms_orders"] = ORACLES["td_small_batch"]
 ORACLES["forms_orders"] = OWN + " SELECT graph_id, count(DISTINCT mask) AS components, count(*) AS n FROM own GROUP BY 1"
